@@ -156,9 +156,9 @@ def excise(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFra
     return out.where(F.size(F.col(name)["words"]) == 0).drop(name)
 
 
-def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document: word and hit counts, and which items it holds."""
-    out, name = contamination(docs, benchmark, keep=["doc_id"])
+    out, name = contamination(docs, benchmark, keep=["doc_id"], **options)
     r = F.col(name)
     return out.select(
         "doc_id",

@@ -321,11 +321,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: that with the least id (of repeated rows, one); all columns as they were."""
     cols = docs.columns
-    found = near_duplicates(docs, doc_id, text)
-    own = found.where((F.col(doc_id) == F.col("component_id")) | F.col(doc_id).isNull())
-    best = Window.partitionBy("component_id", doc_id).orderBy(*[F.col(c) for c in cols if c != doc_id])
-    firsts = own.where(F.col(doc_id).isNotNull()).withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
-    return firsts.select(*cols).union(own.where(F.col(doc_id).isNull()).select(*cols))
+    names = [f"c{i}" for i in range(len(cols))]  # no name clashes with those added here
+    ident = names[cols.index(doc_id)]
+    found = near_duplicates(docs.toDF(*names), ident, names[cols.index(text)])
+    own = found.where((F.col(ident) == F.col("component_id")) | F.col(ident).isNull())
+    best = Window.partitionBy(ident).orderBy(*[c for c in names if c != ident])
+    firsts = own.where(F.col(ident).isNotNull()).withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
+    return firsts.select(*names).union(own.where(F.col(ident).isNull()).select(*names)).toDF(*cols)
 
 
 def digest(docs: DataFrame) -> DataFrame:
