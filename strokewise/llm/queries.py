@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard
+from . import decontaminate, jaccard, quality, secret_scan
 from ._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,16 @@ def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_jaccard_components, op9_winnowing)}
+    return {f.__name__: f for f in (op4_jaccard_components, op5_secret_scan, op8_quality_rules, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
