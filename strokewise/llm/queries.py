@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, quality, secret_scan
+from . import conversations, decontaminate, jaccard, pii, quality, secret_scan
 from ._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
 
+def op1_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -28,8 +32,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_jaccard_components, op5_secret_scan, op8_quality_rules, op9_winnowing)}
+    return {f.__name__: f for f in (op1_weak_supervision, op4_jaccard_components, op5_secret_scan, op8_quality_rules, op9_winnowing, op10_quotation_links)}
 
 
 def oracle_sql() -> dict[str, str]:

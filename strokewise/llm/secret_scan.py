@@ -140,9 +140,14 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rat
     counts: dict[tuple, dict[int, int]] = {}
     for r in bins.collect():  # encodings x bands x bins at most
         counts.setdefault((r.e, r.b), {})[r.bin] = r["count"]
-    accepted = lambda x: F.lit(False)
-    for (e, b), p in thresholds(counts, rate).items():
-        accepted = lambda x, e=e, b=b, p=p, other=accepted: F.when((x["r"]["encoding"] == e) & (_band(x["end"] - x["start"]) == b), x["r"]["p"] >= p).otherwise(other(x))
+    limits = thresholds(counts, rate)
+
+    def accepted(x: Column) -> Column:
+        out = F.lit(False)
+        for (encoding, band), p in limits.items():
+            out = F.when((x["r"]["encoding"] == encoding) & (_band(x["end"] - x["start"]) == band), x["r"]["p"] >= p).otherwise(out)
+        return out
+
     flat = lambda x, base: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(base).alias("base"))
     both = F.concat(F.transform(F.col(name)["base"], lambda x: flat(x, True)), F.transform(F.filter(F.col(name)["tokens"], accepted), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"), F.lit(False).alias("base"))))
     named = F.transform(F.sort_array(both), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.get(F.array(*[F.lit(k) for k in KINDS]), x["kind"]).alias("kind"), x["base"].alias("base")))
