@@ -32,7 +32,7 @@ END = 0
 #: Pieces that one task packs.
 GROUP = 1 << 13
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 
 #: Letters in lower case and numbers below U+0250, where the tokenizer's words are found here.
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
@@ -51,11 +51,33 @@ def _plain(text: str) -> bool:
         return not _ODD.search(text)
 
 
+def _byte_letters() -> dict[str, str]:
+    """What the tokenizer's model sees for each byte: printable bytes as they are, the others from U+0100 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(others)})
+
+
+class _Ids(dict):
+    """The ids of words as bytes; forgets all when it holds too many."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        self[word] = out = _bytes([t.id for t in self.model.tokenize(seen)])
+        return out
+
+
 @functools.cache
 def _tokenizer(path: str) -> tuple:
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, _Ids(tokenizer.model)
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -68,21 +90,14 @@ def token_bytes(texts: list[str | None], path: str, words: bool) -> list[bytes]:
     words: whether the tokenizer lower-cases and knows nothing between words
     (as the one of the query does), so that ids can be remembered by word.
     """
-    tokenizer, cache = _tokenizer(path)
+    tokenizer, ids = _tokenizer(path)
     out = []
     for text in texts:
         text = text or ""
-        if not words or not _plain(text):
+        if words and _plain(text):
+            out.append(b"".join(map(ids.__getitem__, _words(text.lower()))))
+        else:
             out.append(_bytes(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids))
-            continue
-        found = _words(text.lower())
-        fresh = set(found).difference(cache) if len(cache) < CACHE else set(found)
-        if fresh:
-            if len(cache) >= CACHE:
-                cache.clear()
-            fresh = list(fresh)
-            cache.update(zip(fresh, [_bytes(e.ids) for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)], strict=True))
-        out.append(b"".join(map(cache.__getitem__, found)))
     return out
 
 
