@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, jaccard, packing, pages, pii, quality, secret_scan
+from . import conversations, decontaminate, jaccard, packing, pages, pii, quality, scoring, secret_scan
 from ._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op2_flat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.digest(table(spark, sf_dir, "pages"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_weak_supervision, op2_flat_blocks, op4_jaccard_components, op5_secret_scan, op6_sum_of_squares, op8_quality_rules, op9_winnowing, op10_quotation_links)}
+    return {f.__name__: f for f in (op1_weak_supervision, op2_flat_blocks, op3_context_mixing, op4_jaccard_components, op5_secret_scan, op6_sum_of_squares, op8_quality_rules, op9_winnowing, op10_quotation_links)}
 
 
 def oracle_sql() -> dict[str, str]:
