@@ -264,8 +264,11 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, tra
     return rows.mapInArrow(judge, T.StructType([*fields, T.StructField(name, out_type)])), name
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with each span replaced by its kind in brackets; all other columns as they were."""
+def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
+    """The documents with each span replaced by its kind in brackets; all other columns as they were.
+
+    length: a column that is set to the new text's number of code points where something was replaced.
+    """
     out, name = find(docs, text)
     pieces = F.aggregate(
         F.array_sort(F.col(name), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"])),
@@ -275,7 +278,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.char_length(F.col(text)))),
     )
-    return out.withColumn(text, F.when(F.size(name) > 0, pieces).otherwise(F.col(text))).drop(name)
+    out = out.withColumn(text, F.when(F.size(name) > 0, pieces).otherwise(F.col(text)))
+    if length:
+        out = out.withColumn(length, F.when(F.size(name) > 0, F.char_length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return out.drop(name)
 
 
 def digest(docs: DataFrame) -> DataFrame:
