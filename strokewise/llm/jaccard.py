@@ -2,7 +2,7 @@
 
 Shingles are ordered from rare to frequent.  A document of n shingles can lose
 at most n/4 of them to a partner of similarity 0.75, so one more than that many
-signatures must survive in its prefix.  Rare shingles are signatures by
+signatures must survive in its prefix (in the smaller one of a pair, a seventh).  Rare shingles are signatures by
 themselves.  Where a document runs out of rare ones, its prefix is extended by
 frequent ones, which are indexed only in combinations of two (or three, for the
 most frequent class) from one hash class: j shingles of a class hold j-1 (j-2)
@@ -16,12 +16,12 @@ signature is verified or lies in one component.  So components are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -39,6 +39,8 @@ THREES = 64
 #: Documents with fewer shingles (or that can be similar to such) are indexed by single ones.
 SMALL_LEVEL = 3
 FILTER_BITS = 26
+#: A bitmap of fixed size tells which shingles may occur twice; by their first bits.
+TWICE_BITS = 27
 
 
 def _sets(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +87,11 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
                 yield values[np.repeat(fresh, counts)], counts[fresh], nodes[fresh]
 
 
-def frequent(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles (sorted) and their classes (2 or 3).  Counts are over all documents.
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def frequent(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT) -> Counts:
+    """The frequent shingles (sorted), their classes (2 or 3), and a bitmap of those that may occur twice.  Counts are over all documents.
 
     Tasks send sorted 40-bit codes and counts in blocks by their first bits.
     Codes that meet only make a rare shingle count as frequent, which is allowed:
@@ -127,9 +132,18 @@ def frequent(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT)
         cuts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
         total = np.add.reduceat(counts, cuts)
         hot = total >= least
-        return pa.table({"code": codes[cuts][hot].astype(np.int64), "df": total[hot]})
-
-    found = written(texts.mapInArrow(count, "bucket int, n long, base long, pack binary").groupBy("bucket").applyInArrow(add_up, "code long, df long"), "frequent")
+        bucket = block["bucket"][0].as_py()
+        first = bucket << (TWICE_BITS - bits)
+        mark = np.zeros(max(8, 1 << (TWICE_BITS - bits)), np.uint8)
+        mark[(codes[cuts][total > 1] >> np.uint64(40 - TWICE_BITS)).astype(np.int64) - first] = 1
+        n = int(hot.sum())
+        return pa.table({"code": pa.array([*codes[cuts][hot].astype(np.int64).tolist(), None], pa.int64()), "df": pa.array([*total[hot].tolist(), None], pa.int64()), "part": pa.array([None] * n + [first >> 3], pa.int64()), "bits": pa.array([None] * n + [np.packbits(mark).tobytes()], pa.binary())})
+
+    found = written(texts.mapInArrow(count, "bucket int, n long, base long, pack binary").groupBy("bucket").applyInArrow(add_up, "code long, df long, part long, bits binary"), "frequent")
+    twice = np.zeros(1 << (TWICE_BITS - 3), np.uint8)
+    for r in found.where("part is not null").select("part", "bits").collect():  # 16 MB in all, whatever the input
+        twice[r.part : r.part + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    found = found.where("code is not null")
     steps = found.groupBy(F.floor(F.log2(F.col("df"))).alias("power")).count().orderBy(F.desc("power")).collect()  # 64 rows at most
     bound, total = 1 << 62, 0
     for s in steps:
@@ -140,7 +154,7 @@ def frequent(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT)
     got = found.where(F.col("df") >= max(bound, least)).select("code", "df").toArrow()  # at most `most` rows
     codes, df = got["code"].to_numpy().astype(np.uint64), got["df"].to_numpy()
     order = np.argsort(codes)
-    return codes[order], np.where(df[order] >= THREES * max(bound if bound < 1 << 62 else least, least), 3, 2).astype(np.uint8)
+    return codes[order], np.where(df[order] >= THREES * max(bound if bound < 1 << 62 else least, least), 3, 2).astype(np.uint8), twice
 
 
 def _combined(tokens: np.ndarray, k: int, classes: int, need: int, level: int) -> tuple[np.ndarray, int]:
@@ -167,33 +181,41 @@ def _combined(tokens: np.ndarray, k: int, classes: int, need: int, level: int) -
     return np.concatenate(out) if out else np.zeros(0, np.uint64), left
 
 
-def _signatures(own: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Of one document: own are its sorted shingles, kinds their frequency classes."""
-    n = len(own)
-    need = n // 4 + 1
-    rare = own[kinds == 1]
-    if len(rare) >= need:
-        return rare[:need]
-    out = [rare]
-    level = n.bit_length() - 1
-    for at in (level, level + 1) if n >= 0.75 * 2 ** (level + 1) else (level,):
-        if at <= SMALL_LEVEL:
-            out += [np.concatenate([own[kinds == 2], own[kinds == 3]])[: need - len(rare)]]
-            continue
-        left = need - len(rare)
-        for k in (2, 3):
-            made, left = _combined(own[kinds == k], k, max(1, 2**at // (8 << (k - 1))), left, at)
-            out.append(made)
-        assert left == 0
-    return np.unique(np.concatenate(out))
-
+def _signatures(own: np.ndarray, kinds: np.ndarray, lonely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one document, and which of them are first ones: own are its sorted shingles, kinds their frequency classes; lonely ones stand in the prefix but need no index.
 
-def _index(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(sig, node, n): every document's signatures."""
+    To a partner that isn't smaller a set loses at most a seventh of its
+    shingles; so in each pair the smaller one's first signatures suffice.
+    """
+    n = len(own)
+    rare, others = own[kinds == 1], ~lonely[kinds == 1]
+
+    def withstanding(need: int) -> np.ndarray:
+        if len(rare) >= need:
+            return rare[:need][others[:need]]
+        out = [rare[others]]
+        level = n.bit_length() - 1
+        for at in (level, level + 1) if n >= 0.75 * 2 ** (level + 1) else (level,):
+            if at <= SMALL_LEVEL:
+                out += [np.concatenate([own[kinds == 2], own[kinds == 3]])[: need - len(rare)]]
+                continue
+            left = need - len(rare)
+            for k in (2, 3):
+                made, left = _combined(own[kinds == k], k, max(1, 2**at // (8 << (k - 1))), left, at)
+                out.append(made)
+            assert left == 0
+        return np.unique(np.concatenate(out))
+
+    every = withstanding(n // 4 + 1)
+    return every, np.isin(every, withstanding(n // 7 + 1))
+
+
+def _index(texts: DataFrame, hot: Counts) -> DataFrame:
+    """(sig, node, n, first): every document's signatures, but for single shingles that occur nowhere else."""
     shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, kinds_of = shared.value
+        codes, kinds_of, twice = shared.value
         for values, counts, nodes in _sets_of(batches):
             kinds = np.ones(len(values), np.uint8)
             if len(codes):
@@ -202,12 +224,14 @@ def _index(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 at[at == len(codes)] = 0
                 kinds = np.where(codes[at] == cut, kinds_of[at], np.uint8(1))
             ends = np.cumsum(counts)
-            sigs = [_signatures(values[e - c : e], kinds[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-            many = [len(s) for s in sigs]
+            at = (values >> np.uint64(64 - TWICE_BITS)).astype(np.int64)
+            lonely = (twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 0
+            sigs = [_signatures(values[e - c : e], kinds[e - c : e], lonely[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+            many = [len(s) for s, _ in sigs]
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(nodes, many)), pa.array(np.repeat(counts, many).astype(np.int32))], names=["sig", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, _ in sigs]).view(np.int64)), pa.array(np.repeat(nodes, many)), pa.array(np.repeat(counts, many).astype(np.int32)), pa.array(np.concatenate([f for _, f in sigs]))], names=["sig", "node", "n", "first"])
 
-    return texts.mapInArrow(run, "sig long, node long, n int")
+    return texts.mapInArrow(run, "sig long, node long, n int, first boolean")
 
 
 def _filter(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -226,9 +250,12 @@ def _filter(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with whether their sets are similar, by whole sets."""
-    asked = texts.sparkSession.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bitmap", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+
+
+def _sets_table(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, bitmap, shingles) of the nodes, written once: a bitmap of four or more bits a shingle, and the first 40 bits of each as sorted steps."""
+    asked = texts.sparkSession.sparkContext.broadcast(_filter(nodes))
     mask = (1 << FILTER_BITS) - 1
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,28 +264,91 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             low = nodes & mask
             wanted = np.flatnonzero((bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1)
             ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[wanted]), pa.array([values[ends[i] - counts[i] : ends[i]].tobytes() for i in wanted], pa.binary())], names=["node", "shingles"])
+            maps, steps = [], []
+            for i in wanted.tolist():
+                own = values[ends[i] - counts[i] : ends[i]]
+                width = 2 + int(len(own) - 1).bit_length() + 1
+                mark = np.zeros(1 << width, np.uint8)
+                mark[(own >> np.uint64(64 - width)).astype(np.int64)] = 1
+                maps.append(np.packbits(mark).tobytes())
+                cut = np.diff(own >> np.uint64(24), prepend=np.uint64(0)).astype("<u8")
+                steps.append(pa.compress(np.ascontiguousarray(cut.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes(), "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[wanted]), pa.array(counts[wanted].astype(np.int32)), pa.array(maps, pa.binary()), pa.array(steps, pa.binary())], names=SET.names)
+
+    return written(texts.mapInArrow(fetch, SET), "sets")
+
+
+def _codes(steps: pa.Scalar, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(steps.as_buffer(), 5 * n, "zstd"), np.uint8).reshape(5, n)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :5] = planes.T
+    return np.cumsum(wide.view("<u8").ravel())
+
+
+def _may_be_similar(x: pa.Scalar, y: pa.Scalar, n: int, m: int) -> bool:
+    """False only if the bitmaps prove that the sets aren't: a bit of one alone is a shingle of it alone."""
+    a, b = (np.unpackbits(np.frombuffer(z.as_buffer(), np.uint8)).astype(bool) for z in (x, y))
+    while len(a) > len(b):
+        a = a.reshape(-1, 2).any(axis=1)
+    while len(b) > len(a):
+        b = b.reshape(-1, 2).any(axis=1)
+    common = min(n - int((a & ~b).sum()), m - int((b & ~a).sum()))
+    return 100 * common >= 75 * (n + m - common)
+
+
+def _are_similar(x: pa.Scalar, y: pa.Scalar, n: int, m: int) -> bool:
+    both = np.sort(np.concatenate([_codes(x, n), _codes(y, m)]))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= 75 * (n + m - common)
+
+
+def _compared(sets: DataFrame, pairs: DataFrame, column: str, decide: Callable[[pa.Scalar, pa.Scalar, int, int], bool]) -> DataFrame:
+    """The pairs (a, b) with near: what decide says of the column of both."""
+    asked = sets.sparkSession.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+    mask = (1 << FILTER_BITS) - 1
 
-    sets = texts.mapInArrow(fetch, "node long, shingles binary").dropDuplicates(["node"])
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = asked.value
+        for t in batches:
+            low = t.column(0).to_numpy() & mask
+            yield t.filter(pa.array(((bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1).astype(bool)))
+
+    own = sets.select("node", "n", F.col(column).alias("x"))
+    own = own.mapInArrow(pick, own.schema).dropDuplicates(["node"])
+    side = lambda at, n, x: own.select(F.col("node").alias(at), F.col("n").alias(n), F.col("x").alias(x))
+    both = pairs.select("a", "b").join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            near = []
-            for x, y in zip(t["x"], t["y"], strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([u, v]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                near.append(100 * common >= 75 * (len(u) + len(v) - common))
+            near = [decide(x, y, n, m) for x, y, n, m in zip(t["x"], t["y"], t["n"].to_pylist(), t["m"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([t["a"], t["b"], pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, near boolean"), "verified")
+    return written(both.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a long, b long, near boolean"), "compared")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with whether their sets are similar: bitmaps first, whole sets for those that they don't rule out."""
+    may = _compared(sets, pairs, "bitmap", _may_be_similar)
+    return may.where(~F.col("near")).union(_compared(sets, may.where("near"), "shingles", _are_similar))
+
+
+MEMBER = ("node", "n", "first")
+OTHER = ("m", "k", "other_first")
+
+
+def _other(column: str) -> list[Column]:
+    return [F.col(f"{column}.{x}").alias(y) for x, y in zip(MEMBER, OTHER, strict=True)]
+
+
+def _fits() -> Column:
+    """Whether a member and another may be similar: by size, and as the smaller one's first signature is shared."""
+    small = F.when(F.col("n") < F.col("k"), F.col("first")).when(F.col("n") > F.col("k"), F.col("other_first")).otherwise(F.col("first") & F.col("other_first"))
+    return (F.least("n", "k") * 4 >= F.greatest("n", "k") * 3) & (F.col("node") != F.col("m")) & small
 
 
-def _pairs(rows: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
-    """Distinct pairs whose sizes allow similarity."""
-    fits = (F.least(nx, ny) * 4 >= F.greatest(nx, ny) * 3) & (F.col(x) != F.col(y))
-    return rows.where(fits).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of those that may be similar."""
+    return rows.where(_fits()).select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
 def links(texts: DataFrame) -> DataFrame:
@@ -266,30 +356,33 @@ def links(texts: DataFrame) -> DataFrame:
     index = _index(texts, frequent(texts))
     group = Window.partitionBy("sig")
     chain = group.orderBy("node")
-    spread = index.select("sig", "node", "n", F.min(F.struct("node", "n")).over(group).alias("lead"), F.max("node").over(group).alias("last"))
-    shared = written(spread.where(F.col("lead.node") != F.col("last")).select("sig", "node", "n", "lead"), "shared")
-    near = shared.select("node", "n", "lead", F.lag(F.struct("node", "n")).over(chain).alias("prev"))
-    near = near.select("node", "n", F.explode(F.array_compact(F.array("lead", "prev"))).alias("to"))
-    pairs = written(_pairs(near.select("node", "n", F.col("to.node").alias("m"), F.col("to.n").alias("k")), "node", "n", "m", "k"), "pairs")
-    tried = _verified(texts, pairs)
+    lead = F.min(F.struct(~F.col("first"), "node", "n", "first")).over(group)
+    spread = index.select("sig", *MEMBER, lead.alias("lead"), F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"))
+    shared = written(spread.where((F.col("low") != F.col("high")) & F.col("lead.first")).select("sig", *MEMBER, "lead"), "shared")
+    near = shared.select(*MEMBER, "lead", F.lag(F.struct(*MEMBER)).over(chain).alias("prev"))
+    to = F.explode(F.array_compact(F.array(F.struct(*[F.col(f"lead.{x}").alias(x) for x in MEMBER]), F.col("prev"))))
+    pairs = written(_pairs(near.select(*MEMBER, to.alias("to")).select(*MEMBER, *_other("to"))), "pairs")
+    sets = _sets_table(texts, shared.select("node"))
+    tried = _verified(sets, pairs)
     for turn in range(1 << 30):
         found = written(components(tried.where("near")), "components")
-        named = shared.select("sig", "node", "n").join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        named = named.select("sig", "node", "n", "label", F.min("label").over(group).alias("low"), F.max("label").over(group).alias("high")).where("low <> high")
+        named = shared.select("sig", *MEMBER).join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        named = named.select("sig", *MEMBER, "label", F.min("label").over(group).alias("low"), F.max("label").over(group).alias("high")).where("low <> high")
+        shared = written(named.select("sig", *MEMBER, "label"), "shared")  # groups within one component are done with
         if turn < 2:  # other leaders first: they join most of what belongs together
-            lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "label")).over(group)
-            split = named.withColumn("lead", lead).where(F.col("lead.label") != F.col("label"))
-            pairs = _pairs(split.select("node", "n", F.col("lead.node").alias("m"), F.col("lead.n").alias("k")), "node", "n", "m", "k")
+            lead = F.min(F.struct(~F.col("first"), F.xxhash64("node", F.lit(turn)), *MEMBER, "label")).over(group)
+            split = shared.withColumn("lead", lead).where(F.col("lead.label") != F.col("label"))
+            pairs = _pairs(split.select(*MEMBER, *_other("lead")))
         else:  # each pair of two components that shares a signature
-            one = named.select("sig", "node", "n", "label").distinct()
-            two = one.select("sig", F.col("node").alias("m"), F.col("n").alias("k"), F.col("label").alias("other"))
-            pairs = _pairs(one.join(two, "sig").where("node < m and label <> other"), "node", "n", "m", "k")
+            one = shared.distinct()
+            two = one.where("first").select("sig", *[F.col(x).alias(y) for x, y in zip(MEMBER, OTHER, strict=True)], F.col("label").alias("other"))
+            pairs = _pairs(one.join(two, "sig").where(_fits() & (F.col("label") != F.col("other"))))
         pairs = written(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if turn >= 2:
                 return found
             continue
-        tried = tried.union(_verified(texts, pairs))
+        tried = tried.union(_verified(sets, pairs))
     raise AssertionError
 
 
