@@ -35,7 +35,7 @@ RUN = 256
 #: Different segments of one shard that a task sorts; larger shards are counted by hashes.
 LARGE = 2_000
 #: Segments that a task sorts together, about.
-TOGETHER = 12_000
+TOGETHER = 4_000
 FILTER_BITS = 27
 
 
@@ -169,14 +169,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
+    text = text.astype(np.uint16)
     # a suffix rises if its next different character is greater; the last one falls
-    change = np.flatnonzero(text[1:] != text[:-1])
-    rising = np.zeros(n, bool)
-    if len(change):
-        at = np.searchsorted(change, np.arange(n - 1))
-        known = at < len(change)
-        place = change[at[known]]
-        rising[: n - 1][known] = text[place + 1] > text[place]
+    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
+    upward = np.append(text[change[:-1] + 1] > text[change[:-1]], False)
+    rising = np.repeat(upward, np.diff(change, prepend=-1))
     seeds = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     if len(seeds) > 1:
         order = induced(text, rising, seeds)
@@ -193,7 +190,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(len(seeds), np.int64)
         rank[ordered] = np.cumsum(new)
         reach = 1
-        while rank.max() < len(seeds) and reach < depth:  # pieces of twice as many names
+        while rank.max() < len(seeds) and 2 * reach <= depth:  # a piece has two characters at least; pieces of twice as many names
             following = np.concatenate([rank[reach:], np.zeros(min(reach, len(rank)), np.int64)])[: len(rank)]
             key = rank * (len(seeds) + 1) + following
             rank = np.unique(key, return_inverse=True)[1] + 1
@@ -206,7 +203,7 @@ def equal_windows(parts: list[bytes], window: int) -> list[np.ndarray]:
     """For each part, which of its windows occur more than once among all windows of the parts."""
     sizes = np.array([len(p) for p in parts])
     buf = np.frombuffer(b"".join(p + b"\0" for p in parts) + b"\0" * (window + 8), np.uint8)
-    text = buf[: int(sizes.sum()) + len(parts)].astype(np.int64) + 1
+    text = buf[: int(sizes.sum()) + len(parts)].astype(np.uint16) + np.uint16(1)
     begin = np.cumsum(sizes + 1) - sizes - 1
     text[begin + sizes] = 0
     places = np.zeros(len(text), bool)
