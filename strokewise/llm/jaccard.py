@@ -11,7 +11,8 @@ independent losses.  All candidates are verified on their whole sets.
 Groups of signatures aren't multiplied out.  Each member is compared with the
 group's leaders, links are joined to components, and only members of still
 different components are compared further, until each pair that shares a
-signature is verified or lies in one component.  So components are exact.
+signature is verified, is ruled out by the parity sketches that the join
+carries, or lies in one component.  So components are exact.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SMALL_LEVEL = 3
 FILTER_BITS = 26
 #: A bitmap of fixed size tells which shingles may occur twice; by their first bits.
 TWICE_BITS = 27
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
 
 
 def _sets(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -250,11 +253,11 @@ def _filter(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bitmap", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bitmap", T.BinaryType()), T.StructField("shingles", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
 def _sets_table(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, bitmap, shingles) of the nodes, written once: a bitmap of four or more bits a shingle, and the first 40 bits of each as sorted steps."""
+    """(node, n, bitmap, shingles, sketch) of the nodes, written once: a bitmap of four or more bits a shingle, the first 40 bits of each as sorted steps, and the parities of 64 * SKETCH bins."""
     asked = texts.sparkSession.sparkContext.broadcast(_filter(nodes))
     mask = (1 << FILTER_BITS) - 1
 
@@ -264,16 +267,18 @@ def _sets_table(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             low = nodes & mask
             wanted = np.flatnonzero((bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1)
             ends = np.cumsum(counts)
-            maps, steps = [], []
+            maps, steps, bins = [], [], []
             for i in wanted.tolist():
                 own = values[ends[i] - counts[i] : ends[i]]
                 width = 2 + int(len(own) - 1).bit_length() + 1
                 mark = np.zeros(1 << width, np.uint8)
                 mark[(own >> np.uint64(64 - width)).astype(np.int64)] = 1
                 maps.append(np.packbits(mark).tobytes())
+                odd = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                bins.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                 cut = np.diff(own >> np.uint64(24), prepend=np.uint64(0)).astype("<u8")
                 steps.append(pa.compress(np.ascontiguousarray(cut.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes(), "zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[wanted]), pa.array(counts[wanted].astype(np.int32)), pa.array(maps, pa.binary()), pa.array(steps, pa.binary())], names=SET.names)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[wanted]), pa.array(counts[wanted].astype(np.int32)), pa.array(maps, pa.binary()), pa.array(steps, pa.binary()), pa.array(bins, pa.list_(pa.int64()))], names=SET.names)
 
     return written(texts.mapInArrow(fetch, SET), "sets")
 
@@ -346,6 +351,12 @@ def _fits() -> Column:
     return (F.least("n", "k") * 4 >= F.greatest("n", "k") * 3) & (F.col("node") != F.col("m")) & small
 
 
+def _sketches_allow() -> Column:
+    """False only if the sketches prove that the sets aren't similar: each unequal parity is a shingle of one set alone, and similar sets have at most a seventh of their sizes' sum of those."""
+    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other_sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    return apart * 7 <= F.col("n") + F.col("k")
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs of those that may be similar."""
     return rows.where(_fits()).select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
@@ -364,7 +375,7 @@ def links(texts: DataFrame) -> DataFrame:
     pairs = written(_pairs(near.select(*MEMBER, to.alias("to")).select(*MEMBER, *_other("to"))), "pairs")
     sets = _sets_table(texts, shared.select("node"))
     tried = _verified(sets, pairs)
-    for turn in range(1 << 30):
+    for turn in range(3):
         found = written(components(tried.where("near")), "components")
         named = shared.select("sig", *MEMBER).join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
         named = named.select("sig", *MEMBER, "label", F.min("label").over(group).alias("low"), F.max("label").over(group).alias("high")).where("low <> high")
@@ -373,17 +384,13 @@ def links(texts: DataFrame) -> DataFrame:
             lead = F.min(F.struct(~F.col("first"), F.xxhash64("node", F.lit(turn)), *MEMBER, "label")).over(group)
             split = shared.withColumn("lead", lead).where(F.col("lead.label") != F.col("label"))
             pairs = _pairs(split.select(*MEMBER, *_other("lead")))
-        else:  # each pair of two components that shares a signature
-            one = shared.distinct()
-            two = one.where("first").select("sig", *[F.col(x).alias(y) for x, y in zip(MEMBER, OTHER, strict=True)], F.col("label").alias("other"))
-            pairs = _pairs(one.join(two, "sig").where(_fits() & (F.col("label") != F.col("other"))))
+        else:  # each pair of two components that shares a signature; after these nothing is left
+            one = shared.distinct().join(sets.select("node", "sketch").dropDuplicates(["node"]), "node")
+            two = one.where("first").select("sig", *[F.col(x).alias(y) for x, y in zip(MEMBER, OTHER, strict=True)], F.col("label").alias("other"), F.col("sketch").alias("other_sketch"))
+            pairs = _pairs(one.join(two, "sig").where(_fits() & (F.col("label") != F.col("other")) & _sketches_allow()))
         pairs = written(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn >= 2:
-                return found
-            continue
         tried = tried.union(_verified(sets, pairs))
-    raise AssertionError
+    return written(components(tried.where("near")), "components")
 
 
 RESULT = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
