@@ -47,7 +47,7 @@ def weak_concepts(answers: DataFrame, now: Column, order: list[str], k: int = 3)
     names = [f"w_{n}" for n in parts]
     top = F.greatest(*names)
     reason = F.coalesce(*[F.when(F.col(c) == top, c[2:]) for c in names])
-    score = F.round(sum(F.col(c) for c in names), 4)
+    score = F.round(sum(F.col(c) for c in names) * 10_000) / 10_000  # rounds the scaled double; its decimal text can fall on the other side of a tie
     rows = rows.select("student", "concept", F.round("mastery", 4).alias("mastery"), score.alias("weakness"), reason.alias("reason"), band(F.col("mastery")).alias("target_band"))
     rank = F.row_number().over(Window.partitionBy("student").orderBy(F.desc("weakness"), "concept"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
