@@ -9,9 +9,14 @@ documents.  Their log odds are mixed with weights chosen by the code's node and
 by whether the unit so far is known; the mixed probability is refined by a
 table of what came true.  Weights and table are learned online on a bounded
 sample of training documents, each bit's own occurrence taken out of the counts.
-Counts come from all training documents: tasks add up their own, one table of
-fixed size results.  As no context reaches beyond its unit, equal units of a
-task are computed once.
+
+Counts come from all training documents, and what is kept grows with them.
+Documents are dealt into pieces.  A piece sends each of its different pairs of
+context and next symbol, with how often they came, to the bucket of the
+context's hash (55 bits of it are compared); there are as many buckets as the
+text needs.  A bucket adds up and answers each piece with the counts at the
+nodes on the symbols' ways, in the order in which the piece asked.  As no
+context reaches beyond its unit, equal units of a piece are computed once.
 
 Base scores are unigram ones.  Counts of the most frequent words are sent to
 the tasks (a bounded number); rarer words of each document meet theirs in a join.
@@ -24,28 +29,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._tables import written
-from ._text import LOWER, NON_SPACE, Texts, _tables, free_name, lists, member, mix, ranges, span
+from ._text import LOWER, NON_SPACE, Texts, _tables, free_name, lists, mix, ranges, span
 
-#: Slots of each predictor's table, as a power of two, and words whose counts tasks keep.
-SLOT_BITS = 21
+#: Words whose counts tasks keep.
 FREQUENT_WORDS = 1 << 20
+#: Slots of each predictor in _look_up's table, as a power of two (only for trying a model without a corpus).
+SLOT_BITS = 21
 #: Characters of the sample on which weights are learned, about.
 SAMPLE = 3_000_000
 #: Bytes before, for each predictor but the last, which has the unit so far.
 ORDERS = (2, 3, 5)
 PREDICTORS = len(ORDERS) + 1
 END = 256
-PART = 4 << 20
-#: Bytes of text whose equal units are counted together, and units whose scores a task remembers.
-TOGETHER = 12 << 20
-REMEMBERED = 1 << 20
+#: Bytes of text in a piece, and for each bucket, about.
+PIECE = 6 << 20
+BUCKET = 8 << 20
 CHUNK = 1 << 18
-BLOCK = 1 << 15
+#: A key is a context's hash with the next symbol in its last bits.
+SYMBOL = np.uint64(511)
 
 #: Counts by level: a count is kept as the last level that it reaches.
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 512, 4096, 65536])
@@ -116,16 +123,6 @@ class Units:
         out.starts, out.kinds = out.ends - sizes, self.kinds[which]
         return out
 
-    @classmethod
-    def joined(cls, parts: list[Units]) -> Units:
-        out = object.__new__(Units)
-        shift = np.cumsum([0, *[len(p.buf) for p in parts]])
-        out.buf = np.concatenate([p.buf for p in parts])
-        out.starts = np.concatenate([p.starts + d for p, d in zip(parts, shift, strict=False)])
-        out.ends = np.concatenate([p.ends + d for p, d in zip(parts, shift, strict=False)])
-        out.kinds = np.concatenate([p.kinds for p in parts])
-        return out
-
     def spelled(self, which: np.ndarray, code: Code) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Some units at a time: slots of each predictor, node and bit of each bit, and the place in `which` of its unit."""
         sizes = (self.ends - self.starts)[which]
@@ -137,6 +134,16 @@ class Units:
             at = stop
 
     def _some(self, which: np.ndarray, base: int, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        contexts, spelt, unit = self.symbols(which)
+        lengths = code.sizes[spelt]
+        steps = ranges(code.first[spelt], lengths)
+        nodes = code.nodes[steps]
+        salt = (nodes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
+        slots = np.stack([(mix(np.repeat(c, lengths) + salt) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for c in contexts])
+        return slots, nodes, code.bits[steps], np.repeat(unit + base, lengths)
+
+    def symbols(self, which: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """For each symbol of some units: its context's hash for each predictor, itself, and the place in `which` of its unit."""
         sizes, kinds = (self.ends - self.starts)[which], self.kinds[which]
         room = sizes + (kinds & 1) + 7  # six zeros, the kind, the bytes, perhaps the end mark
         begin = np.cumsum(room) - room + 6
@@ -146,32 +153,17 @@ class Units:
         symbols[(begin + 1 + sizes)[kinds & 1 == 1]] = END
         length = sizes + (kinds & 1)
         at = ranges(begin + 1, length)
-        low = symbols.astype(np.uint32) + np.uint32(1)
-        hashes, h, done = [], np.zeros(len(at), np.uint32), 0
+        contexts, h, done = [], np.zeros(len(at), np.uint64), 0
         for order in ORDERS:
             for k in range(done + 1, order + 1):
-                h = h + low[at - k] * np.uint32(0x9E3779B1 * (2 * k + 1) & 0xFFFFFFFF)
-                h = h ^ (h >> np.uint32(15))
+                h = (h << np.uint64(9)) + symbols[at - k].astype(np.uint64)  # 45 bits at most: nothing is lost
             done = order
-            hashes.append(h * np.uint32(0x85EBCA77) + np.uint32(order))
+            contexts.append(mix(h + (np.uint64(order) << np.uint64(48))))
         power, inverse = _tables(len(symbols) + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((symbols.astype(np.uint64) + np.uint64(7)) * power[: len(symbols)])])
         own = np.repeat(begin, length)
-        hashes.append((mix((sums[at] - sums[own]) * inverse[own]) >> np.uint64(32)).astype(np.uint32))
-        spelt = symbols[at]
-        lengths = code.sizes[spelt]
-        steps = ranges(code.first[spelt], lengths)
-        nodes = code.nodes[steps]
-        salt = (nodes.astype(np.uint32) + np.uint32(1)) * np.uint32(0x2545F491)
-        slots = np.empty((PREDICTORS, len(nodes)), np.int64)
-        for k, h in enumerate(hashes):
-            h = np.repeat(h, lengths) + salt
-            h ^= h >> np.uint32(16)
-            h *= np.uint32(0x7FEB352D)
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x846CA68B)
-            slots[k] = h >> np.uint32(32 - SLOT_BITS)
-        return slots, nodes, code.bits[steps], np.repeat(np.repeat(np.arange(base, base + len(which)), length), lengths)
+        contexts.append(mix((sums[at] - sums[own]) * inverse[own]))
+        return contexts, symbols[at], np.repeat(np.arange(len(which)), length)
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -209,51 +201,127 @@ def word_counts(train: DataFrame) -> DataFrame:
     return written(train.mapInArrow(run, "byte boolean, word long, count long").groupBy("byte", "word").agg(F.sum("count").alias("count")), "words")
 
 
-def bit_counts(train: DataFrame, code: Code) -> np.ndarray:
-    """For each predictor and slot the levels of how often a 0 and a 1 came, in one byte."""
+def pieces(docs: DataFrame) -> DataFrame:
+    """docs (whose text is t) with a column piece, as a table; rows of a piece hold about PIECE bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((PREDICTORS, 2 << SLOT_BITS), np.uint32)
-        held: list[tuple[np.ndarray, np.ndarray, Units]] = []
-
-        def add() -> None:
-            _, at, inverse = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
-            times = np.bincount(inverse, np.concatenate([n for _, n, _ in held])).astype(np.uint32)
-            for slots, _, bits, unit in Units.joined([u for _, _, u in held]).spelled(at, code):
-                n = times[unit]
-                for k in range(PREDICTORS):
-                    np.add.at(counts[k], 2 * slots[k] + bits, n)
-            held.clear()
-
-        size = 0
+        base, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for _, part in Texts.of(batch.column(0)).parts(PART):
-                units = Units(part)
-                keys, which, _, times = units.distinct(part)
-                held.append((keys, times, units.only(which)))
-                size += len(part.buf)
-                if size >= TOGETHER:
-                    add()
-                    size = 0
-        if held:
-            add()
-        blocks = counts.reshape(-1, BLOCK)
-        full = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([pa.compress(np.ascontiguousarray(blocks[i].view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True) for i in full], pa.binary())], names=["block", "pack"])
-
-    def add_up(block: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for pack in block["pack"]:
-            planes = np.frombuffer(pa.decompress(pack.as_buffer(), 4 * BLOCK, "zstd"), np.uint8).reshape(4, BLOCK)
-            total += np.ascontiguousarray(planes.T).view("<u4").ravel()
-        level = (np.searchsorted(LEVELS, total, "right") - 1).astype(np.uint8)
-        return pa.table({"block": block["block"].slice(0, 1), "levels": [(level[::2] * 16 + level[1::2]).tobytes()]})
-
-    got = train.mapInArrow(run, "block int, pack binary").groupBy("block").applyInArrow(add_up, "block int, levels binary").collect()  # PREDICTORS << SLOT_BITS bytes at most
-    out = np.zeros((PREDICTORS << SLOT_BITS) // (BLOCK // 2) * (BLOCK // 2), np.uint8)
-    for r in got:
-        out[r.block * (BLOCK // 2) : (r.block + 1) * (BLOCK // 2)] = np.frombuffer(r.levels, np.uint8)
-    return out.reshape(PREDICTORS, 1 << SLOT_BITS)
+            sizes = np.cumsum(Texts.of(batch.column(batch.schema.names.index("t"))).sizes() + 8) + size
+            starts = np.append(size, sizes[:-1])
+            size = int(sizes[-1]) if len(sizes) else size
+            yield pa.RecordBatch.from_arrays([pa.array(base + starts[: batch.num_rows] // PIECE, pa.int64()), *batch.columns], names=["piece", *batch.schema.names])
+
+    return written(docs.mapInArrow(run, T.StructType([T.StructField("piece", T.LongType()), *docs.schema.fields])), "pieces")
+
+
+class Piece:
+    """A piece's different units, its keys (context and symbol) and, with the buckets' answers, what is known at each bit."""
+
+    def __init__(self, texts: Texts, train: np.ndarray, code: Code, buckets: int):
+        self.units, self.code = Units(texts), code
+        _, which, self.inverse, _ = self.units.distinct(texts)
+        self.times = np.bincount(self.inverse, train[self.units.owner], len(which))
+        contexts, self.symbols, self.unit = self.units.only(which).symbols(np.arange(len(which)))
+        low, keys, self.places, first = self.symbols.astype(np.uint64), [], [], 0
+        while contexts:
+            found, inverse = np.unique((contexts.pop(0) & ~SYMBOL) | low, return_inverse=True)
+            self.places.append((inverse + first).astype(np.int32))
+            keys.append(found)
+            first += len(found)
+        self.keys = np.concatenate(keys)
+        bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+
+    @classmethod
+    def of(cls, rows: pa.Table, code: Code, buckets: int) -> Piece:
+        return cls(Texts.of(rows["t"]), ~rows["held_out"].to_numpy(), code, buckets)
+
+    def sent(self) -> pa.Table:
+        times = np.zeros(len(self.keys))
+        for p in self.places:
+            times += np.bincount(p, self.times[self.unit], len(times))
+        keys, times = self.keys[self.order], times[self.order].astype("<u4")
+        full = np.flatnonzero(np.diff(self.cuts))
+        parts = [slice(self.cuts[b], self.cuts[b + 1]) for b in full]
+        return pa.table({"bucket": pa.array(full, pa.int32()), "keys": pa.array([keys[p].tobytes() for p in parts], pa.binary()), "times": pa.array([times[p].tobytes() for p in parts], pa.binary())})
+
+    def take(self, answers: pa.Table) -> None:
+        sizes = self.code.sizes[(self.keys & SYMBOL).astype(np.int64)]
+        ends = np.cumsum(sizes[self.order])
+        self.starts = np.empty(len(sizes), np.int64)
+        self.starts[self.order] = ends - sizes[self.order]
+        answers = answers.sort_by("bucket")
+        self.states = np.frombuffer(b"".join(pa.decompress(p.as_buffer(), n, "zstd", asbytes=True) for p, n in zip(answers["pack"], answers["size"].to_pylist(), strict=True)), np.uint8)
+        if len(self.states) != ends[-1]:
+            raise ValueError("a piece's answers don't fit its questions")
+
+    def known(self, trained: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some symbols at a time: states of each predictor, node, bit and unit of each bit; of training documents' units alone, if so asked."""
+        which = np.flatnonzero(self.times[self.unit] > 0) if trained else np.arange(len(self.unit))
+        for a in range(0, len(which), CHUNK):
+            at = which[a : a + CHUNK]
+            lengths = self.code.sizes[self.symbols[at]]
+            steps = ranges(self.code.first[self.symbols[at]], lengths)
+            states = np.stack([self.states[ranges(self.starts[p[at]], lengths)] for p in self.places])
+            yield states, self.code.nodes[steps], self.code.bits[steps], np.repeat(self.unit[at], lengths)
+
+
+def levels_of(keys: np.ndarray, times: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For keys with how often they came: each one's place among the different ones, and of those the states on the symbols' ways, where each one's begin, and how many they are.
+
+    A state has the levels of how often, after this context, a 0 and a 1 came at a node.
+    """
+    found, inverse = np.unique(keys, return_inverse=True)
+    total = np.bincount(inverse, times, len(found))
+    symbol = (found & SYMBOL).astype(np.int64)
+    lengths = code.sizes[symbol]
+    starts = np.cumsum(lengths) - lengths
+    steps = ranges(code.first[symbol], lengths)
+    bits = code.bits[steps]
+    level = lambda n: (np.searchsorted(LEVELS, n, "right") - 1).astype(np.uint8)
+    # a context's only symbol: all that came went its way
+    states = np.repeat(level(total), lengths)
+    states <<= 4 * (1 - bits)
+    context = found >> np.uint64(9)
+    new = np.append(True, context[1:] != context[:-1])
+    group = np.cumsum(new) - 1
+    many = np.flatnonzero(np.bincount(group)[group] > 1)
+    group = np.cumsum(new[many]) - 1
+    for a in range(0, int(group[-1]) + 1 if len(many) else 0, 4096):
+        first, last = np.searchsorted(group, [a, a + 4096])
+        which = many[first:last]
+        at = ranges(starts[which], lengths[which])
+        cell = np.repeat((group[first:last] - a) * code.nodes_total, lengths[which]) + code.nodes[steps[at]]
+        n = np.repeat(total[which], lengths[which])
+        ones, all_ = np.bincount(cell, n * bits[at]), np.bincount(cell, n)
+        states[at] = level((all_ - ones)[cell]) * 16 + level(ones[cell])
+    return inverse, states, starts, lengths
+
+
+def bit_counts(rows: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
+    """(piece, bucket, size, pack): the states that a bucket of contexts answers a piece with."""
+
+    def send(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+        made = Piece.of(docs, shared.value, buckets).sent()
+        return made.add_column(0, "piece", pa.array(np.full(made.num_rows, key[0].as_py()), pa.int64()))
+
+    def answer(asked: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in asked["keys"]]
+        times = np.concatenate([np.frombuffer(n.as_buffer(), "<u4") for n in asked["times"]])
+        ends = np.cumsum([len(k) for k in keys])
+        inverse, states, starts, lengths = levels_of(np.concatenate(keys), times, shared.value)
+        packs, sizes = [], []
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            which = inverse[a:b]
+            raw = states[ranges(starts[which], lengths[which])].tobytes()
+            packs.append(pa.compress(raw, "zstd", asbytes=True))
+            sizes.append(len(raw))
+        return pa.table({"piece": asked["piece"], "bucket": asked["bucket"], "size": pa.array(sizes, pa.int64()), "pack": pa.array(packs, pa.binary())})
+
+    sent = rows.select("piece", "held_out", "t").groupBy("piece").applyInArrow(send, "piece long, bucket int, keys binary, times binary")
+    return written(sent.groupBy("bucket").applyInArrow(answer, "piece long, bucket int, size long, pack binary"), "bits")
 
 
 _TYPICAL = np.append((LEVELS[:-1] + np.append(LEVELS[1:-1], LEVELS[-1])) / 2, LEVELS[-1] * 2.0)
@@ -275,6 +343,7 @@ class Mixer:
     def __init__(self, nodes: int):
         self.weights = np.full((4 * nodes, PREDICTORS + 1), 0.35, np.float32)
         self.weights[:, -1] = 0
+        self.visits = np.zeros(4 * nodes)
         self.hits = np.zeros((nodes, self.STEPS, 2)) + 0.02
         self.centres = np.linspace(-8, 8, self.STEPS, dtype=np.float32)
 
@@ -290,20 +359,35 @@ class Mixer:
     def _step(self, odds: np.ndarray) -> np.ndarray:
         return np.clip(np.rint((odds + 8) * ((self.STEPS - 1) / 16)), 0, self.STEPS - 1).astype(np.int64)
 
-    def learn(self, states: np.ndarray, nodes: np.ndarray, bits: np.ndarray, batch: int = 2048, rate: float = 0.3) -> None:
-        """Online: a bit's error moves the weights of its gate, what came true the refining table."""
+    def learn(self, states: np.ndarray, nodes: np.ndarray, bits: np.ndarray, times: np.ndarray, batch: int = 2048, rate: float = 0.3) -> None:
+        """Online: a bit's error, as often as it came, moves the weights of its gate, what came true the refining table."""
         x, gates = self.inputs(states, nodes)
         for i, a in enumerate(range(0, len(bits), batch)):
             at = slice(a, a + batch)
             odds = self.odds(x[:, at], gates[at])
-            error = bits[at] - 1 / (1 + np.exp(-odds))
+            error = (bits[at] - 1 / (1 + np.exp(-odds))) * times[at]
             g = gates[at]
-            n = np.bincount(g, minlength=len(self.weights))
+            n = np.bincount(g, times[at], len(self.weights))
+            self.visits += n
             scale = rate / (1 + i / 200) ** 0.5 / np.maximum(n, 8)
             for k in range(PREDICTORS + 1):
                 grad = error * x[k, at] if k < PREDICTORS else error
                 self.weights[:, k] += (np.bincount(g, grad, len(self.weights)) * scale * 0.3).astype(np.float32)
-            np.add.at(self.hits, (nodes[at], self._step(odds), bits[at]), 1)
+            np.add.at(self.hits, (nodes[at], self._step(odds), bits[at]), times[at])
+
+    def state(self) -> np.ndarray:
+        """What can be added up: weights' moves by visits, visits, and hits, each without its first value."""
+        start = Mixer(len(self.hits))
+        return np.concatenate([((self.weights - start.weights) * self.visits[:, None].astype(float)).ravel(), self.visits, (self.hits - start.hits).ravel()])
+
+    @classmethod
+    def of(cls, nodes: int, state: np.ndarray) -> Mixer:
+        """The mixer of a sum of states: weights are their averages by visits."""
+        out = cls(nodes)
+        moves, out.visits, hits = np.split(state, [out.weights.size, out.weights.size + len(out.visits)])
+        out.weights += (moves.reshape(out.weights.shape) / np.maximum(out.visits, 1)[:, None]).astype(np.float32)
+        out.hits += hits.reshape(out.hits.shape)
+        return out
 
     def finish(self) -> None:
         prior = 1 / (1 + np.exp(-self.centres.astype(float)))
@@ -320,6 +404,28 @@ class Mixer:
 SCORED = T.StructType([T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("bits_log", T.DoubleType()), ("n_bytes", T.LongType()), ("rare", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("times", T.IntegerType())]))))])
 
 
+def learned(rows: DataFrame, answers: DataFrame, shared: Broadcast, buckets: int) -> Mixer:
+    """A mixer of all pieces: each is learned by itself, in a task, and their states of fixed size are added up, groups of them first."""
+
+    def learn(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        code = shared.value
+        piece, mixer = Piece.of(docs, code, buckets), Mixer(code.nodes_total)
+        piece.take(answers)
+        for states, nodes, bits, unit in piece.known(trained=True):
+            mixer.learn(WITHOUT[bits, states], nodes, bits, piece.times[unit])
+        return pa.table({"piece": docs["piece"].slice(0, 1), "state": pa.array([mixer.state().tobytes()], pa.binary())})
+
+    def add(states: pa.Table) -> pa.Table:
+        return pa.table({"state": pa.array([sum(np.frombuffer(s.as_buffer()) for s in states["state"]).tobytes()], pa.binary())})
+
+    nodes = shared.value.nodes_total
+    each = rows.select("piece", "held_out", "t").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(learn, "piece long, state binary")
+    total = np.zeros_like(Mixer(nodes).state())
+    for r in each.groupBy(F.pmod(F.xxhash64("piece"), F.lit(32))).applyInArrow(add, "state binary").toLocalIterator():  # 32 rows at most
+        total += np.frombuffer(r.state)
+    return Mixer.of(nodes, total)
+
+
 def _look_up(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return np.stack([table[k][slots[k]] for k in range(PREDICTORS)])
 
@@ -355,61 +461,48 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: li
     order = np.argsort(top["word"].to_numpy())
     known, known_counts = top["word"].to_numpy()[order], top["count"].to_numpy()[order]
 
+    names = [f"c{i}" for i in range(len(keep))]
+    carried = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], _held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = pieces(carried)
     code = Code(byte_counts)
-    table = bit_counts(train, code)
-    mixer = Mixer(code.nodes_total)
+    shared_code = spark.sparkContext.broadcast(code)
+    buckets = 1 + int(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BUCKET
+    answers = bit_counts(rows, shared_code, buckets)
     share = min(1.0, sample / max(1, int(byte_counts[:256].sum())))
-    few = sorted(r.t for r in train.sample(share, seed).collect())  # about `sample` bytes
-    if few:
-        units = Units(Texts.of(pa.array(few, pa.string())))
-        for slots, nodes, bits, _ in units.spelled(np.arange(len(units.starts)), code):
-            mixer.learn(WITHOUT[bits, _look_up(table, slots)], nodes, bits)
+    ids = rows.select("piece").distinct()
+    few = ids.orderBy(F.xxhash64("piece", F.lit(seed))).limit(max(1, round(share * ids.count())))
+    some = F.col("piece").isin([r.piece for r in few.collect()])  # pieces of about `sample` bytes
+    mixer = learned(rows.where(some), answers.where(some), shared_code, buckets)
     mixer.finish()
-    shared = spark.sparkContext.broadcast((code, table, mixer, known, known_counts))
+    shared = spark.sparkContext.broadcast((code, mixer, known, known_counts))
     log_all = float(np.log10(total + kinds + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, table, mixer, known, known_counts = shared.value
-        memory = np.zeros(0, np.uint64), np.zeros(0)  # keys in order, and scores
-        for batch in batches:
-            column = batch.column(batch.schema.names.index("t"))
-            others = [f for f in batch.schema.names if f != "t"]
-            for rows, texts in Texts.of(column).parts(PART):
-                units = Units(texts)
-                keys, which, inverse, _ = units.distinct(texts)
-                at = member(keys, memory[0])
-                each = memory[1][at] if len(memory[0]) else np.zeros(len(keys))
-                fresh = np.flatnonzero(at < 0)
-                found = np.zeros(len(fresh))
-                for slots, nodes, bits, unit in units.spelled(which[fresh], code):
-                    logs = mixer.log_probabilities(_look_up(table, slots), nodes, bits)
-                    found[unit[0] : unit[-1] + 1] = np.bincount(unit - unit[0], logs)
-                each[fresh] = found
-                if len(memory[0]) + len(fresh) > REMEMBERED:
-                    memory = keys, each.copy()
-                else:
-                    all_keys, all_scores = np.concatenate([memory[0], keys[fresh]]), np.concatenate([memory[1], found])
-                    order = np.argsort(all_keys, kind="stable")
-                    memory = all_keys[order], all_scores[order]
-                score = np.bincount(units.owner, each[inverse], len(texts))
-                h, first = _word_hashes(texts)
-                n = np.diff(first)
-                doc = np.repeat(np.arange(len(texts)), n)
-                at = np.searchsorted(known, h)
-                at[at == len(known)] = 0
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-                base = np.bincount(doc[hit], np.log10(known_counts[at[hit]] + 1) - log_all, len(texts)) + (np.log10(ends + 1) - log_all)
-                seen = np.bincount(doc[hit], minlength=len(texts)) + (ends > 0)
-                rare, times = np.unique(np.stack([doc[~hit], h[~hit]]), axis=1, return_counts=True) if (~hit).any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                items = pa.StructArray.from_arrays([pa.array(rare[1]), pa.array(times.astype(np.int32))], names=["word", "times"])
-                made = [pa.array(n + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score / np.log(10)), pa.array(texts.sizes()), lists(items, np.bincount(rare[0], minlength=len(texts)))]
-                kept = [batch.column(batch.schema.names.index(f)).slice(rows.start, len(texts)) for f in others]
-                yield pa.RecordBatch.from_arrays([*kept, pa.StructArray.from_arrays(made, names=SCORED.names)], names=[*others, "found"])
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        code, mixer, known, known_counts = shared.value
+        docs = docs.combine_chunks()
+        texts = Texts.of(docs["t"])
+        piece = Piece.of(docs, code, buckets)
+        piece.take(answers)
+        each = np.zeros(len(piece.times))
+        for states, nodes, bits, unit in piece.known():
+            each[unit[0] : unit[-1] + 1] += np.bincount(unit - unit[0], mixer.log_probabilities(states, nodes, bits))
+        score = np.bincount(piece.units.owner, each[piece.inverse], len(texts))
+        h, first = _word_hashes(texts)
+        n = np.diff(first)
+        doc = np.repeat(np.arange(len(texts)), n)
+        at = np.searchsorted(known, h)
+        at[at == len(known)] = 0
+        hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+        base = np.bincount(doc[hit], np.log10(known_counts[at[hit]] + 1) - log_all, len(texts)) + (np.log10(ends + 1) - log_all)
+        seen = np.bincount(doc[hit], minlength=len(texts)) + (ends > 0)
+        rare, times = np.unique(np.stack([doc[~hit], h[~hit]]), axis=1, return_counts=True) if (~hit).any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        items = pa.StructArray.from_arrays([pa.array(rare[1]), pa.array(times.astype(np.int32))], names=["word", "times"])
+        made = [pa.array(n + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score / np.log(10)), pa.array(texts.sizes()), lists(items, np.bincount(rare[0], minlength=len(texts)))]
+        return docs.drop_columns(["piece", "t"]).append_column("found", pa.StructArray.from_arrays(made, names=SCORED.names))
 
-    names = [f"c{i}" for i in range(len(keep))]
-    carried = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], _held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     fields = [f for f in carried.schema.fields if f.name != "t"]
-    rows = written(carried.mapInArrow(run, T.StructType([*fields, T.StructField("found", SCORED)])), "scored").withColumn("row", F.monotonically_increasing_id())
+    found = rows.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score, T.StructType([*fields, T.StructField("found", SCORED)]))
+    rows = written(found, "scored").withColumn("row", F.monotonically_increasing_id())
     rare = rows.select("row", F.explode("found.rare").alias("r")).select("row", "r.word", "r.times")
     one = F.log10(F.coalesce("count", F.lit(0)) + 1) - F.lit(log_all)
     late = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("times") * one).alias("late"), F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("more"))

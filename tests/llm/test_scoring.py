@@ -65,3 +65,34 @@ def test_columns_and_empty(spark):
     out = sc.scored(d, keep=["doc_id", "score"])
     assert out.columns[:3] == ["doc_id", "score_", "held_out"] and out.count() == 1
     assert sc.scored(d.limit(0)).count() == 0
+
+
+def test_counts_are_of_whole_contexts():
+    """However many contexts there are, each one's counts at each node are its own, not those of a slot shared with others."""
+    code = sc.Code(np.arange(257) % 7)
+    rng = np.random.default_rng(3)
+    contexts = rng.integers(0, 1 << 55, 60_000, dtype=np.uint64)
+    contexts = np.concatenate([contexts, contexts[:20_000]])
+    symbols = rng.integers(0, 257, len(contexts))
+    times = rng.integers(0, 5, len(contexts))
+    inverse, states, starts, lengths = sc.levels_of(contexts << np.uint64(9) | symbols.astype(np.uint64), times, code)
+    want = {}
+    way = lambda s: range(code.first[s], code.first[s] + code.sizes[s])
+    for c, s, n in zip(contexts.tolist(), symbols.tolist(), times.tolist()):
+        for i in way(s):
+            want.setdefault((c, code.nodes[i]), [0, 0])[code.bits[i]] += n
+    level = lambda n: int(np.searchsorted(sc.LEVELS, n, "right") - 1)
+    for c, s, u in list(zip(contexts.tolist(), symbols.tolist(), inverse.tolist()))[::37]:
+        pairs = [want[c, code.nodes[i]] for i in way(s)]
+        assert states[starts[u] : starts[u] + lengths[u]].tolist() == [16 * level(a) + level(b) for a, b in pairs]
+
+
+def test_scores_do_not_depend_on_how_documents_are_dealt(spark, monkeypatch):
+    rows = corpus(200)
+    made = []
+    for size, parts in ((sc.PIECE, 1), (2_000, 3)):
+        monkeypatch.setattr(sc, "PIECE", size)
+        monkeypatch.setattr(sc, "BUCKET", size)
+        monkeypatch.setattr(sc, "learned", lambda *a: sc.Mixer(256))
+        made.append({r.doc_id: r.score for r in sc.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()})
+    assert made[0].keys() == made[1].keys() and all(math.isclose(made[0][d], made[1][d], rel_tol=1e-6) for d in made[0])
