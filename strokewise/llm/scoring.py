@@ -7,8 +7,9 @@ of a sentence, or within one).  For every bit several predictors look up what
 followed their hashed context (the last bytes, the unit so far) in all training
 documents.  Their log odds are mixed with weights chosen by the code's node and
 by whether the unit so far is known; the mixed probability is refined by a
-table of what came true.  Weights and table are learned online on a bounded
-sample of training documents, each bit's own occurrence taken out of the counts.
+table of what came true.  Weights and table are learned on all training
+documents, each bit's own occurrence taken out of the counts: online within each
+piece of them, and the pieces' states, of fixed size, are added up.
 
 Counts come from all training documents, and what is kept grows with them.
 Documents are dealt into pieces.  A piece sends each of its different pairs of
@@ -41,8 +42,6 @@ from ._text import LOWER, NON_SPACE, Texts, _tables, free_name, lists, mix, rang
 FREQUENT_WORDS = 1 << 20
 #: Slots of each predictor in _look_up's table, as a power of two (only for trying a model without a corpus).
 SLOT_BITS = 21
-#: Characters of the sample on which weights are learned, about.
-SAMPLE = 3_000_000
 #: Bytes before, for each predictor but the last, which has the unit so far.
 ORDERS = (2, 3, 5)
 PREDICTORS = len(ORDERS) + 1
@@ -430,7 +429,7 @@ def _look_up(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return np.stack([table[k][slots[k]] for k in range(PREDICTORS)])
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, sample: int = SAMPLE, frequent: int = FREQUENT_WORDS, seed: int = 5) -> DataFrame:
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, frequent: int = FREQUENT_WORDS) -> DataFrame:
     """The kept columns (doc_id alone by default) and held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Documents whose crc32(id as text) leaves 2 on division by 7 are held out;
@@ -468,11 +467,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: li
     shared_code = spark.sparkContext.broadcast(code)
     buckets = 1 + int(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BUCKET
     answers = bit_counts(rows, shared_code, buckets)
-    share = min(1.0, sample / max(1, int(byte_counts[:256].sum())))
-    ids = rows.select("piece").distinct()
-    few = ids.orderBy(F.xxhash64("piece", F.lit(seed))).limit(max(1, round(share * ids.count())))
-    some = F.col("piece").isin([r.piece for r in few.collect()])  # pieces of about `sample` bytes
-    mixer = learned(rows.where(some), answers.where(some), shared_code, buckets)
+    mixer = learned(rows, answers, shared_code, buckets)
     mixer.finish()
     shared = spark.sparkContext.broadcast((code, mixer, known, known_counts))
     log_all = float(np.log10(total + kinds + 1))

@@ -96,3 +96,18 @@ def test_scores_do_not_depend_on_how_documents_are_dealt(spark, monkeypatch):
         monkeypatch.setattr(sc, "learned", lambda *a: sc.Mixer(256))
         made.append({r.doc_id: r.score for r in sc.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()})
     assert made[0].keys() == made[1].keys() and all(math.isclose(made[0][d], made[1][d], rel_tol=1e-6) for d in made[0])
+
+
+def test_weights_are_learned_on_all_training_documents(spark, monkeypatch):
+    """Every bit of every training document is visited, in each piece, and none of those held out."""
+    seen = []
+    learned = sc.learned
+    monkeypatch.setattr(sc, "PIECE", 20_000)
+    monkeypatch.setattr(sc, "learned", lambda *a: seen.append((learned(*a), a[2].value)) or seen[-1][0])
+    rows = [(i, t * 200) for i, t in corpus(100)]  # 3.9 million bytes, more than any sample before
+    assert sum(len(t.encode()) for _, t in rows) > 3_500_000
+    sc.scored(spark.createDataFrame(rows, "doc_id long, text string"))
+    mixer, code = seen[0]
+    train = [t.encode() for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    bits = sum(int(code.sizes[list(t)].sum()) + int(code.sizes[sc.END]) for t in train)
+    assert mixer.visits.sum() == bits and round((mixer.hits - 0.02).sum()) == bits
