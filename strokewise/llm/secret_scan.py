@@ -9,7 +9,8 @@ pile up near 0; secrets are spread evenly.  For each encoding and band of
 lengths the even part is estimated from the upper half of the p-values; the
 least threshold is taken at which the expected share of others among the
 accepted stays within ``RATE``.  Short tokens, where the tests tell little,
-so get a threshold of their own, or none.
+so get a threshold of their own, or none.  Each different token counts once,
+however often it is repeated; bands with few tokens take in their neighbours.
 
 Native: column expressions only.
 """
@@ -38,6 +39,9 @@ BINS = 40
 #: The share of false discoveries to stay within, and how many tokens a band needs.
 RATE = 0.05
 LEAST = 20
+#: No token with a lower p-value counts as random, whatever its band's threshold: the rate is one
+#: of different tokens, and one that is plainly not random may be repeated without end.
+FLOOR = 0.001
 
 
 def _tail(z: Column) -> Column:
@@ -95,10 +99,18 @@ def _band(length: Column) -> Column:
 def thresholds(counts: dict[tuple, dict[int, int]], rate: float = RATE, least: int = LEAST) -> dict[tuple, float]:
     """(encoding, band) -> the p-value from which on tokens count as random; strata that never meet the rate have none.
 
-    counts: (encoding, band) -> bin -> number of tokens, over all documents.
+    counts: (encoding, band) -> bin -> number of different tokens, over all
+    documents.  A band with fewer than ``least`` is judged together with as many
+    neighbouring bands of its encoding, on both sides, as it takes.
     """
     out = {}
-    for stratum, bins in counts.items():
+    for encoding, band in counts:
+        stratum, at, bins = (encoding, band), BANDS.index(band), {}
+        for width in range(len(BANDS)):
+            near = [counts.get((encoding, b), {}) for b in BANDS[max(at - width, 0) : at + width + 1]]
+            bins = {b: sum(x.get(b, 0) for x in near) for b in range(BINS)}
+            if sum(bins.values()) >= least:
+                break
         total = sum(bins.values())
         even = min(1.0, 2 * sum(n for b, n in bins.items() if b >= BINS // 2) / total)
         if total < least or even == 0:
@@ -131,12 +143,13 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rat
         )
 
     base = F.concat(let(matches(t, ASSIGN), assigned), F.transform(F.filter(matches(t, ACCESS), lambda x: x["end"] - x["start"] >= 20), lambda x: span(x, 1)), F.transform(matches(t, HEX), lambda x: span(x, 2)))
-    tokens = F.transform(matches(t, CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), randomness(x["match"]).alias("r")))
+    tokens = F.transform(matches(t, CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["match"]).alias("token"), randomness(x["match"]).alias("r")))
     cleared = lambda b: F.filter(tokens, lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     found = let(F.sort_array(base), lambda b: F.struct(b.alias("base"), cleared(b).alias("tokens")))
     rows = written(docs.select(*keep, found.alias(name)), "secrets")
     each = rows.select(F.explode(F.col(name)["tokens"]).alias("x"))
-    bins = each.groupBy(F.col("x.r.encoding").alias("e"), _band(F.col("x.end") - F.col("x.start")).alias("b"), F.least(F.floor(F.col("x.r.p") * BINS), F.lit(BINS - 1)).alias("bin")).count()
+    once = each.select(F.col("x.r.encoding").alias("e"), _band(F.col("x.end") - F.col("x.start")).alias("b"), F.least(F.floor(F.col("x.r.p") * BINS), F.lit(BINS - 1)).alias("bin"), "x.token").distinct()
+    bins = once.groupBy("e", "b", "bin").count()
     counts: dict[tuple, dict[int, int]] = {}
     for r in bins.collect():  # encodings x bands x bins at most
         counts.setdefault((r.e, r.b), {})[r.bin] = r["count"]
@@ -145,7 +158,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rat
     def accepted(x: Column) -> Column:
         out = F.lit(False)
         for (encoding, band), p in limits.items():
-            out = F.when((x["r"]["encoding"] == encoding) & (_band(x["end"] - x["start"]) == band), x["r"]["p"] >= p).otherwise(out)
+            out = F.when((x["r"]["encoding"] == encoding) & (_band(x["end"] - x["start"]) == band), x["r"]["p"] >= max(p, FLOOR)).otherwise(out)
         return out
 
     flat = lambda x, base: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(base).alias("base"))

@@ -48,3 +48,29 @@ def test_empty_table_and_extra_columns(spark):
     out, name = ss.scan(d)
     assert name == "secrets_" and out.columns == [*d.columns, name]
     assert ss.scan(d.limit(0))[0].count() == 0
+
+
+def spans_of(spark, tokens):
+    made = ss.digest(spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string")).collect()
+    return [r.spans != "" for r in sorted(made, key=lambda r: r.doc_id)]
+
+
+def test_a_repeated_token_does_not_decide_its_stratum(spark):
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    secrets = [draw(ss.ALPHABETS[4][1], 40) + "7" for _ in range(400)]
+    p = {r.t: r.r.p for r in spark.createDataFrame([(t,) for t in secrets], "t string").select("t", ss.randomness(ss.F.col("t")).alias("r")).collect()}
+    # by occurrences, no threshold would be left for the secrets
+    half = min(secrets, key=lambda t: abs(p[t] - 0.485))
+    assert 0.475 <= p[half] < 0.5
+    assert sum(spans_of(spark, secrets + [half] * 2000)[:400]) > 340
+    # by occurrences, the threshold would be 0 and each plain token accepted at it
+    plain = ["".join(c * 3 for c in draw("xyzw", 13)) + "12" for _ in range(400)]
+    high = max(secrets, key=p.get)
+    assert sum(spans_of(spark, plain + [high] * 2000)[:400]) == 0
+
+
+def test_small_bands_are_judged_with_their_neighbours():
+    even = {b: 10 for b in range(ss.BINS)}
+    assert ss.thresholds({("hex", 20): even, ("hex", 28): {30: 2}, ("dec", 28): {30: 2}}) == {("hex", 20): 0.0, ("hex", 28): 0.0}
+    assert ("hex", 64) in ss.thresholds({("hex", 20): even, ("hex", 64): {30: 2}})
