@@ -2,9 +2,9 @@
 
 A line's quote level is the number of ``>`` before its text.  Neighbouring
 lines of one level are a passage.  Quoted passages are normalised (lower case,
-single spaces) and hashed; hashes of the same conversation's earlier messages'
-own passages and lines are joined to them, so each quote leads to the message
-it was first written in.  A message answers the latest message that it quotes
+single spaces) and hashed, as a whole, by paragraph and by line; hashes of the
+same conversation's earlier messages' own passages, paragraphs and lines are
+joined to them, so each quote leads to the latest message that holds all of it.  A message answers the latest message that it quotes
 on the first level, else the one before it.  Conversations come out as rows in
 reply order, without quotes; no conversation is ever gathered in one task.
 
@@ -13,6 +13,9 @@ Native: column expressions, joins and aggregates only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,23 +50,57 @@ def own_text(lines: Column) -> Column:
     return let(lines, lambda x: F.trim(F.regexp_replace(F.array_join(F.transform(kept(x), lambda y: y["line"]), "\n"), "\n{3,}", "\n\n")))
 
 
+def _hash(run: Column) -> Column:
+    """Of some lines' words: the same however the lines are broken."""
+    return let(normalised(F.array_join(F.transform(run, lambda y: y["line"]), " ")), lambda s: F.struct(F.xxhash64(s, F.lit(0)).alias("a"), F.xxhash64(s, F.lit(1)).alias("b")))
+
+
+def _runs(x: Column, begins: Callable[[Column, Column], Column]) -> Column:
+    """The array cut before its first element and each that begins a run."""
+    first = F.filter(F.transform(x, lambda y, i: F.when((i == 0) | begins(y, i), i)), lambda i: i.isNotNull())
+    return let(first, lambda at: F.transform(at, lambda a, k: F.slice(x, a + 1, F.coalesce(F.get(at, k + 1), F.size(x)) - a)))
+
+
+_HASH = "struct<a:bigint,b:bigint>"
+
+
 def passages(lines: Column) -> Column:
-    """array<struct<level,hash,n>> of the runs of lines of one level, empty lines aside."""
-    full = F.filter(lines, lambda x: normalised(x["line"]) != "")
+    """array<struct<level,hash,paragraphs,lines>> of the runs of lines of one level, empty lines aside: hashes of the whole and of its parts.
+
+    Paragraphs begin after empty lines.
+    """
 
-    def ends(x: Column) -> Column:
-        first = F.filter(F.transform(x, lambda y, i: F.when((i == 0) | ((F.get(x, i - 1)["level"] == y["level"]) == F.lit(False)), i)), lambda i: i.isNotNull())
-        return let(first, lambda at: F.transform(at, lambda a, k: let(F.slice(x, a + 1, F.coalesce(F.get(at, k + 1), F.size(x)) - a), lambda run: F.struct(F.get(run, 0)["level"].alias("level"), let(normalised(F.array_join(F.transform(run, lambda y: y["line"]), " ")), lambda s: F.struct(F.xxhash64(s, F.lit(0)).alias("a"), F.xxhash64(s, F.lit(1)).alias("b"))).alias("hash")))))
+    def full(x: Column) -> Column:
+        marked = F.transform(x, lambda y, i: F.struct(y["level"].alias("level"), y["line"].alias("line"), F.coalesce(normalised(F.get(x, i - 1)["line"]) == "", F.lit(False)).alias("new")))
+        return F.filter(marked, lambda y: normalised(y["line"]) != "")
 
-    return let(full, lambda x: F.when(F.size(x) == 0, F.array().cast("array<struct<level:int,hash:struct<a:bigint,b:bigint>>>")).otherwise(ends(x)))
+    def made(x: Column) -> Column:
+        return F.transform(
+            _runs(x, lambda y, i: (F.get(x, i - 1)["level"] == y["level"]) == F.lit(False)),
+            lambda run: F.struct(
+                F.get(run, 0)["level"].alias("level"),
+                _hash(run).alias("hash"),
+                F.transform(_runs(run, lambda y, i: y["new"]), _hash).alias("paragraphs"),
+                F.transform(run, lambda y: _hash(F.array(y))).alias("lines"),
+            ),
+        )
 
+    return let(let(lines, full), lambda x: F.when(F.size(x) == 0, F.array().cast(f"array<struct<level:int,hash:{_HASH},paragraphs:array<{_HASH}>,lines:array<{_HASH}>>>")).otherwise(made(x)))
 
-def _line_hashes(lines: Column) -> Column:
-    """Hashes by which a message's own words can be quoted: each line, and each run of lines."""
-    own = F.filter(lines, lambda x: (x["level"] == 0) & (normalised(x["line"]) != ""))
-    single = F.transform(own, lambda x: let(normalised(x["line"]), lambda s: F.struct(F.xxhash64(s, F.lit(0)).alias("a"), F.xxhash64(s, F.lit(1)).alias("b"))))
-    runs = F.transform(F.filter(passages(lines), lambda p: p["level"] == 0), lambda p: p["hash"])
-    return F.array_distinct(F.concat(single, runs))
+
+def _line_hashes(own: Column) -> Column:
+    """Hashes by which a message's own passages can be quoted: each line, each paragraph and each run of lines."""
+    return F.array_distinct(F.concat(F.flatten(F.transform(own, lambda p: p["lines"])), F.flatten(F.transform(own, lambda p: p["paragraphs"])), F.transform(own, lambda p: p["hash"])))
+
+
+def _ways(quote: Column) -> Column:
+    """array<struct<way,key>>: a message is a quote's source if it holds all keys of one way (the whole, all paragraphs or all lines)."""
+    def way(w: int, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(w).alias("way"), k.alias("key")))
+
+    none = F.array().cast(f"array<struct<way:int,key:{_HASH}>>")
+    parts = [F.when(F.size(quote[c]) > 1, way(w, quote[c])).otherwise(none) for w, c in ((1, "paragraphs"), (2, "lines"))]
+    return F.concat(way(0, F.array(quote["hash"])), *parts)
 
 
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -83,17 +120,15 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
             F.col(conv).alias("conv_id"),
             F.col(turn).alias("turn"),
             F.col(role).alias("role"),
-            let(levels(F.coalesce(F.col(text), F.lit(""))), lambda x: F.struct(own_text(x).alias("text"), F.filter(passages(x), lambda p: p["level"] > 0).alias("quotes"), _line_hashes(x).alias("own"))).alias("m"),
+            let(levels(F.coalesce(F.col(text), F.lit(""))), lambda x: let(passages(x), lambda all_: F.struct(own_text(x).alias("text"), F.filter(all_, lambda p: p["level"] > 0).alias("quotes"), _line_hashes(F.filter(all_, lambda p: p["level"] == 0)).alias("own")))).alias("m"),
         ).select("conv_id", "turn", "role", "m.*"),
         "messages",
     )
     keyed = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quotes = keyed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
-    asked = quotes.select("conv_id", "hash").distinct()
-    sources = keyed.select("conv_id", "turn", F.explode("own").alias("hash")).distinct().join(asked, ["conv_id", "hash"], "left_semi")
-    marks = sources.select("conv_id", "hash", "turn", F.lit(True).alias("source")).union(quotes.select("conv_id", "hash", "turn", F.lit(False)))
-    latest = _latest_before(marks, ["conv_id", "hash"]).withColumnRenamed("before", "at")
-    found = quotes.join(latest, ["conv_id", "hash", "turn"]).where(F.col("at").isNotNull())
+    quotes = keyed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash", F.explode(_ways(F.col("q"))).alias("w")).select("conv_id", "turn", "level", "hash", "w.way", "w.key").distinct()
+    asked = quotes.select("conv_id", "key").distinct()
+    sources = keyed.select("conv_id", "turn", F.explode("own").alias("key")).distinct().join(asked, ["conv_id", "key"], "left_semi")
+    found = _holding_all(quotes, sources).groupBy("conv_id", "turn", "level", "hash").agg(F.max("at").alias("at"))
     links = found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("at"))).alias("quoted"))
     previous = _latest_before(keyed.select("conv_id", "turn", F.lit(True).alias("source")), ["conv_id"])
     parents = written(previous.join(links, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("quoted", "before").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "parents")
@@ -115,6 +150,29 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 BLOCK = 1_024
 
 
+def _holding_all(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, hash, way, at): the latest earlier turn that holds all of a way's keys, where there is one.
+
+    The keys' latest turns are looked up; where they differ, none later than the
+    least of them can hold all, so the next step looks up to that.  A quote is
+    never paired with all messages that hold one of its lines.
+    """
+    one = ["conv_id", "turn", "level", "hash", "way"]
+    left, done = quotes.withColumn("below", F.col("turn")), []
+    sources = written(sources, "sources")
+    while True:
+        left = written(left, "quotes")
+        marks = sources.select("conv_id", "key", "turn", F.lit(True).alias("source")).union(left.select("conv_id", "key", "below", F.lit(False)))
+        latest = _latest_before(marks, ["conv_id", "key"]).withColumnRenamed("turn", "below")
+        at = left.join(latest, ["conv_id", "key", "below"])
+        ways = written(at.groupBy(*one).agg(F.min("before").alias("at"), F.max("before").alias("top"), F.count("before").alias("n"), F.count("*").alias("keys")).where("n = keys").drop("n", "keys"), "ways")
+        done.append(ways.where("at = top").select(*one, "at"))
+        more = ways.where("at < top")
+        if more.isEmpty():
+            return reduce(DataFrame.union, done)
+        left = left.drop("below").join(more.select(*one, (F.col("at") + 1).alias("below")), one)
+
+
 def _latest_before(marks: DataFrame, key: list[str]) -> DataFrame:
     """(key, turn, before) for each turn of a key: the greatest lower turn that is a source.
 

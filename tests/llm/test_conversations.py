@@ -48,3 +48,23 @@ def test_one_row_per_message(spark, sf_dir):
     m = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     out = cv.linked(m)
     assert out.count() == m.count()
+
+
+def test_quotes_of_several_lines_lead_to_their_sources(spark):
+    rows = [
+        (1, 0, "user", "one a\none b\none c\n\ntwo a\ntwo b\n\nthree"),
+        (1, 1, "assistant", "one a\nsomething else"),
+        (1, 2, "user", "one b\nand more"),
+        (1, 3, "user", "> one a\n> one b\nlines 1 and 2 of 3, each also said later"),
+        (1, 4, "user", "> two a two\n> b\na paragraph, broken elsewhere"),
+        (1, 5, "user", "> one c\n> ...\nnot all of it was said"),
+        (1, 6, "user", "> one b\n>\n> three\nseparate lines"),
+        (1, 7, "user", "> one a one\n> b one c\n>\n> three\nparagraphs, broken elsewhere"),
+        (1, 8, "user", "> and more\n> something else\nof two messages"),
+        (1, 9, "user", "one a\none b"),
+        (1, 10, "user", "> one a\n> one b\nthe latest counts"),
+    ]
+    out = made(spark, rows)
+    assert [out[1, t].reply_to for t in range(11)] == [None, 0, 1, 0, 0, 4, 0, 0, 7, 8, 9]
+    assert [out[1, t].n_linked for t in range(11)] == [0, 0, 0, 1, 1, 0, 1, 1, 0, 0, 1]
+    assert all(out[1, t].n_quotes == (t > 2 and t != 9) for t in range(11))
