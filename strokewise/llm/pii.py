@@ -77,7 +77,7 @@ def luhn(number: str) -> bool:
 def _checked(kind: str, found: str) -> bool:
     """The base definition's (or the kind's own) check of a whole match."""
     if kind == "ip":
-        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in found.split("."))
+        return all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in found.split("."))
     if kind == "card":
         d = digits(found)
         return 13 <= len(d) <= 19 and luhn(d)

@@ -61,3 +61,8 @@ def test_redaction_columns_and_empty(spark):
     assert out.columns == d.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "write [EMAIL] or [PHONE]!", 2: None}
     assert pii.redact(d.limit(0)).count() == 0 and pii.digest(d.limit(0)).count() == 0
+
+
+def test_long_runs_of_zeros_in_an_address():
+    assert pii._checked("ip", "0" * 5000 + ".1.2.3") and pii._checked("ip", "0" * 5000 + "255.1.2.3")
+    assert not pii._checked("ip", "0" * 5000 + "256.1.2.3")
