@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,23 +20,103 @@ from pyspark.sql import types as T
 
 from ._text import free_name
 
-#: HTML's elements by their part in cutting blocks.
-SKIPPED = frozenset("script style template noscript svg math head title select option datalist button textarea iframe object canvas audio video map".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label input".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that tell what a block stands in.
-FRAME = frozenset("nav aside footer header form menu dialog fieldset article main section div body td ul ol table figure blockquote details".split())
-OUTSIDE = frozenset("nav aside footer form menu dialog fieldset".split())
-#: Words in class, id or role that tell of what isn't the article, and of what is.
+#: HTML's elements by their part in cutting blocks; all others stand within a block.
+RAW = frozenset("script style textarea title iframe noframes xmp".split())
+SKIPPED = frozenset("template noscript svg head select datalist button object canvas audio video map".split())
+HEAD = frozenset("base link meta script style title noscript template head html".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+OUTSIDE = frozenset("nav aside footer menu dialog fieldset search".split())
+#: What an opening tag ends without a closing one, and where that stops.
+ENDS = {
+    "li": ("li", "ul ol menu dir"),
+    "dt": ("dt dd", "dl"),
+    "dd": ("dt dd", "dl"),
+    "td": ("td th", "tr table"),
+    "th": ("td th", "tr table"),
+    "tr": ("tr", "tbody thead tfoot table"),
+    "tbody": ("tbody thead tfoot", "table"),
+    "thead": ("tbody thead tfoot", "table"),
+    "tfoot": ("tbody thead tfoot", "table"),
+}
+#: Words in class, id or role that tell of what isn't the article, and of what is; and those that only say how a page is laid out.
 _OUTSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|aside|menu|nav\w*|breadcrumbs?|footer|footnote-bar|site-?header|page-?header|masthead|top-?bar|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|search\w*|comments?|comment-?list|replies|disqus|respond|related|recommended|share|sharing|social|widget|toolbar|pagination|pager|legal|copyright|skip|tags?|meta|contentinfo|complementary|dialog)(?:$|[\s_-])", re.I)
 _ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|text|body|articlebody)(?:$|[\s_-])", re.I)
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|template|noscript|svg|title|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.I | re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_LAYOUT_NAMES = re.compile(r"\b(?:has|with|without|no|hide|show|left|right|two|one)[-_][\w-]+", re.I)
+#: Fixed value: what the last line of a site says.
+_LEGAL = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
+
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"[^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+>")
+_NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in RAW}
 _SPACE = re.compile(r"\s+")
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "outside", "article", "heading")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "outside", "article", "heading", "legal")
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, name, closing, attributes) of each tag, in one pass; a last one without a name has the text that is left.
+
+    Comments, declarations and the contents of scripts, styles and the like are
+    gone; a quote that never ends doesn't reach beyond its tag's first ``>``.
+    """
+    at = text_from = 0
+    parts: list[str] = []
+    plain_until = -1
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        end = None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+        if end is not None:
+            parts.append(page[text_from:at])
+            at = text_from = end
+            continue
+        m = _TAG.match(page, at)
+        if not m:
+            at += 1
+            continue
+        whole = _ATTRIBUTES.match(page, m.end()) if at > plain_until else None
+        if whole:
+            end = whole.end()
+        else:
+            end = page.find(">", m.end()) + 1
+            if not end:  # a tag that never ends hides what is left
+                yield "".join(parts) + page[text_from:at], "", False, ""
+                return
+            if at > plain_until:  # some quote never ends: its place is where the last one stands
+                plain_until = max(page.rfind('"'), page.rfind("'"))
+        parts.append(page[text_from:at])
+        name, closing = m[2].lower(), bool(m[1])
+        yield "".join(parts), name, closing, page[m.end() : end - 1]
+        parts.clear()
+        at = text_from = end
+        if name in RAW and not closing:
+            stop = _RAW_END[name].search(page, end)
+            at = text_from = stop.end() if stop else len(page)
+            if name in ("textarea", "iframe"):
+                parts.append(" ")
+    yield "".join(parts) + page[text_from:], "", False, ""
+
+
+class _Open:
+    """The element that a block stands in, and what changes back when it ends."""
+
+    __slots__ = ("name", "outside", "article", "heading")
+
+    def __init__(self, name: str, outside: int, article: int, heading: int):
+        self.name, self.outside, self.article, self.heading = name, outside, article, heading
 
 
 def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
@@ -42,95 +124,156 @@ def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
     found: list[list] = []  # text, words, linked words, outside, article, heading
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # frame, outside, article
-    link = skip = 0
-    skipping: list[str] = []
-    outside = article = heading = 0
-    at = 0
+    stack: list[_Open] = []
+    is_open: Counter[str] = Counter()
+    skipping: list[tuple[str, int]] = []  # name, and how many elements were open
+    outside = article = heading = 0  # outside: 1 in a form, 2 elsewhere; article: 1 by name, 2 main, 3 article
+    link: int | None = None  # how many elements were open when a link began
+    every = list(tokens(page))
+    last_end = {name: i for i, (_, name, closing, _) in enumerate(every) if closing}
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                found.append([text, len(text.split(" ")), min(len(text.split(" ")), len(html.unescape(" ".join(linked)).split())), outside, article, heading])
+                n = len(text.split(" "))
+                found.append([text, n, min(n, len(html.unescape(" ".join(linked)).split())), outside, article, heading])
             linked.clear()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not skipping:
-            parts.append(page[at : m.start()])
-            if link:
-                linked.append(page[at : m.start()])
-        at = m.end()
-        name = m[3] or m[6]
-        if name is None:
-            if m[1] and m[1].lower() in ("svg", "textarea", "iframe"):
-                parts.append(" ")
+    def shut(depth: int) -> None:
+        nonlocal outside, article, heading, link
+        if depth < len(stack):
+            own = stack[depth]
+            outside, article, heading = own.outside, own.article, own.heading
+            is_open.subtract(x.name for x in stack[depth:])
+            del stack[depth:]
+            while skipping and skipping[-1][1] > depth:
+                skipping.pop()
+            if link is not None and link > depth:
+                link = None
+
+    def innermost(names: str, stops: str = "") -> int | None:
+        wanted, ends = names.split(" "), stops.split(" ")
+        if any(is_open[x] > 0 for x in wanted):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].name in wanted:
+                    return i
+                if stack[i].name in ends:
+                    return None
+        return None
+
+    for i, (text, name, closing, attributes) in enumerate(every):
+        if skipping and skipping[-1][0] == "head" and (text.strip() or name and name not in HEAD):
+            skipping.pop()
+        if text and not skipping:
+            parts.append(text)
+            if link is not None:
+                linked.append(text)
+        if not name:
             continue
-        name, closing = name.lower(), bool(m[2] or m[5])
         if name in SKIPPED:
             if closing:
-                if name in skipping:
-                    del skipping[skipping.index(name) :]
-            elif not (m[4] or m[7] or "").endswith("/"):
-                skipping.append(name)
+                names = [x for x, _ in skipping]
+                if name in names:
+                    del skipping[names.index(name) :]
+            elif not attributes.endswith("/") and (last_end.get(name, -1) > i or name == "head"):
+                skipping.append((name, len(stack)))  # one that is never closed skips nothing
+            if not skipping or name != "head":
+                parts.append(" ")
             continue
-        if name == "body":
-            skipping.clear()
-        if skipping:
+        if name not in BLOCK:
+            if skipping:
+                continue
+            if name == "a":
+                link = None if closing else len(stack)
+            elif name in ("br", "img", "input"):
+                parts.append(" ")
             continue
-        if name == "a":
-            link = 0 if closing else 1
+        if closing:
+            depth = innermost(name if name not in ("h1", "h2", "h3", "h4", "h5", "h6") else "h1 h2 h3 h4 h5 h6")
+            if skipping and (depth is None or depth >= skipping[-1][1]):
+                continue  # inside what is skipped; the end of an outer element ends that too
+            flush()
+            if depth is not None:
+                shut(depth)
             continue
-        if name in INLINE:
-            if name in ("br", "img", "input"):
-                parts.append(" ")
+        if skipping:
             continue
         flush()
-        link = 0
-        if name in HEADINGS:
-            heading = 0 if closing else 1
-        if name not in FRAME:
+        if name == "hr":
             continue
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    _, outside, article = stack[i]
-                    del stack[i:]
-                    break
-        elif name not in VOID:
-            stack.append((name, outside, article))
-            names = " ".join(x or y or z for _, x, y, z in _NAMES.findall(m[4] or m[7] or ""))
-            if name in OUTSIDE or name == "header" and not article or names and name not in ("article", "main", "body") and _OUTSIDE_NAMES.search(names):
-                outside = 1
-            if name in ("article", "main") or names and _ARTICLE_NAMES.search(names):
-                article = 1
-    if not skipping:
-        parts.append(page[at:])
+        if stack and stack[-1].name == "p":
+            shut(len(stack) - 1)
+        if name in ENDS:
+            depth = innermost(*ENDS[name])
+            if depth is not None:
+                shut(depth)
+        stack.append(_Open(name, outside, article, heading))
+        is_open[name] += 1
+        if name[0] == "h" and name[1:].isdigit():
+            heading = 2 if name == "h1" else 1
+        names = _LAYOUT_NAMES.sub(" ", " ".join(x or y or z for _, x, y, z in _NAMES.findall(attributes))) if attributes and name not in ("body", "html") else ""
+        own = 3 if name == "article" else 2 if name == "main" else 1 if names and _ARTICLE_NAMES.search(names) else 0
+        if name in ("article", "main") and outside == 1:
+            outside = 0  # a form around the whole page
+        if name in OUTSIDE or name == "header" and article < 2 or attributes and _HIDDEN.search(attributes) or names and (name != "main") and _OUTSIDE_NAMES.search(names):
+            outside = 2
+        elif name == "form":
+            outside = max(outside, 1)
+        article = max(article, own)
     flush()
+    # the best kind of frame that the page has; blocks outside it stand elsewhere
+    best = max((b[4] for b in found if not b[3] and b[4] > 1), default=0)
     out = []
     for i, (text, n, k, o, a, h) in enumerate(found):
         before = found[i - 1] if i else ("", 0, 0)
         after = found[i + 1] if i + 1 < len(found) else ("", 0, 0)
-        out.append((text, (n, k / n, before[1], before[2] / max(1, before[1]), after[1], after[2] / max(1, after[1]), o, a, h)))
+        place = (2 if a >= best else 0) if best else 1
+        out.append((text, (n, k / n, before[1], before[2] / max(1, before[1]), after[1], after[2] / max(1, after[1]), min(o, 1), place, h, int(n <= 20 and bool(_LEGAL.search(text))))))
     return out
 
 
 _MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News of the day</a></li><li><a href="/c">Contact</a></li></ul></nav>'
 _LONG = "Long running text of a paragraph that goes on for many words about one thing and another, so that nobody would take it for a label."
-#: The labelled pages: what stands in ``[[ ]]`` is article.
-LABELLED = (
-    f"<body>{_MENU}<div class='ad'>Buy now, cheap and good.</div><article><h1>[[A title here]]</h1><p>[[{_LONG}]]</p><p>[[Short.]]</p><p>[[{_LONG} {_LONG}]]</p></article><footer>(c) site, all rights reserved</footer></body>",
-    f"<body><header><h2>The site</h2><p>A motto that is longer than most of them are, for once and all.</p></header>{_MENU}<main><h1>[[Another title]]</h1><p>[[{_LONG}]]</p><ul><li>[[first point]]</li><li>[[second point with more words]]</li></ul><p>[[See <a href='x'>this page</a> for more on it.]]</p></main><aside><p>{_LONG}</p><a href='y'>More</a></aside></body>",
-    f"<body><div id='menu'><a href='a'>One</a> <a href='b'>Two</a></div><div class='content'><h1>[[Title]]</h1><p>[[{_LONG}]]</p><p>[[So it is.]]</p><div class='share'>Share this with your friends and family</div><div class='comments'><p>I like what you wrote in the second paragraph, it is a good point and well said by all.</p><p>Me too</p></div></div><div class='footer'>Imprint</div></body>",
-    f"<body><div class='cookie-notice'><p>We use cookies to make this site better for everyone who comes here, as you know.</p></div><p><a href='a'>Start</a> <a href='b'>Archive</a> <a href='c'>About us</a></p><h1>[[A page without frames]]</h1><p>[[{_LONG}]]</p><p>[[{_LONG} {_LONG}]]</p><p>[[{_LONG}]]</p><p><a href='d'>Next page of the archive</a></p><form><p>Enter your name and address here, please, and press the button below it.</p></form></body>",
-    f"<body><table><tr><td><a href='1'>Links</a></td><td><a href='2'>More links here</a></td></tr></table><div><p>[[{_LONG}]]</p><p>[[Then came the end of it.]]</p><p>[[{_LONG}]]</p></div><div><a href='e'>Terms</a> <a href='f'>Privacy</a></div><p>All rights reserved</p></body>",
-    f"<body><article><header><h1>[[Headline in the article]]</h1></header><p>[[{_LONG}]]</p><p>[[Yes, no.]]</p><blockquote><p>[[A quoted line.]]</p></blockquote><p>[[<a href='z'>A linked sentence that is part of it</a>]]</p><section class='comments'><h3>Comments</h3><p>{_LONG}</p><p>First!</p></section></article><aside class='sidebar'><h3>Popular</h3><ul><li><a href='q'>Ten things</a></li></ul></aside></body>",
-    f"<body><section id='main'><h2>[[Part one]]</h2><p>[[{_LONG}]]</p><div class='advert'><p>{_LONG}</p></div><p>[[Ok]]</p></section><section class='newsletter'><p>Subscribe to our letter and never miss a thing again, for free.</p></section></body>",
-    "<body><article><p>[[One]]</p></article></body>",
-    "<body><article><h1>[[T]]</h1></article><footer>f</footer></body>",
-    f"<body><article><p>[[x y]]</p><p>[[z]]</p><form><p>{_LONG}</p></form><nav><p><a href='p'>previous</a></p></nav></article></body>",
+#: What stands before an article, articles (what stands in ``[[ ]]`` is article), and what stands after them.
+_BEFORE = (
+    "",
+    f"{_MENU}<div class='ad'>Buy now, cheap and good.</div>",
+    f"<header><h2>The site</h2><p>A motto that is longer than most of them are, for once and all.</p></header>{_MENU}",
+    "<div id='menu'><a href='a'>One</a> <a href='b'>Two</a></div><div class='cookie-notice'><p>We use cookies to make this site better for everyone who comes here, as you know.</p></div>",
+    "<p><a href='a'>Start</a> <a href='b'>Archive</a> <a href='c'>About us</a></p>",
+    "<table><tr><td><a href='1'>Links</a></td><td><a href='2'>More links here</a></td></tr></table>",
+)
+_BODIES = (
+    f"<h1>[[A title here]]</h1><p>[[{_LONG}]]</p><p>[[Short.]]</p><p>[[{_LONG} {_LONG}]]</p>",
+    f"<h1>[[Another title]]</h1><p>[[{_LONG}]]</p><ul><li>[[first point]]</li><li>[[second point with more words]]</li></ul><p>[[See <a href='x'>this page</a> for more on it.]]</p>",
+    f"<p>[[{_LONG}]]</p><p>[[Then came the end of it.]]</p>",
+    f"<h2>[[Part one]]</h2><p>[[{_LONG}]]</p><div class='advert'><p>{_LONG}</p></div><p>[[So it is.]]</p><h2>[[Part two]]</h2><p>[[{_LONG}]]</p><p>[[{_LONG}]]</p>",
+    "<p>[[One]]</p>",
+    f"<p>[[x y]]</p><p>[[{_LONG}]]</p><blockquote><p>[[A quoted line.]]</p></blockquote><p>[[Yes, no.]]</p><div class='share'>Share this with your friends and family</div>",
+    f"[[{_LONG}]]<br><br>",
+)
+_FRAMES = ("<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "{}", "<section id='main'><article>{}</article></section>")
+_AFTER = (
+    "",
+    "<footer>(c) site, all rights reserved</footer>",
+    f"<aside><p>{_LONG}</p><a href='y'>More</a></aside><div class='footer'>Imprint</div>",
+    "<div class='comments'><p>I like what you wrote in the second paragraph, it is a good point and well said by all.</p><p>Me too</p></div>",
+    "<p><a href='d'>Next page of the archive</a></p><form><p>Enter your name and address here, please, and press the button below it.</p></form>",
+    "<div><a href='e'>Terms</a> <a href='f'>Privacy</a></div><p>All rights reserved</p>",
+    "<section class='newsletter'><p>Subscribe to our letter and never miss a thing again, for free.</p></section>",
+)
+#: Pages in which a block of an article is all link, or something unnamed stands beside an article.
+_OTHERS = (
+    f"<article><header><h1>[[Headline in the article]]</h1></header><p>[[{_LONG}]]</p><p>[[<a href='z'>A linked sentence that is part of it</a>]]</p><p>[[{_LONG}]]</p></article><div><p>{_LONG}</p></div>",
+    f"<div><p>{_LONG}</p></div><h1>[[A title before its article]]</h1><article><p>[[{_LONG}]]</p><a href='z'><p>[[A linked block of it]]</p></a><p>[[{_LONG}]]</p></article><div>Popular</div><div><a href='q'>Ten things</a></div><h3>More for you</h3>",
+    f"<article><h1>[[Title]]</h1><p>[[{_LONG}]]</p><p>[[All rights reserved.]]</p></article><footer>(c) site</footer>",
+    f"<main><p>[[{_LONG}]]</p><p>[[Copyright is what it is about.]]</p><p>[[{_LONG}]]</p></main>",
+    f"<main><h1>[[Title]]</h1><p>[[{_LONG}]]</p></main><div><p>{_LONG}</p><p>Some words beside it</p></div>",
+    f"<article><p>[[{_LONG}]]</p><section class='comments'><h3>Comments</h3><article class='comment'><p>{_LONG}</p></article></section></article>",
 )
+LABELLED = (*(f"<body>{b}{f.format(t)}{a}</body>" for b, t, f, a in product(_BEFORE, _BODIES, _FRAMES, _AFTER)), *(f"<body>{x}</body>" for x in _OTHERS for _ in range(20)))
 
 
 def labelled_rows() -> list[tuple[float, ...]]:
