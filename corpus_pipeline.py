@@ -17,27 +17,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go."""
+    """Documents that a rule rejects go; null and empty texts are among them, repeated rows go or stay together."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents that with the least id stays."""
+    """Of each group of similar documents (repeated rows among them) that with the least id stays, and all without words."""
     return jaccard.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; without items, or without words, all stay."""
     return decontaminate.excise(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows."""
+    """Personal data is replaced by its kind; n_chars follows.  No row goes, and null texts stay null."""
     return pii.redact(docs, length="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as pieces in sequences."""
+    """Documents as pieces in sequences, every row whole; null and empty texts are one end mark."""
     import public_tokenizers
 
     return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
@@ -53,6 +53,7 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each on what its predecessor wrote.  An empty table stays one; columns of documents beyond the usual ones are carried along up to packing."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

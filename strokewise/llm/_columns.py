@@ -25,6 +25,33 @@ def occurrences(text: Column, characters: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
 
 
+def blocks(array: Column) -> Column:
+    """The array in runs of about the square root of its length."""
+    n = F.size(array)
+    step = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
+    return let(step, lambda b: F.when(n == 0, F.slice(F.array(array), 1, 0)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), b), lambda i: F.slice(array, i, b))))
+
+
+def running(steps: Column, first: Column) -> Column:
+    """array<int>: first, and the sums of it with the steps so far; one more than there are steps."""
+    return F.aggregate(steps, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def cumulated(steps: Column) -> Column:
+    """array<int>: for each step the sum of those before it.
+
+    Runs of about the square root of the number of steps are added up first, so
+    that no long array is copied for each of its elements.
+    """
+
+    def placed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x))
+        each = lambda at: F.zip_with(parts, F.slice(at, 1, F.size(parts)), lambda part, first: F.slice(running(part, first), 1, F.size(part)))
+        return F.flatten(let(running(totals, F.lit(0)), each))
+
+    return let(blocks(steps), placed)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of the leftmost non-overlapping matches, in code points (end exclusive).
 
@@ -33,13 +60,13 @@ def matches(text: Column, pattern: str) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def placed(found: Column) -> Column:
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.char_length(pair["gap"])
-            end = start + F.char_length(pair["match"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match")))).alias("out"))
-
-        gaps = F.split(text, pattern, -1)
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"), m.alias("match")))
+
+        def spans(pairs: Column) -> Column:
+            before = cumulated(F.transform(pairs, lambda x: x["gap"] + x["size"]))
+            return F.zip_with(pairs, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["match"].alias("match")))
+
+        return let(pairs, spans)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, empty).otherwise(placed(found)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import forget, written
 
 
 def _to_least(edges: DataFrame, larger: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select("a", "b").where("a <> b").distinct(), "links")
     mark = None
     while True:
-        edges = written(_to_least(_to_least(edges, True), False), "links")
+        past, edges = edges, written(_to_least(_to_least(edges, True), False), "links")
+        forget(past)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

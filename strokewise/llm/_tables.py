@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -34,20 +35,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once what was made from them is written itself.
-
-    Spark removes the shuffle files of past queries when the driver's garbage
-    is collected, so that is asked for as well.
-    """
+    """Deletes tables that written() made, once what was made from them is written itself."""
+    context = SparkContext._active_spark_context
     for df in tables:
         path = _paths.pop(df, None)
         if path:
-            context = df.sparkSession.sparkContext
             at = context._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_shuffles() -> None:
+    """Asks the driver to collect its garbage: with the frames of past queries, Spark removes their shuffle files."""
     gc.collect()
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+    SparkContext._active_spark_context._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,9 +23,10 @@ from pyspark.sql.window import Window
 from ._columns import let
 from ._tables import written
 
-#: A quote mark with what may stand before it, and a line that only announces a quote.
-MARKS = r"^((?:[\x20\t]{0,3}>)+)[\x20\t]?(.*)$"
-ANNOUNCED = r"(?i)^.{0,120}\b(wrote|writes|schrieb|a écrit|escribió):\s*$"
+#: Quote marks with white space before them, as much of it as ends them (four or more), and a line that only announces a quote.
+MARKS = r"^[\x20\t>]*>"
+FAR = r"(?s)[\x20\t]{4,}.*$"
+ANNOUNCED = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió):\s*$"
 
 
 def normalised(text: Column) -> Column:
@@ -34,11 +35,14 @@ def normalised(text: Column) -> Column:
 
 def levels(text: Column) -> Column:
     """array<struct<level,line>> of the text's lines, marks taken off."""
-    marks = lambda line: F.regexp_extract(line, MARKS, 1)
-    return F.transform(
-        F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1),
-        lambda line: F.when(line.rlike(MARKS), F.struct((F.char_length(marks(line)) - F.char_length(F.translate(marks(line), ">", ""))).alias("level"), F.regexp_extract(line, MARKS, 2).alias("line"))).otherwise(F.struct(F.lit(0).alias("level"), line.alias("line"))),
-    )
+    def parsed(line: Column) -> Column:
+        marks = F.regexp_replace(F.regexp_extract(line, MARKS, 0), FAR, "")
+        n = lambda m: F.char_length(m) - F.char_length(F.translate(m, ">", ""))
+        rest = lambda m: F.regexp_replace(F.substring(line, F.char_length(m) + 1, F.char_length(line)), r"^[\x20\t]", "")
+        return let(marks, lambda m: F.struct(n(m).alias("level"), rest(m).alias("line")))
+
+    plain = lambda line: F.struct(F.lit(0).alias("level"), line.alias("line"))
+    return F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1), lambda line: let(parsed(line), lambda p: F.when(p["level"] > 0, p).otherwise(plain(line))))
 
 
 def own_text(lines: Column) -> Column:
@@ -51,8 +55,8 @@ def own_text(lines: Column) -> Column:
 
 
 def _hash(run: Column) -> Column:
-    """Of some lines' words: the same however the lines are broken."""
-    return let(normalised(F.array_join(F.transform(run, lambda y: y["line"]), " ")), lambda s: F.struct(F.xxhash64(s, F.lit(0)).alias("a"), F.xxhash64(s, F.lit(1)).alias("b")))
+    """Of some lines' words: the same however the lines are broken.  The salt goes first, else one hash follows from the other."""
+    return let(normalised(F.array_join(F.transform(run, lambda y: y["line"]), " ")), lambda s: F.struct(F.xxhash64(F.lit(0), s).alias("a"), F.xxhash64(F.lit(1), s).alias("b")))
 
 
 def _runs(x: Column, begins: Callable[[Column, Column], Column]) -> Column:

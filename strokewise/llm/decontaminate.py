@@ -4,11 +4,13 @@ The minimum hash of every run of consecutive k-grams is a text's fingerprint
 there.  A window of ``n`` words holds n-k+1 k-grams, so whenever a document
 holds a benchmark window, both have the same minimum in it: any shared span of
 n words or more is found.  Fingerprints are joined first; each hit is extended
-to its n words and compared with the benchmark's windows.
+to its n words, looked up among the benchmark's windows, and compared with the
+window word by word (64-bit hashes of each).
 
 The benchmark side is split by hash into blocks of bounded size
 (``BLOCK_BYTES``); each block is sent to the tasks and all documents are read
-against it, so neither side has a limit.
+against it.  What one block finds is written before the next one is sent, so
+only one is held at a time and neither side has a limit.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._tables import forget, written
 from ._text import ALNUM, LOWER, Texts, annotate, grams, lists, member, ranges, span
 
 WINDOW = 10
@@ -56,24 +59,28 @@ class _Block:
     def __init__(self, ids: list[str], texts: list[str], window: int, gram: int):
         self.window, self.gram, self.ids = window, gram, ids
         hashes, first, _, _ = _hashed(Texts.of(pa.array(texts, pa.string())))
-        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
+        by_length: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+        self.hashes = hashes
         prints = []
         for i in range(len(ids)):
             own = hashes[first[i] : first[i + 1]]
             if not len(own):
                 continue
             length = min(window, len(own))
-            by_length.setdefault(length, []).append((grams(own, length), i))
+            by_length.setdefault(length, []).append((grams(own, length), i, first[i]))
             if length == window:
                 prints.append(_minima(grams(own, gram), window - gram + 1))
         self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
         self.windows = {}
         for length, found in by_length.items():
-            keys = np.concatenate([g for g, _ in found])
-            owner = np.repeat([i for _, i in found], [len(g) for g, _ in found])
+            keys = np.concatenate([g for g, _, _ in found])
+            sizes = np.array([len(g) for g, _, _ in found])
+            owner = np.repeat([i for _, i, _ in found], sizes)
+            places = ranges(np.array([a for _, _, a in found]), sizes)
             order = np.lexsort((owner, keys))
-            keys, owner = keys[order], owner[order]
-            self.windows[length] = (*np.unique(keys, return_index=True), owner, len(keys))
+            keys, owner, places = keys[order], owner[order], places[order]
+            unique, at = np.unique(keys, return_index=True)
+            self.windows[length] = unique, at, owner, places[at], len(keys)
 
 
 def _find(block: _Block, texts: Texts) -> list:
@@ -82,7 +89,7 @@ def _find(block: _Block, texts: Texts) -> list:
     doc = np.repeat(np.arange(docs), np.diff(first))
     covered = np.zeros(n + 1, np.int32)
     pairs = []
-    for length, (keys, at, owner, total) in block.windows.items():
+    for length, (keys, at, owner, places, total) in block.windows.items():
         if n < length:
             continue
         whole = doc[: n - length + 1] == doc[length - 1 :]
@@ -93,6 +100,10 @@ def _find(block: _Block, texts: Texts) -> list:
             continue
         hit = member(grams(hashes, length)[here], keys)
         here, hit = here[hit >= 0], hit[hit >= 0]
+        same = np.ones(len(here), bool)
+        for i in range(length):
+            same &= hashes[here + i] == block.hashes[places[hit] + i]
+        here, hit = here[same], hit[same]
         np.add.at(covered, here, 1)
         np.add.at(covered, here + length, -1)
         many = np.append(at, total)[hit + 1] - at[hit]
@@ -125,13 +136,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     A null or empty text has no words.  An item of fewer words than the window
     is one window; one without words matches nothing.  A null item id counts as
-    the empty id, and items with one id are one item.  Other columns don't matter.
+    the empty id, and items with one id are one item.  Repeated rows agree, as
+    each is read by itself; texts are never cut.  Other columns don't matter; the
+    struct's name gets underscores where it clashes.
     """
     keep = list(keep if keep is not None else docs.columns)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + F.octet_length("id") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out, name = None, ""
+    out, name, last = None, "", None
     for b in range(blocks):
         rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b)).collect()  # at most about block_bytes
         block = docs.sparkSession.sparkContext.broadcast(_Block([r.id for r in rows], [r.t for r in rows], window, gram))
@@ -147,11 +160,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 F.array_union(F.col(name)["items"], F.col(extra)["items"]).alias("items"),
             )
             out = out.withColumn(name, both).drop(extra)
+        if blocks > 1:
+            out = written(out, "contamination")
+            block.unpersist()
+            if last is not None:
+                forget(last)
+            last = out
     return out.select(*keep, name), name
 
 
 def excise(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without contaminated ones; all columns as they were."""
+    """The documents without contaminated ones; all columns as they were.
+
+    Null and empty texts hold no window and stay; repeated rows go or stay
+    together; without a benchmark all stay.
+    """
     out, name = contamination(docs, benchmark, text)
     return out.where(F.size(F.col(name)["words"]) == 0).drop(name)
 

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._graph import components
-from ._tables import written
+from ._tables import forget, free_shuffles, written
 from ._text import LOWER, NON_SPACE, Texts, annotate, grams, mix, span
 
 SHINGLE = 5
@@ -143,7 +143,7 @@ def frequent(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT)
         return pa.table({"code": pa.array([*codes[cuts][hot].astype(np.int64).tolist(), None], pa.int64()), "df": pa.array([*total[hot].tolist(), None], pa.int64()), "part": pa.array([None] * n + [first >> 3], pa.int64()), "bits": pa.array([None] * n + [np.packbits(mark).tobytes()], pa.binary())})
 
     found = written(texts.mapInArrow(count, "bucket int, n long, base long, pack binary").groupBy("bucket").applyInArrow(add_up, "code long, df long, part long, bits binary"), "frequent")
-    twice = np.zeros(1 << (TWICE_BITS - 3), np.uint8)
+    found_table, twice = found, np.zeros(1 << (TWICE_BITS - 3), np.uint8)
     for r in found.where("part is not null").select("part", "bits").collect():  # 16 MB in all, whatever the input
         twice[r.part : r.part + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     found = found.where("code is not null")
@@ -157,6 +157,7 @@ def frequent(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT)
     got = found.where(F.col("df") >= max(bound, least)).select("code", "df").toArrow()  # at most `most` rows
     codes, df = got["code"].to_numpy().astype(np.uint64), got["df"].to_numpy()
     order = np.argsort(codes)
+    forget(found_table)
     return codes[order], np.where(df[order] >= THREES * max(bound if bound < 1 << 62 else least, least), 3, 2).astype(np.uint8), twice
 
 
@@ -363,7 +364,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame) -> DataFrame:
-    """(node, component) of all sets that are linked to another one."""
+    """(node, component) of all sets that are linked to another one.  Tables go as soon as what follows from them is written."""
     index = _index(texts, frequent(texts))
     group = Window.partitionBy("sig")
     chain = group.orderBy("node")
@@ -373,13 +374,17 @@ def links(texts: DataFrame) -> DataFrame:
     near = shared.select(*MEMBER, "lead", F.lag(F.struct(*MEMBER)).over(chain).alias("prev"))
     to = F.explode(F.array_compact(F.array(F.struct(*[F.col(f"lead.{x}").alias(x) for x in MEMBER]), F.col("prev"))))
     pairs = written(_pairs(near.select(*MEMBER, to.alias("to")).select(*MEMBER, *_other("to"))), "pairs")
+    free_shuffles()
     sets = _sets_table(texts, shared.select("node"))
     tried = _verified(sets, pairs)
+    forget(pairs)
+    free_shuffles()
     for turn in range(3):
         found = written(components(tried.where("near")), "components")
         named = shared.select("sig", *MEMBER).join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
         named = named.select("sig", *MEMBER, "label", F.min("label").over(group).alias("low"), F.max("label").over(group).alias("high")).where("low <> high")
-        shared = written(named.select("sig", *MEMBER, "label"), "shared")  # groups within one component are done with
+        past, shared = shared, written(named.select("sig", *MEMBER, "label"), "shared")  # groups within one component are done with
+        forget(past, found)
         if turn < 2:  # other leaders first: they join most of what belongs together
             lead = F.min(F.struct(~F.col("first"), F.xxhash64("node", F.lit(turn)), *MEMBER, "label")).over(group)
             split = shared.withColumn("lead", lead).where(F.col("lead.label") != F.col("label"))
@@ -389,13 +394,34 @@ def links(texts: DataFrame) -> DataFrame:
             two = one.where("first").select("sig", *[F.col(x).alias(y) for x, y in zip(MEMBER, OTHER, strict=True)], F.col("label").alias("other"), F.col("sketch").alias("other_sketch"))
             pairs = _pairs(one.join(two, "sig").where(_fits() & (F.col("label") != F.col("other")) & _sketches_allow()))
         pairs = written(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        free_shuffles()
         tried = tried.union(_verified(sets, pairs))
+        forget(pairs)
+    forget(shared, sets)
+    free_shuffles()
     return written(components(tried.where("near")), "components")
 
 
 RESULT = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
 
+def _labelled(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """(the kept columns under names of their own, n, node, row, label, least) and those names.
+
+    node and label are null without words; least is the least id of the label's
+    documents (null if all of them are).
+    """
+    names = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*keep, doc_id]))}
+    texts = docs.select(text)
+    out, name = annotate(docs, text, list(names), RESULT, _key)
+    joined = links(texts)
+    ident = names[doc_id]
+    rows = written(out.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(name)["n"].alias("n"), F.col(name)["node"].alias("node"), F.monotonically_increasing_id().alias("row")), "rows")
+    small = rows.where("node is not null").groupBy("node").agg(F.min(ident).alias("id")).join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "id")
+    least = small.groupBy("label").agg(F.min("id").alias("least"))
+    return rows.join(small.join(least, "label").select("node", "label", "least"), "node", "left"), names
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns of each document (all by default) with n_shingles and component_id.
 
@@ -406,28 +432,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ones are replaced.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("n_shingles", "component_id")]
-    texts = docs.select(text)
-    out, name = annotate(docs, text, list(dict.fromkeys([*keep, doc_id])), RESULT, _key)
-    joined = links(texts)
-    rows = written(out.select(*[F.col(c) for c in out.columns if c != name], F.col(name)["n"].alias("n_shingles"), F.col(name)["node"].alias("__node")), "rows")
-    label = F.coalesce("component", "__node")
-    small = rows.groupBy("__node").agg(F.min(doc_id).alias("__id")).where("__node is not null").join(joined.withColumnRenamed("node", "__node"), "__node", "left").select("__node", label.alias("__label"), "__id")
-    least = small.groupBy("__label").agg(F.min("__id").alias("component_id"))
-    named = small.join(least, "__label").select("__node", "component_id")
-    full = rows.join(named, "__node", "left")
-    return full.select(*keep, "n_shingles", F.coalesce("component_id", F.when(F.col("__node").isNull(), F.col(doc_id))).alias("component_id"))
+    full, names = _labelled(docs, doc_id, text, keep)
+    return full.select(*[F.col(names[c]).alias(c) for c in keep], F.col("n").alias("n_shingles"), F.coalesce("least", F.when(F.col("node").isNull(), F.col(names[doc_id]))).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: that with the least id (of repeated rows, one); all columns as they were."""
+    """One row of each component: that with the least id (one without an id only where no row has any); all columns as they were.
+
+    Of several rows with that id the one with the least set's name counts, then
+    the first.  Rows without words are linked with nothing and all stay.
+    """
     cols = docs.columns
-    names = [f"c{i}" for i in range(len(cols))]  # no name clashes with those added here
-    ident = names[cols.index(doc_id)]
-    found = near_duplicates(docs.toDF(*names), ident, names[cols.index(text)])
-    own = found.where((F.col(ident) == F.col("component_id")) | F.col(ident).isNull())
-    best = Window.partitionBy(ident).orderBy(*[c for c in names if c != ident])
-    firsts = own.where(F.col(ident).isNotNull()).withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
-    return firsts.select(*names).union(own.where(F.col(ident).isNull()).select(*names)).toDF(*cols)
+    full, names = _labelled(docs, doc_id, text, cols)
+    ident = F.col(names[doc_id])
+    best = full.where("label is not null").groupBy("label").agg(F.min(F.struct(ident.isNull(), ident, "node", "row")).alias("best")).select(F.col("best.row").alias("row"))
+    kept = full.where("label is not null").join(best, "row", "left_semi").unionByName(full.where("label is null"))
+    return kept.select(*[F.col(names[c]).alias(c) for c in cols])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ trained.  It decides on every candidate; spans of the base definition stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,16 @@ BASE = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same matches in time that grows with the text alone: an address starts where its run of digits does, and no run is given up bit by bit.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+#: What can stand before an @ (and it), and what must stand after it.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]++(@?)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 KINDS = (*BASE, "iban", "ssn")
-#: Candidates that the base doesn't hold: spelled-out addresses, phones without a plus, account and insurance numbers.
+#: Candidates that the base doesn't hold: spelled-out addresses (from their @ on), phones without a plus, account and insurance numbers.
 WIDE = {
-    "email": re.compile(r"(?i)(?<![\w.])[a-z0-9._%+-]{2,40}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[a-z0-9-]{2,40}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[a-z]{2,12}){1,3}(?!\w)"),
+    "email": re.compile(r"(?i)\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[a-z0-9-]{2,}+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[a-z]{2,}+)++(?!\w)"),
     "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{2,4}\)|0[0-9]{1,4}|[0-9]{3})[\x20./-][0-9]{3,4}(?:[\x20./-]?[0-9]{2,4}){1,3}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
@@ -91,17 +98,44 @@ def _checked(kind: str, found: str) -> bool:
     return True
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The base pattern's matches: each run of what can stand before an @ is looked at once, its domain once."""
+    at = 0
+    while m := _LOCAL.search(text, at):
+        at = m.end()
+        if m[1] and (domain := _DOMAIN.match(text, at)):
+            at = domain.end()
+            yield m.start(), at
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind's place, start, end) of the base definition's matches, in this order."""
-    out = []
-    at = "@" in text
-    for k, (kind, pattern) in enumerate(BASE.items()):
-        if kind == "email" and not at or kind == "phone" and "+" not in text:
+    out = [(0, s, e) for s, e in _emails(text)] if "@" in text else []
+    for k, (kind, pattern) in enumerate((("ip", _IP), ("card", _CARD), ("phone", BASE["phone"])), 1):
+        if kind == "phone" and "+" not in text:
             continue
         out += [(k, m.start(), m.end()) for m in pattern.finditer(text) if _checked(kind, m[0])]
     return out
 
 
+_BEFORE_AT = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+
+
+def _wide_spans(text: str) -> Iterator[tuple[int, int, int]]:
+    """(kind's place, start, end) of the wide patterns' matches."""
+    for kind, pattern in WIDE.items():
+        k, done = KINDS.index(kind), 0
+        for m in pattern.finditer(text):
+            start = m.start()
+            if kind == "email":
+                while start > done and text[start - 1] in _BEFORE_AT:
+                    start -= 1
+                if m.start() - start < 2 or start and (text[start - 1].isalnum() or text[start - 1] in "._"):
+                    continue
+                done = m.end()
+            yield k, start, m.end()
+
+
 def _votes(kind: str, text: str, start: int, end: int) -> list[int]:
     """1 for, 0 against, 2 none, of each labeler."""
     found = text[start:end]
@@ -136,13 +170,18 @@ FOUND = T.ArrayType(CANDIDATE)
 
 def candidates(text: str) -> list[tuple]:
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
     out = [(k, s, e, 1) for k, s, e in base]
-    for kind, pattern in WIDE.items():
-        k = KINDS.index(kind)
-        for m in pattern.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                out.append((k, m.start(), m.end(), 0))
+    starts, ends = [], []  # of the text that base spans cover
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    for k, s, e in _wide_spans(text):
+        i = bisect_left(starts, e)  # covered runs from here on begin too late
+        if not i or ends[i - 1] <= s:
+            out.append((k, s, e, 0))
     rows = []
     for k, s, e, b in out:
         code = 0

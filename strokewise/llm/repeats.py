@@ -229,7 +229,7 @@ def equal_windows(parts: list[bytes], window: int) -> list[np.ndarray]:
 
 def _keys(text: str) -> list:
     t = F.coalesce(F.col(text), F.lit(""))
-    return [F.xxhash64(t).alias("k1"), F.xxhash64(t, F.lit(1)).alias("k2"), t.alias("t")]
+    return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2"), t.alias("t")]
 
 
 def repeated(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import forget, written
+from ._tables import forget, free_shuffles, written
 from ._text import LOWER, NON_SPACE, Texts, free_name, mix, ranges, span
 
 #: Slots of each predictor's table: one for so many bytes of training text, but not more than MOST_SLOTS (as powers of two).
@@ -589,6 +589,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: li
     mixer.finish()
     answers = answered(found, spark.sparkContext.broadcast((code, table, mixer)), slot_bits)
     forget(found)
+    free_shuffles()
     log_all = float(np.log10(total + kinds + 1))
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:

@@ -20,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._columns import let, matches
+from ._columns import blocks, let, matches
 from ._tables import written
 from ._text import free_name
 
 #: The known forms.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
+LONG_ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
@@ -36,7 +37,7 @@ ALPHABETS = (("dec", "0123456789"), ("hex", "0123456789abcdef"), ("HEX", "012345
 #: Lengths from which a new band begins.
 BANDS = (20, 28, 40, 64)
 BINS = 40
-#: The share of false discoveries to stay within, and how many tokens a band needs.
+#: The share of false discoveries to stay within, and with how many tokens a band is judged by itself.
 RATE = 0.05
 LEAST = 20
 #: No token with a lower p-value counts as random, whatever its band's threshold: the rate is one
@@ -60,22 +61,26 @@ def randomness(token: Column) -> Column:
     body = F.regexp_replace(token, "=+$", "")
 
     def tested(t: Column, name: Column, alphabet: Column) -> Column:
-        n = F.char_length(t).cast("double")
-        k = F.char_length(alphabet).cast("double")
-
         def battery(v: Column) -> Column:
-            squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter(v, lambda y: y == x)).cast("double"), 2.0))
-            chi = F.greatest(_chi_z(k / n * squares - n, k - 1), F.lit(0.0))
-            high = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x > k / 2, 1.0).otherwise(0.0))
-            turns = F.aggregate(F.transform(v, lambda x, i: F.when((i > 0) & ((x > k / 2) != (F.get(v, i - 1) > k / 2)), 1.0).otherwise(0.0)), F.lit(1.0), lambda a, x: a + x)
+            sums = F.struct(F.size(v).cast("double").alias("n"), F.char_length(alphabet).cast("double").alias("k"), (F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)).alias("mean"))
+            return let(sums, lambda m: judged(v, m["n"], m["k"], m["mean"]))
+
+        def judged(v: Column, n: Column, k: Column, mean: Column) -> Column:
+            # of each value and its neighbour before: above the middle or not, and how far from the mean
+            steps = F.transform(v, lambda x, i: F.struct((x > k / 2).alias("high"), (F.get(v, i - 1) > k / 2).alias("was"), (x - mean).alias("d"), (F.get(v, i - 1) - mean).alias("e")))
+            start = F.struct(F.lit(0.0).alias("high"), F.lit(1.0).alias("turns"), F.lit(0.0).alias("total"), F.lit(0.0).alias("lag"))
+            added = lambda a, x: F.struct((a["high"] + x["high"].cast("double")).alias("high"), (a["turns"] + F.coalesce((x["high"] != x["was"]).cast("double"), F.lit(0.0))).alias("turns"), (a["total"] + x["d"] * x["d"]).alias("total"), (a["lag"] + F.coalesce(x["d"] * x["e"], F.lit(0.0))).alias("lag"))
+            return let(F.aggregate(steps, start, added), lambda a: tail(v, n, k, a["high"], a["turns"], a["total"], a["lag"]))
+
+        def tail(v: Column, n: Column, k: Column, high: Column, turns: Column, total: Column, lag: Column) -> Column:
+            # runs of equal values of the sorted array are the counts of the alphabet's characters
+            runs = F.aggregate(F.array_sort(v), F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("n"), F.lit(0.0).alias("squares")), lambda a, x: F.when(a["last"] == x, F.struct(x.alias("last"), (a["n"] + 1).alias("n"), a["squares"].alias("squares"))).otherwise(F.struct(x.alias("last"), F.lit(1.0).alias("n"), (a["squares"] + a["n"] * a["n"]).alias("squares"))), lambda a: a["squares"] + a["n"] * a["n"])
+            chi = F.greatest(_chi_z(k / n * runs - n, k - 1), F.lit(0.0))
             mid = 2 * high * (n - high) / n + 1
             spread = (mid - 1) * (mid - 2) / (n - 1)
-            runs = F.when(spread > 0, (turns - mid) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(8.0)
-            mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-            total = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-            lag = F.aggregate(F.transform(v, lambda x, i: F.when(i > 0, (x - mean) * (F.get(v, i - 1) - mean)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+            turned = F.when(spread > 0, (turns - mid) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(8.0)
             serial = F.when(total > 0, lag / F.greatest(total, F.lit(1e-9)) * F.sqrt(n)).otherwise(8.0)
-            return F.struct(name.alias("encoding"), _tail(_chi_z(chi * chi + runs * runs + serial * serial, F.lit(3.0))).alias("p"))
+            return let(F.struct(chi.alias("chi"), turned.alias("turned"), serial.alias("serial")), lambda z: F.struct(name.alias("encoding"), _tail(_chi_z(z["chi"] * z["chi"] + z["turned"] * z["turned"] + z["serial"] * z["serial"], F.lit(3.0))).alias("p")))
 
         return let(F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.position(c, alphabet).cast("double")), battery)
 
@@ -101,19 +106,21 @@ def thresholds(counts: dict[tuple, dict[int, int]], rate: float = RATE, least: i
 
     counts: (encoding, band) -> bin -> number of different tokens, over all
     documents.  A band with fewer than ``least`` is judged together with as many
-    neighbouring bands of its encoding, on both sides, as it takes.
+    neighbouring bands of its encoding, on both sides, as it takes, and at last
+    with all encodings.
     """
     out = {}
+    everything = [counts[x] for x in counts]
     for encoding, band in counts:
-        stratum, at, bins = (encoding, band), BANDS.index(band), {}
-        for width in range(len(BANDS)):
-            near = [counts.get((encoding, b), {}) for b in BANDS[max(at - width, 0) : at + width + 1]]
+        stratum, at = (encoding, band), BANDS.index(band)
+        for width in range(len(BANDS) + 1):
+            near = everything if width == len(BANDS) else [counts.get((encoding, b), {}) for b in BANDS[max(at - width, 0) : at + width + 1]]
             bins = {b: sum(x.get(b, 0) for x in near) for b in range(BINS)}
             if sum(bins.values()) >= least:
                 break
         total = sum(bins.values())
         even = min(1.0, 2 * sum(n for b, n in bins.items() if b >= BINS // 2) / total)
-        if total < least or even == 0:
+        if even == 0:
             continue
         for b in range(BINS // 2):
             accepted = sum(n for x, n in bins.items() if x >= b)
@@ -143,8 +150,20 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rat
         )
 
     base = F.concat(let(matches(t, ASSIGN), assigned), F.transform(F.filter(matches(t, ACCESS), lambda x: x["end"] - x["start"] >= 20), lambda x: span(x, 1)), F.transform(matches(t, HEX), lambda x: span(x, 2)))
-    tokens = F.transform(matches(t, CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["match"]).alias("token"), randomness(x["match"]).alias("r")))
-    cleared = lambda b: F.filter(tokens, lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    tokens = F.transform(matches(t, CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["match"]).alias("token"), (x["match"].rlike(HEX) | x["match"].rlike(LONG_ACCESS)).alias("known"), randomness(x["match"]).alias("r")))
+    apart = lambda x, b: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+
+    def cleared(b: Column) -> Column:
+        # access keys and hexadecimal runs that touch a token lie within it
+        free = F.filter(tokens, lambda x: ~x["known"])
+        assigned_spans = F.filter(b, lambda y: y["kind"] == 0)
+
+        def near(run: Column, spans: Column) -> Column:
+            ends = F.struct(F.get(run, 0)["start"].alias("start"), F.element_at(run, -1)["end"].alias("end"))
+            return let(let(ends, lambda e: F.filter(spans, lambda y: (y["start"] < e["end"]) & (e["start"] < y["end"]))), lambda some: F.filter(run, lambda x: apart(x, some)))
+
+        return let(free, lambda f: let(assigned_spans, lambda spans: F.when((F.size(f) == 0) | (F.size(spans) == 0), f).otherwise(F.flatten(F.transform(blocks(f), lambda run: near(run, spans))))))
+
     found = let(F.sort_array(base), lambda b: F.struct(b.alias("base"), cleared(b).alias("tokens")))
     rows = written(docs.select(*keep, found.alias(name)), "secrets")
     each = rows.select(F.explode(F.col(name)["tokens"]).alias("x"))

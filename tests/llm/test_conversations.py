@@ -68,3 +68,92 @@ def test_quotes_of_several_lines_lead_to_their_sources(spark):
     assert [out[1, t].reply_to for t in range(11)] == [None, 0, 1, 0, 0, 4, 0, 0, 7, 8, 9]
     assert [out[1, t].n_linked for t in range(11)] == [0, 0, 0, 1, 1, 0, 1, 1, 0, 0, 1]
     assert all(out[1, t].n_quotes == (t > 2 and t != 9) for t in range(11))
+
+
+def test_many_marks_and_long_lines(spark):
+    rows = [
+        (1, 0, "user", "root line"),
+        (1, 1, "user", ">" * 2_000 + " deep\n> root line\nmine"),
+        (1, 2, "user", "> " * 100_000 + "\n" + ">" * 1_000_000 + "\n" + " " * 1_000_000 + "\nend"),
+        (1, 3, "user", "    > code, not a quote\n>     > one level\n" + "x" * 200 + " wrote:\n> root line\nend"),
+        (1, 4, "user", "> line of its own\n" * 3_000),
+    ]
+    out = made(spark, rows)
+    assert out[1, 1].n_linked == 1 and out[1, 1].reply_to == 0 and out[1, 1].text == "mine"
+    assert out[1, 2].text.strip() == "end" and out[1, 2].n_quotes == 0
+    assert out[1, 3].text == "> code, not a quote\nend" and out[1, 3].n_quotes == 2 and out[1, 3].reply_to == 0
+    assert out[1, 4].n_quotes == 1
+
+
+def brute_force(rows):
+    """{(conv, turn): (n_quotes, n_linked, reply_to)} by comparing every quote with every earlier message, line by line."""
+    import re
+
+    norm = lambda s: re.sub(r"[ \t-\r]+", " ", s.lower()).strip(" ")
+
+    def runs(text):
+        out = []
+        for line in (text or "").split("\n"):
+            m = re.match(r"((?:[ \t]{0,3}>)+)[ \t]?(.*)$", line)
+            level, rest = (m[1].count(">"), m[2]) if m else (0, line)
+            if not norm(rest):
+                if out:
+                    out[-1][2] = True
+                continue
+            if not out or out[-1][0] != level:
+                out.append([level, [[norm(rest)]], False])
+            else:
+                if out[-1][2]:
+                    out[-1][1].append([])
+                out[-1][1][-1].append(norm(rest))
+            out[-1][2] = False
+        return [(level, paragraphs) for level, paragraphs, _ in out]
+
+    join = lambda parts: norm(" ".join(parts))
+    got, by_conv = {}, {}
+    for c, t, _, text in sorted(rows):
+        made_of = runs(text)
+        own = set()
+        for level, ps in made_of:
+            if level == 0:
+                own |= {join(sum(ps, []))} | {join(p) for p in ps} | {x for p in ps for x in p}
+        seen, linked = set(), []
+        for level, ps in made_of:
+            if level and (level, join(sum(ps, []))) not in seen:
+                seen.add((level, join(sum(ps, []))))
+                ways = ([join(sum(ps, []))], [join(p) for p in ps], [x for p in ps for x in p])
+                at = max((u for u, keys in by_conv.get(c, []) if any(all(k in keys for k in way) for way in ways)), default=None)
+                if at is not None:
+                    linked.append((level, at))
+        n = sum(1 for level, _ in made_of if level)
+        before = max((u for u, _ in by_conv.get(c, [])), default=None)
+        reply = max((a for level, a in linked if level == 1), default=before)
+        got[c, t] = (n, len(linked), reply)
+        by_conv.setdefault(c, []).append((t, own))
+    return got
+
+
+def test_same_as_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    lines = [f"line {i} of it" for i in range(30)]
+    rows, said = [], {}
+    for c in range(12):
+        for t in range(25):
+            body = []
+            for _ in range(rng.randint(0, 3)):
+                body += [rng.choice(lines) for _ in range(rng.randint(1, 3))] + ([""] if rng.random() < 0.5 else [])
+            quote = []
+            if said.get(c) and rng.random() < 0.7:
+                source = rng.choice(said[c])
+                a = rng.randrange(len(source) + 1)
+                quote = ["> " * rng.choice([1, 1, 2]) + x for x in source[a : a + rng.randint(1, 4)]]
+                if rng.random() < 0.3:
+                    quote = [" ".join(["> " + " ".join(x.lstrip("> ") for x in quote)])]
+            rows.append((c, t, "user", "\n".join(quote + body)))
+            said.setdefault(c, []).append(body)
+    want = brute_force(rows)
+    out = made(spark, rows)
+    assert {k: (r.n_quotes, r.n_linked, r.reply_to) for k, r in out.items()} == want
+    assert sum(n for _, n, _ in want.values()) > 60

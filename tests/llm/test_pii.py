@@ -66,3 +66,12 @@ def test_redaction_columns_and_empty(spark):
 def test_long_runs_of_zeros_in_an_address():
     assert pii._checked("ip", "0" * 5000 + ".1.2.3") and pii._checked("ip", "0" * 5000 + "255.1.2.3")
     assert not pii._checked("ip", "0" * 5000 + "256.1.2.3")
+
+
+def test_long_texts_in_little_time():
+    import time
+
+    for t in ("7" * 1_000_000, "a" * 1_000_000 + " @", "1." * 400_000, "a@" * 400_000, "+1" * 400_000, "+1" + " " * 1_000_000, "a.b@c.de " * 50_000 + "me (at) x dot y " * 20_000, "x (at) " * 100_000):
+        began = time.perf_counter()
+        pii.candidates(t)
+        assert time.perf_counter() - began < 20, t[:20]

@@ -74,3 +74,14 @@ def test_small_bands_are_judged_with_their_neighbours():
     even = {b: 10 for b in range(ss.BINS)}
     assert ss.thresholds({("hex", 20): even, ("hex", 28): {30: 2}, ("dec", 28): {30: 2}}) == {("hex", 20): 0.0, ("hex", 28): 0.0}
     assert ("hex", 64) in ss.thresholds({("hex", 20): even, ("hex", 64): {30: 2}})
+
+
+def test_very_many_matches(spark):
+    """A hundred thousand matches in one text take seconds, and stand where they should."""
+    import time
+
+    text = "key: token=abcdef1 " * 60_000 + "deadbeefdeadbeefdeadbeef0 " * 40_000
+    began = time.perf_counter()
+    got = ss.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.perf_counter() - began < 90
+    assert tuple(got)[:5] == (1, *ss.brute_force([(1, text)])[1])
