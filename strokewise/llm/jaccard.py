@@ -117,7 +117,7 @@ def frequent(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT)
         for values, _, _ in _sets_of(batches):
             held.append(values)
             size += len(values)
-            if size >= 1 << 22:
+            if size >= 1 << 21:
                 yield flush()
                 held, size = [], 0
         if size:
