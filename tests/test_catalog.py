@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from strokewise.plans import catalog
+from strokewise.plans import catalog, shapes  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
