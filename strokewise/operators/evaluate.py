@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .running import running
+
 
 def share(n: Column, of: Column) -> Column:
     return F.when(of > 0, n / of).otherwise(0.0)
@@ -26,27 +34,33 @@ def score_counts(rows: DataFrame, human: str, score: str) -> DataFrame:
 
 def rank_auc(rows: DataFrame, human: str, score: str) -> DataFrame:
     """(auc, folded_auc): ties count half.  Ranks come from counts per score, by a running sum over distinct scores."""
-    c = score_counts(rows, human, score)
-    below = F.coalesce(F.sum("bots").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = c.select((F.col("humans") * (below + F.col("bots") / 2.0)).alias("w"), "humans", "bots").agg(F.sum("w").alias("w"), F.sum("humans").alias("h"), F.sum("bots").alias("b"))
+    c = running(score_counts(rows, human, score), "score", {"below": "bots"})
+    wins = c.select((F.col("humans") * (F.col("below") + F.col("bots") / 2.0)).alias("w"), "humans", "bots").agg(F.sum("w").alias("w"), F.sum("humans").alias("h"), F.sum("bots").alias("b"))
     auc = F.col("w") / (F.col("h") * F.col("b"))
     return wins.select(auc.alias("auc"), F.greatest(auc, 1 - auc).alias("folded_auc"))
 
 
+def average_precision(rows: DataFrame, human: str, score: str) -> DataFrame:
+    """(average_precision): precision at each distinct score, weighted by the humans that it adds."""
+    c = running(score_counts(rows, human, score), "score", {"h": "humans", "b": "bots"}, descending=True)
+    h, b = F.col("h") + F.col("humans"), F.col("b") + F.col("bots")
+    return c.agg(F.sum(F.col("humans") * h / (h + b)).alias("s"), F.sum("humans").alias("n")).select(share(F.col("s"), F.col("n")).alias("average_precision"))
+
+
 def best_threshold(rows: DataFrame, human: str, score: str, most_rejected: float) -> DataFrame:
     """The threshold of greatest bot recall among those that reject few enough humans; of equal ones the largest, without any the smallest."""
     c = score_counts(rows, human, score)
     half = c.agg(F.lit(0.5).alias("score"), F.lit(0).cast("long").alias("humans"), F.lit(0).cast("long").alias("bots")).select("score", "humans", "bots")
     c = c.union(half).groupBy("score").agg(F.sum("humans").alias("humans"), F.sum("bots").alias("bots"))
-    before = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    c = c.select("score", (F.coalesce(F.sum("humans").over(before), F.lit(0)) / F.sum("humans").over(every)).alias("rejected"), (F.coalesce(F.sum("bots").over(before), F.lit(0)) / F.sum("bots").over(every)).alias("caught"))
+    every = c.agg(F.sum("humans").alias("all_humans"), F.sum("bots").alias("all_bots"))
+    c = running(c, "score", {"h": "humans", "b": "bots"}).crossJoin(F.broadcast(every))  # one row
+    c = c.select("score", (F.col("h") / F.col("all_humans")).alias("rejected"), (F.col("b") / F.col("all_bots")).alias("caught"))
     ok = F.col("rejected") <= most_rejected
     return c.orderBy(F.desc(ok), F.when(ok, -F.col("caught")).otherwise(F.col("score")), F.desc("score")).limit(1).select(F.col("score").alias("threshold"), "rejected", "caught")
 
 
 def separation(rows: DataFrame, human: str, features: list[str]) -> DataFrame:
-    """(feature, difference): standardised difference of means of humans and bots, largest first."""
+    """(feature, difference): standardised difference of means of humans and bots."""
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
     each = rows.select(human, named.alias("f")).select(human, "f.*").groupBy("feature").agg(*[f(F.when(F.col(human) == F.lit(side), F.col("v"))).alias(f"{n}{int(side)}") for side in (True, False) for n, f in (("mean", F.avg), ("var", F.var_pop))])
     spread = F.sqrt((F.col("var1") + F.col("var0")) / 2)
@@ -67,11 +81,11 @@ def wilson(rows: DataFrame, hits: str, n: str, z: float = 1.959963984540054) ->
 
 
 def anomaly_percentile(rows: DataFrame, reference: DataFrame, score: str) -> DataFrame:
-    """Each row's share of reference scores that are not greater, by one sort of distinct scores of both."""
+    """Each row's share of reference scores that are not greater, by a running sum over distinct scores of both."""
     ref = reference.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
     both = ref.unionByName(rows.select(F.col(score).alias("s"), F.lit(0).cast("long").alias("n")).distinct()).groupBy("s").agg(F.sum("n").alias("n"))
-    ranked = both.select("s", F.sum("n").over(Window.orderBy("s")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    return rows.join(ranked, rows[score] == ranked["s"]).select(*rows.columns, (F.col("upto") / F.col("all")).alias("percentile"))
+    ranked = running(both, "s", {"below": "n"}).crossJoin(F.broadcast(ref.agg(F.sum("n").alias("all"))))  # one row
+    return rows.join(ranked, rows[score] == ranked["s"]).select(*rows.columns, ((F.col("below") + F.col("n")) / F.col("all")).alias("percentile"))
 
 
 def salted_split(rows: DataFrame, group: str, salt: str, parts: tuple[tuple[str, float], ...]) -> DataFrame:
@@ -84,12 +98,103 @@ def salted_split(rows: DataFrame, group: str, salt: str, parts: tuple[tuple[str,
     return rows.withColumn("part", choice.otherwise(parts[-1][0]))
 
 
-def nearest(rows: DataFrame, ident: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
-    """(ident, mean_distance) to the k nearest others, exactly: queries against all rows in blocks, each block keeping its k best."""
-    q = rows.select(F.col(ident).alias("i"), F.col(vector).alias("u"))
-    r = rows.select(F.col(ident).alias("j"), F.col(vector).alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).alias("block"))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    distance = F.sqrt(F.aggregate(F.zip_with("u", "v", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    d = q.join(r, "block").where("i <> j").select("i", "block", distance.alias("d"))
-    best = d.groupBy("i", "block").agg(F.slice(F.array_sort(F.collect_list("d")), 1, k).alias("d"))
-    return best.groupBy("i").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d")).select(F.col("i").alias(ident), (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("mean_distance"))
+#: Queries that tasks hold at a time.
+QUERY_BLOCK = 4_096
+
+
+def nearest(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
+    """(ident, mean_distance) of each query to its k nearest others among all rows, exactly.
+
+    Queries go to the tasks in blocks of bounded size; a task compares a block
+    with its rows by matrix products and keeps each query's k best, so k
+    distances a query and task are shuffled.
+    """
+    spark = rows.sparkSession
+    numbered = queries.select(F.col(ident).alias("i"), F.col(vector).alias("u"))
+    blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
+    made = None
+    for b in range(blocks):
+        own = numbered.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toArrow()  # about QUERY_BLOCK rows
+        if not len(own):
+            continue
+        shared = spark.sparkContext.broadcast((own["i"].to_numpy(), np.stack([np.asarray(v, float) for v in own["u"].to_pylist()])))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best = np.full((len(ids), k), np.inf)
+            for batch in batches:
+                for at in range(0, len(batch), 2_048):
+                    part = batch.slice(at, 2_048)
+                    v = np.stack([np.asarray(x, float) for x in part.column(1).to_pylist()])
+                    d = np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * q @ v.T, 0)
+                    d[ids[:, None] == part.column(0).to_numpy()[None]] = np.inf
+                    best = np.partition(np.concatenate([best, d], axis=1), k - 1, axis=1)[:, :k]
+            row, col = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(np.sqrt(best[row, col]))], names=["i", "d"])
+
+        found = rows.select(ident, vector).mapInArrow(compare, T.StructType([T.StructField("i", rows.schema[ident].dataType), T.StructField("d", T.DoubleType())]))
+        made = found if made is None else made.union(found)
+    if made is None:
+        return queries.select(ident, F.lit(None).cast("double").alias("mean_distance"))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("d"))  # k rows of each task
+    return made.withColumn("rank", rank).where(F.col("rank") <= k).groupBy(F.col("i").alias(ident)).agg(F.avg("d").alias("mean_distance"))
+
+
+def distribution(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """(key, feature, mean, p05, p10, p50, p90, p95)."""
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
+    at = (5, 10, 50, 90, 95)
+    p = F.percentile("v", F.array(*[F.lit(x / 100) for x in at]))
+    out = rows.select(key, named.alias("f")).select(key, "f.*").groupBy(key, "feature").agg(F.avg("v").alias("mean"), p.alias("p"))
+    return out.select(key, "feature", "mean", *[F.col("p")[i].alias(f"p{x:02d}") for i, x in enumerate(at)])
+
+
+def policy_summary(rows: DataFrame, score: str, hard: float, step_up: float) -> DataFrame:
+    """What fixed thresholds let pass, step up and reject."""
+    s = F.col(score)
+    count = {"model_bot_risk_count": s < hard, "step_up_band_count": (s >= hard) & (s < step_up), "direct_auto_allow_count": s >= step_up}
+    rate = {"hard_model_asr": s >= hard, "direct_auto_allow_asr": s >= step_up, "step_up_rate": s < step_up}
+    return rows.agg(F.count("*").alias("rows"), *[F.avg(c.cast("double")).alias(n) for n, c in rate.items()], *[F.count_if(c).alias(n) for n, c in count.items()])
+
+
+def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """(bin, n) over explicit edges: bin i holds edges[i-1] <= value < edges[i]; 0 and len(edges) are what lies outside."""
+    return rows.groupBy(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(value))).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def recurrence(runs: DataFrame, run: str, human: str, features: list[str]) -> DataFrame:
+    """(feature, runs, higher, lower, mean_difference): in how many runs a feature separates, and which way."""
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
+    each = runs.select(run, human, named.alias("f")).select(run, human, "f.*").groupBy(run, "feature").agg((F.avg(F.when(F.col(human), F.col("v"))) - F.avg(F.when(~F.col(human), F.col("v")))).alias("d"))
+    return each.where("d is not null").groupBy("feature").agg(F.count("*").alias("runs"), F.count_if(F.col("d") > 0).alias("higher"), F.count_if(F.col("d") < 0).alias("lower"), F.avg("d").alias("mean_difference"))
+
+
+def worst_group(rows: DataFrame, group: str, failed: Column) -> DataFrame:
+    """(groups, worst, mean) of each group's share of failures."""
+    each = rows.groupBy(group).agg(F.avg(failed.cast("double")).alias("rate"))
+    return each.agg(F.count("*").alias("groups"), F.max("rate").alias("worst"), F.avg("rate").alias("mean"))
+
+
+def session_scores(rows: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, n, lowest, median, trimmed, p25, mean) of a session's drag scores; trimmed is the median without the worst, p25 excludes the ends."""
+    out = rows.groupBy(key).agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(score)).alias("s"), F.avg(score).alias("mean"))  # a session has few drags
+    middle = lambda a, n: (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
+    j, delta = F.floor((F.col("n") + 1) / 4).cast("int"), (F.col("n") + 1) % 4
+    p25 = F.when(F.col("n") >= 4, (F.get("s", j - 1) * (4 - delta) + F.get("s", j) * delta) / 4).otherwise(F.get("s", F.lit(0)))
+    trimmed = F.when(F.col("n") <= 2, middle(F.col("s"), F.col("n"))).otherwise(middle(F.slice("s", 2, 1 << 30), F.col("n") - 1))
+    return out.select(key, F.col("n").cast("long").alias("n"), F.get("s", F.lit(0)).alias("lowest"), middle(F.col("s"), F.col("n")).alias("median"), trimmed.alias("trimmed"), p25.alias("p25"), "mean")
+
+
+def band(rows: DataFrame, value: str, low: float = 0.015, high: float = 0.985) -> DataFrame:
+    """(low, high, outside): a two-sided band of the values and the share beyond it."""
+    edges = rows.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return rows.crossJoin(F.broadcast(edges)).groupBy("low", "high").agg(F.avg(((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).cast("double")).alias("outside"))  # one row of edges
+
+
+def common_point(rows: DataFrame, score: str, rejected: float) -> DataFrame:
+    """(threshold, n): the score at place floor(n * rejected) of the sorted ones, from counts per score."""
+    counts = rows.groupBy(F.col(score).cast("double").alias("score")).agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").alias("n"))
+    at = F.floor(F.col("n") * F.lit(rejected))
+    placed = running(counts, "score", {"below": "c"}).crossJoin(F.broadcast(total))  # one row
+    return placed.where((F.col("below") <= at) & (at < F.col("below") + F.col("c"))).select(F.col("score").alias("threshold"), "n")
