@@ -51,3 +51,58 @@ def weak_concepts(answers: DataFrame, now: Column, order: list[str], k: int = 3)
     rows = rows.select("student", "concept", F.round("mastery", 4).alias("mastery"), score.alias("weakness"), reason.alias("reason"), band(F.col("mastery")).alias("target_band"))
     rank = F.row_number().over(Window.partitionBy("student").orderBy(F.desc("weakness"), "concept"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def slip_probability(cancels: Column, failed: Column, regrabs: Column, error_px: Column) -> Column:
+    """Mean of the capped signals of a slip; the drop's distance counts only where it is known."""
+    capped = lambda c, top: F.least(F.greatest(c, F.lit(0)), F.lit(top)) / float(top)
+    three = capped(cancels, 3) + capped(failed, 3) + capped(regrabs, 3)
+    return F.bround(F.when(error_px.isNull(), three / 3).otherwise((three + capped(error_px, 60)) / 4), 4)
+
+
+def outcome(system_error: Column, cancels: Column, grabbed: Column, released: Column, slot: Column, right: Column) -> Column:
+    """What an answer's drop means: rules in order, the first that holds counts."""
+    return F.when(system_error, "system_error").when((cancels > 0) | grabbed.isNull() | released.isNull(), "operation_error").when(released == slot, F.when(right, "correct").otherwise("concept_error")).otherwise("ambiguous")
+
+
+#: Which band of difficulty is tried first, second and third for each target.
+PREFERENCE = {"easy": ("easy", "medium", "hard"), "medium": ("medium", "easy", "hard"), "hard": ("hard", "medium", "easy")}
+
+
+def recommended(weak: DataFrame, questions: DataFrame, solved: DataFrame, n: int = 4) -> DataFrame:
+    """(student, place, question, concept, target_band): up to n unsolved questions of the weakest concepts.
+
+    weak: student, concept, rank, target_band; questions: question, concept,
+    difficulty; solved: student, question.  Within a concept the preferred bands
+    come first, and no two hard questions follow one another: of a run of hard
+    ones only the first stays, and it is passed over where a hard one came last.
+    So n of each band of a concept suffice, whatever the bank holds.
+    """
+    rank = F.lit(3)
+    for target, bands in PREFERENCE.items():
+        for i, b in enumerate(bands):
+            rank = F.when((F.col("target_band") == target) & (F.col("band") == b), i).otherwise(rank)
+    rows = weak.select("student", "concept", "rank", "target_band").join(questions.withColumn("band", band(F.col("difficulty"))), "concept").join(solved, ["student", "question"], "left_anti").withColumn("liking", rank)
+    few = F.row_number().over(Window.partitionBy("student", "concept", "band").orderBy("question"))
+    rows = rows.withColumn("few", few).where(F.col("few") <= n)
+    taken = rows.groupBy("student").agg(F.array_sort(F.collect_list(F.struct("rank", "liking", "question", "concept", "target_band", "band"))).alias("all"))  # 3 n questions of each weak concept
+    start = F.struct(F.lit(False).alias("hard"), F.filter("all", lambda x: F.lit(False)).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        hard = x["band"] == "hard"
+        skip = (F.size(acc["out"]) >= n) | (hard & acc["hard"])
+        return F.when(skip, acc).otherwise(F.struct(hard.alias("hard"), F.concat(acc["out"], F.array(x)).alias("out")))
+
+    out = taken.select("student", F.posexplode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("place", "q"))
+    return out.select("student", F.col("place").cast("long").alias("place"), "q.question", "q.concept", "q.target_band")
+
+
+def ready_for_next(rows: DataFrame) -> DataFrame:
+    """The mastery rows with whether the student can move on."""
+    return rows.withColumn("ready", ~F.col("diagnostic_needed") & (F.col("mastery") >= MASTERED))
+
+
+def diagnosis_text(weak: DataFrame) -> DataFrame:
+    """(student, text): the weak concepts of each student as one line, weakest first."""
+    part = F.concat(F.col("concept"), F.lit(" ("), F.col("reason"), F.lit(", "), F.format_string("%.0f", F.col("mastery") * 100), F.lit("%)"))
+    return weak.groupBy("student").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))), lambda x: x["p"]), "; ").alias("text"))  # three concepts

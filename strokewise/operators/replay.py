@@ -22,24 +22,68 @@ def seen_before(prints: DataFrame, key: str, value: str, order: list[str]) -> Da
 
 
 def history(prints: DataFrame, window_us: int, newest: int, duration_tolerance: float = 2.0, end_tolerance: float = 0.01, recent_us: int = 60_000_000) -> DataFrame:
-    """Replay features of each attempt against the newest attempts of its session in the window before it."""
-    past = prints.select("user_id", *[F.col(c).alias(f"h_{c}") for c in ("ano", "fingerprint", "duration", "end_x", "end_y", "at_us")])
-    age = F.col("at_us") - F.col("h_at_us")
-    pairs = prints.join(past, "user_id", "left").where(F.col("h_ano").isNull() | ((F.col("h_ano") < F.col("ano")) & (age >= 0) & (age <= window_us)))
-    rank = F.row_number().over(Window.partitionBy("attempt_id").orderBy(F.desc("h_at_us"), F.desc("h_ano")))
-    pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= newest)
-    same_end = (F.abs(F.col("h_end_x") - F.col("end_x")) <= end_tolerance) & (F.abs(F.col("h_end_y") - F.col("end_y")) <= end_tolerance)
-    found = pairs.groupBy("attempt_id").agg(
-        F.bool_or(F.col("h_fingerprint") == F.col("fingerprint")).alias("exact"),
-        F.count_if(F.abs(F.col("h_duration") - F.col("duration")) <= duration_tolerance).alias("repeated_duration_count"),
-        F.count_if(same_end).alias("repeated_endpoint_count"),
-        F.count_if(age <= recent_us).alias("recent_attempt_count"),
+    """Replay features of each attempt against the newest attempts of its session in the window before it.
+
+    The past is a frame of the last ``newest`` rows, so no attempt is paired with its whole session.
+    """
+    past = Window.partitionBy("user_id").orderBy("at_us", "ano").rowsBetween(-newest, -1)
+    rows = prints.withColumn("past", F.filter(F.collect_list(F.struct("fingerprint", "duration", "end_x", "end_y", "at_us")).over(past), lambda h: F.col("at_us") - h["at_us"] <= window_us))
+    count = lambda test: F.size(F.filter("past", test)).cast("long")
+    out = rows.select(
+        "attempt_id",
+        F.exists("past", lambda h: h["fingerprint"] == F.col("fingerprint")).alias("exact_replay_detected"),
+        count(lambda h: F.abs(h["duration"] - F.col("duration")) <= duration_tolerance).alias("repeated_duration_count"),
+        count(lambda h: (F.abs(h["end_x"] - F.col("end_x")) <= end_tolerance) & (F.abs(h["end_y"] - F.col("end_y")) <= end_tolerance)).alias("repeated_endpoint_count"),
+        count(lambda h: F.col("at_us") - h["at_us"] <= recent_us).alias("recent_attempt_count"),
     )
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = prints.select("attempt_id").join(found, "attempt_id", "left").select("attempt_id", F.coalesce("exact", F.lit(False)).alias("exact_replay_detected"), *[zero(c) for c in ("repeated_duration_count", "repeated_endpoint_count", "recent_attempt_count")])
     return out.withColumn("attempts_per_minute", F.col("recent_attempt_count") * 60_000_000.0 / recent_us)
 
 
+def resampled(trace: DataFrame, points: int = 32) -> DataFrame:
+    """(user_id, ano, attempt_id, n, xs, ys): paths without repeated points, at equal steps of arc length; null where nothing moves."""
+    order = Window.partitionBy("attempt_id").orderBy("seq")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(order), 2) + F.pow(F.col("y") - F.lag("y").over(order), 2))
+    rows = trace.where(finite("x") & finite("y")).withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("first", F.row_number().over(order) == 1)
+    rows = rows.where("first or step > 1e-12").withColumn("arc", F.sum("step").over(order))
+    rows = rows.withColumns({"next_arc": F.lead("arc").over(order), "next_x": F.lead("x").over(order), "next_y": F.lead("y").over(order), "total": F.max("arc").over(Window.partitionBy("attempt_id")), "n": F.count("*").over(Window.partitionBy("attempt_id"))})
+    # each stretch makes the points that fall into it, so a path is never searched for them
+    scale = (points - 1) / F.col("total")
+    from_, to = F.ceil(F.col("arc") * scale - 1e-9), F.ceil(F.col("next_arc") * scale - 1e-9) - 1
+    last = F.col("next_arc") >= F.col("total")
+    numbers = F.sequence(from_.cast("int"), F.when(last, points - 1).otherwise(to).cast("int"))
+    made = rows.where("total > 0 and next_arc is not null").where(F.when(last, F.lit(points - 1)).otherwise(to) >= from_).select("user_id", "ano", "attempt_id", "n", "x", "y", "next_x", "next_y", "arc", "next_arc", "total", F.explode(numbers).alias("i"))
+    at = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("i") * F.col("total") / (points - 1) - F.col("arc")) / (F.col("next_arc") - F.col("arc"))))
+    point = F.struct("i", (F.col("x") + at * (F.col("next_x") - F.col("x"))).alias("x"), (F.col("y") + at * (F.col("next_y") - F.col("y"))).alias("y"))
+    path = made.groupBy("user_id", "ano", "attempt_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(point)).alias("p"))  # `points` of them
+    return path.select("user_id", "ano", "attempt_id", "n", F.transform("p", lambda q: q["x"]).alias("xs"), F.transform("p", lambda q: q["y"]).alias("ys"))
+
+
+def unit(xs: Column, ys: Column) -> Column:
+    """struct<xs,ys> around the mean and of unit norm; null for a path without extent."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    square = lambda c: total(F.transform(c["xs"], lambda v: v * v)) + total(F.transform(c["ys"], lambda v: v * v))
+    means = F.struct((total(xs) / F.size(xs)).alias("x"), (total(ys) / F.size(ys)).alias("y"))
+    moved = lambda m: F.struct(F.transform(xs, lambda v: v - m["x"]).alias("xs"), F.transform(ys, lambda v: v - m["y"]).alias("ys"))
+    scaled = lambda c: let(F.sqrt(square(c)), lambda n: F.when(n > 1e-12, F.struct(F.transform(c["xs"], lambda v: v / n).alias("xs"), F.transform(c["ys"], lambda v: v / n).alias("ys"))))
+    return let(let(means, moved), scaled)
+
+
+def similarity(paths: DataFrame, previous: int) -> DataFrame:
+    """(attempt_id, max_similarity, compared): Procrustes similarity to the session's previous paths; 0 without any."""
+    ready = paths.withColumn("u", unit(F.col("xs"), F.col("ys")))
+    frame = Window.partitionBy("user_id").orderBy("ano").rowsBetween(-previous, -1)
+    past = ready.withColumn("past", F.collect_list("u").over(frame))
+    best = F.array_max(F.transform("past", lambda h: procrustes(F.col("u.xs"), F.col("u.ys"), h["xs"], h["ys"])))
+    return past.select("attempt_id", F.coalesce(F.when(F.col("u").isNotNull(), best), F.lit(0.0)).alias("max_similarity"), F.size("past").cast("long").alias("compared"))
+
+
+def warp_resistant(n: Column, least: int = 31) -> Column:
+    """Whether a path has enough points for its similarity to withstand warping."""
+    return n >= least
+
+
 def centred(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """Flat paths x0,y0,x1,y1,... as xs and ys around their mean, of unit norm; degenerate ones have null."""
     part = lambda first: F.transform(F.filter(F.col(column), lambda _, i: i % 2 == first), lambda v: v.cast("double"))
@@ -60,10 +104,9 @@ def procrustes(ax: Column, ay: Column, bx: Column, by: Column, sharpness: float
     return F.coalesce(1 / (1 + sharpness * F.sqrt(F.greatest(2 - 2 * both, F.lit(0.0)))), F.lit(0.0))
 
 
-def procrustes_best(paths: DataFrame, key: str, ident: str) -> DataFrame:
-    """(ident, best, n): the greatest similarity to an earlier path of the same key."""
-    ready = centred(paths).select(key, ident, "xs", "ys")
-    past = ready.select(key, *[F.col(c).alias(f"h_{c}") for c in (ident, "xs", "ys")])
-    pairs = ready.join(past, key).where(F.col(f"h_{ident}") < F.col(ident))
-    best = pairs.groupBy(ident).agg(F.max(procrustes(F.col("xs"), F.col("ys"), F.col("h_xs"), F.col("h_ys"))).alias("best"), F.count("*").alias("n"))
-    return paths.select(ident).join(best, ident, "left").select(ident, F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("n", F.lit(0)).alias("n"))
+def procrustes_best(paths: DataFrame, key: str, ident: str, previous: int = 50) -> DataFrame:
+    """(ident, best, n): the greatest similarity to the previous paths of the same key, and how many these are."""
+    ready = centred(paths).select(key, ident, F.struct("xs", "ys").alias("u"))
+    past = ready.withColumn("past", F.collect_list("u").over(Window.partitionBy(key).orderBy(ident).rowsBetween(-previous, -1)))
+    best = F.array_max(F.transform("past", lambda h: procrustes(F.col("u.xs"), F.col("u.ys"), h["xs"], h["ys"])))
+    return past.select(ident, F.coalesce(best, F.lit(0.0)).alias("best"), F.size("past").cast("long").alias("n"))

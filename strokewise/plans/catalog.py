@@ -157,7 +157,7 @@ def global_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT vec_id, label, [e::DOUBLE FOR e, i IN embedding IF i%2=1] xs, [e::DOUBLE FOR e, i IN embedding IF i%2=0] ys FROM embeddings), c AS (SELECT vec_id, label, [v-list_sum(xs)/len(xs) FOR v IN xs] xs, [v-list_sum(ys)/len(ys) FOR v IN ys] ys FROM f),
 n AS (SELECT *, sqrt(list_sum([v*v FOR v IN xs])+list_sum([v*v FOR v IN ys])) nm FROM c), p AS (SELECT vec_id, label, [v/nm FOR v IN xs] xs, [v/nm FOR v IN ys] ys FROM n),
-q AS (SELECT b.vec_id, list_dot_product(b.xs,a.xs) a1, list_dot_product(b.xs,a.ys) b1, list_dot_product(b.ys,a.xs) c1, list_dot_product(b.ys,a.ys) d1 FROM p b JOIN p a ON a.label=b.label AND a.vec_id<b.vec_id),
+q AS (SELECT b.vec_id, list_dot_product(b.xs,a.xs) a1, list_dot_product(b.xs,a.ys) b1, list_dot_product(b.ys,a.xs) c1, list_dot_product(b.ys,a.ys) d1 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) rn FROM p) b JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) rn FROM p) a ON a.label=b.label AND a.rn<b.rn AND a.rn>=b.rn-50),
 g AS (SELECT vec_id, max(1/(1+4*sqrt(greatest(2-2*sqrt(greatest(a1*a1+b1*b1+c1*c1+d1*d1+2*abs(a1*d1-b1*c1),0)),0)))) best, count(*) n FROM q GROUP BY 1)
 SELECT vec_id, round(coalesce(best,0),6) best, coalesce(n,0) n FROM embeddings LEFT JOIN g USING (vec_id)""")
 def procrustes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +307,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From events to explained decisions: gate, features, history, fusion; one row per attempt."""
     rows = trace(spark, sf_dir)
     gated = _gated(spark, sf_dir).select("attempt_id", (F.col("status") == "rejected").alias("quality_rejected"))
-    past = replay.history(replay.fingerprints(rows), 864_000_000_000, 50)
+    past = replay.history(replay.fingerprints(rows), 864_000_000_000, 50).join(replay.similarity(replay.resampled(rows), 5), "attempt_id", "left")
     joined = features.basic(rows).select("attempt_id", "linearity").join(gated, "attempt_id").join(past, "attempt_id")
-    joined = joined.withColumn("human_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("linearity")))).withColumn("similarity", F.lit(0.0))
+    joined = joined.withColumn("human_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("linearity")))).withColumn("similarity", F.coalesce("max_similarity", F.lit(0.0)))
     return risk.fuse(joined).select("attempt_id", "risk_score", "risk_level", "action", "reasons")
