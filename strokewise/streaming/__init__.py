@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streaming forms of the stateful rules."""
