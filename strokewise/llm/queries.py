@@ -58,5 +58,33 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_weak_supervision, op2_flat_blocks, op3_context_mixing, op4_jaccard_components, op5_secret_scan, op6_sum_of_squares, op7_induced_sorting, op8_quality_rules, op9_winnowing, op10_quotation_links)}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+
+#: op8's rules are fixed thresholds, so their order doesn't show in the result.
+OP8 = rf"""WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text,'') t, {_WORDS} w FROM documents),
+c AS (SELECT *, len(w) n_words, length(regexp_replace(t,'[\x20\x09-\x0D]','','g')) word_chars, length(regexp_replace(t,'[^#*$%&|<>]','','g')) n_symbols, length(regexp_replace(t,'[^!]','','g')) n_shouts, length(regexp_replace(t,'\P{{Lu}}','','g')) n_upper, [x FOR x IN string_split(t,chr(10)) IF regexp_matches(x,'[^\x20\x09-\x0D]')] ls FROM d),
+x AS (SELECT r, unnest(range(1,len(w)-1)) i, w FROM d WHERE len(w)>=3), v AS (SELECT r, i, w[i]||chr(10)||w[i+1]||chr(10)||w[i+2] g FROM x), u AS (SELECT r, g FROM v GROUP BY 1,2 HAVING count(*)>1),
+p AS (SELECT DISTINCT r, unnest([i,i+1,i+2]) i FROM v JOIN u USING (r,g)), q AS (SELECT r, count(*) n FROM p GROUP BY 1),
+a AS (SELECT doc_id, n_words, word_chars, n_symbols, n_shouts, n_upper, len(ls) n_lines, len(ls)-len(list_distinct(ls)) n_dup_lines, coalesce(q.n,0) n_repeat_words FROM c LEFT JOIN q USING (r)),
+b AS (SELECT *, n_words<50 OR 100*n_repeat_words>50*n_words base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 100*n_symbols>40*n_words OR 100*n_shouts>40*n_words OR 100*n_upper>60*word_chars OR word_chars<2*n_words OR word_chars>20*n_words OR (n_lines>=5 AND 100*n_dup_lines>50*n_lines)) kept FROM b"""
+
+OP9 = rf"""WITH d AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all({_LOWER},'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR),'') id, regexp_extract_all({_LOWER},'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark), k AS (SELECT id, w, least(10,len(w)) l FROM b WHERE len(w)>0),
+i AS (SELECT DISTINCT id, l, array_to_string(w[j:j+l-1],' ') g FROM (SELECT *, unnest(range(1,len(w)-l+2)) j FROM k)),
+s AS (SELECT r, l, j, array_to_string(w[j:j+l-1],' ') g FROM (SELECT r, w, l, unnest(range(1,len(w)-l+2)) j FROM d, (SELECT DISTINCT l FROM k) WHERE len(w)>=l)),
+h AS (SELECT s.r, s.j, s.l, i.id FROM s JOIN i USING (l,g)), n AS (SELECT r, count(DISTINCT q) n FROM (SELECT r, unnest(range(j,j+l)) q FROM (SELECT DISTINCT r, j, l FROM h)) GROUP BY 1),
+m AS (SELECT r, count(*) n, string_agg(id,',' ORDER BY id) ids FROM (SELECT DISTINCT r, id FROM h) GROUP BY 1)
+SELECT doc_id, len(w) n_words, coalesce(n.n,0) n_hit, coalesce(m.n,0) n_items, sha256(coalesce(ids,'')) items_sha256, coalesce(n.n,0)>0 contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)"""
+
+OP4 = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all({_LOWER},'[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i+least(4,len(w)-1)],' ') g FROM (SELECT r, w, unnest(range(1,greatest(len(w)-4,1)+1)) i FROM d WHERE len(w)>0)), n AS (SELECT r, count(*) n FROM s GROUP BY 1),
+e AS (SELECT a.r x, b.r y, count(*) c FROM s a JOIN s b ON a.g=b.g AND a.r<b.r GROUP BY 1,2), l AS (SELECT x, y FROM e JOIN n p ON p.r=x JOIN n q ON q.r=y WHERE 100*c>=75*(p.n+q.n-c)),
+t AS (SELECT x, y FROM l UNION SELECT y, x FROM l), c AS (SELECT r x, r y FROM d UNION SELECT c.x, t.y FROM c JOIN t ON t.x=c.y)
+SELECT f.doc_id, coalesce(max(n.n),0) n_shingles, min(o.doc_id) component_id FROM c JOIN d f ON f.r=c.x JOIN d o ON o.r=c.y LEFT JOIN n ON n.r=c.x GROUP BY c.x, f.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the whole result.  The others' own spans, scores, packings and cuts are tested against brute force."""
+    return {"op4_jaccard_components": OP4, "op8_quality_rules": OP8, "op9_winnowing": OP9}
