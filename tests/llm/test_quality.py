@@ -43,3 +43,13 @@ def test_short_circuit(spark):
     loud = quality.Rule("loud", ("n_words",), lambda e: F.raise_error(F.lit("reached")).cast("boolean"))
     d = spark.createDataFrame([(1, "short")], "doc_id long, text string")
     assert d.select(quality.verdict((quality.RULES[0], loud), {"text": d.text}).alias("v")).first().v == "short"
+
+
+def test_order_by_rejection_per_cost():
+    """Shared measures are paid once, and rejections that an earlier rule makes anyway don't count."""
+    from strokewise.llm import quality as ql
+
+    rules = ql.RULES[:3]
+    cost = dict.fromkeys(ql.MEASURES, 0.1) | {"n_repeat_words": 1.0}
+    order = ql.by_rejection_per_cost(rules, [((True, False, False), 10), ((False, True, False), 30), ((True, True, False), 30), ((False, False, True), 20), ((False, False, False), 100)], cost)
+    assert [r.name for r in order] == ["short", "symbols", "repetitive"]
