@@ -329,7 +329,9 @@ def _compared(sets: DataFrame, pairs: DataFrame, column: str, decide: Callable[[
             near = [decide(x, y, n, m) for x, y, n, m in zip(t["x"], t["y"], t["n"].to_pylist(), t["m"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([t["a"], t["b"], pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    return written(both.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a long, b long, near boolean"), "compared")
+    out = written(both.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a long, b long, near boolean"), "compared")
+    free_shuffles()
+    return out
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -405,11 +407,11 @@ def links(texts: DataFrame) -> DataFrame:
 RESULT = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
 
-def _labelled(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """(the kept columns under names of their own, n, node, row, label, least) and those names.
+def _labelled(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """(the kept columns under names of their own, n, node, row), (node, label, least), and those names.
 
-    node and label are null without words; least is the least id of the label's
-    documents (null if all of them are).
+    node is null without words; least is the least id of the label's documents
+    (null if all of them are).
     """
     names = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*keep, doc_id]))}
     texts = docs.select(text)
@@ -419,7 +421,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> tuple
     rows = written(out.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(name)["n"].alias("n"), F.col(name)["node"].alias("node"), F.monotonically_increasing_id().alias("row")), "rows")
     small = rows.where("node is not null").groupBy("node").agg(F.min(ident).alias("id")).join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "id")
     least = small.groupBy("label").agg(F.min("id").alias("least"))
-    return rows.join(small.join(least, "label").select("node", "label", "least"), "node", "left"), names
+    return rows, small.join(least, "label").select("node", "label", "least"), names
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -432,8 +434,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ones are replaced.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("n_shingles", "component_id")]
-    full, names = _labelled(docs, doc_id, text, keep)
-    return full.select(*[F.col(names[c]).alias(c) for c in keep], F.col("n").alias("n_shingles"), F.coalesce("least", F.when(F.col("node").isNull(), F.col(names[doc_id]))).alias("component_id"))
+    rows, labels, names = _labelled(docs, doc_id, text, keep)
+    return rows.join(labels, "node", "left").select(*[F.col(names[c]).alias(c) for c in keep], F.col("n").alias("n_shingles"), F.coalesce("least", F.when(F.col("node").isNull(), F.col(names[doc_id]))).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -443,10 +445,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     the first.  Rows without words are linked with nothing and all stay.
     """
     cols = docs.columns
-    full, names = _labelled(docs, doc_id, text, cols)
+    rows, labels, names = _labelled(docs, doc_id, text, cols)
     ident = F.col(names[doc_id])
-    best = full.where("label is not null").groupBy("label").agg(F.min(F.struct(ident.isNull(), ident, "node", "row")).alias("best")).select(F.col("best.row").alias("row"))
-    kept = full.where("label is not null").join(best, "row", "left_semi").unionByName(full.where("label is null"))
+    # texts are shuffled once, by row, when it is known which rows stay
+    named = rows.where("node is not null").select("node", "row", ident).join(labels.select("node", "label"), "node")
+    best = written(named.groupBy("label").agg(F.min(F.struct(ident.isNull(), ident, "node", "row")).alias("best")).select(F.col("best.row").alias("row")), "kept")
+    free_shuffles()
+    kept = rows.join(best, "row", "left_semi").unionByName(rows.where("node is null"))
     return kept.select(*[F.col(names[c]).alias(c) for c in cols])
 
 
