@@ -121,7 +121,7 @@ def shapes(trace: DataFrame, width: float, height: float) -> DataFrame:
     base = rows.groupBy("attempt_id").agg(F.stddev_pop("accel").alias("normalized_acceleration_std"), F.stddev_pop("jerk").alias("normalized_jerk_std"), F.avg((F.col("dist") <= F.col("micro")).cast("double")).alias("micro_move_ratio"), F.count_if(F.col("dt") >= F.col("long")).alias("pauses"))
     scaled = lambda c: F.when(F.max(c).over(_each()) - F.min(c).over(_each()) > NOTHING, (F.col(c) - F.min(c).over(_each())) / (F.max(c).over(_each()) - F.min(c).over(_each()))).otherwise(0.0)
     at = lambda c: F.least(F.floor(F.col(c) * 4), F.lit(3))
-    grid = trace.withColumns({"gx": scaled("x"), "gy": scaled("y")}).withColumn("cell", at("gx") * 4 + at("gy"))
+    grid = trace.withColumns({"x": F.col("x") / width, "y": F.col("y") / height}).withColumns({"gx": scaled("x"), "gy": scaled("y")}).withColumn("cell", at("gx") * 4 + at("gy"))
     progress = rows.where((F.col("dt") >= F.col("long")) & (F.col("all") > NOTHING)).withColumn("progress", F.col("gone") / F.col("all"))
     ends = trace.groupBy("attempt_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b"))
     out = base
