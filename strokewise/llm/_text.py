@@ -7,6 +7,7 @@ Texts are never cut: a batch is split between rows only.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -163,6 +164,14 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library hold unused: a Python worker outlives its tasks, and what it keeps adds to the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """name, with underscores as long as it clashes (column names ignore case)."""
     low = {c.lower() for c in taken}
@@ -191,5 +200,6 @@ def annotate(df: DataFrame, text: str, keep: list[str], result: T.StructType, fn
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(fn(part), arrow, strict=True)]
                 cols = [batch.column(batch.schema.names.index(c)).slice(rows.start, rows.stop - rows.start) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.StructArray.from_arrays(made, names=result.names)], names=[*keep, name])
+        give_back()
 
     return df.select(*carried, text).mapInArrow(run, T.StructType([*kept, T.StructField(name, result)])), name

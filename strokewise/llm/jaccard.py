@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from ._graph import components
 from ._tables import forget, free_shuffles, written
-from ._text import LOWER, NON_SPACE, Texts, annotate, grams, mix, span
+from ._text import LOWER, NON_SPACE, Texts, annotate, give_back, grams, mix, span
 
 SHINGLE = 5
 #: From how many occurrences on a shingle counts as frequent, at least, and how many frequent ones tasks keep at most (the count is raised until so few remain).
@@ -88,6 +88,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             fresh = np.array([c > 0 and not (x in seen or seen.add(x)) for x, c in zip(nodes.tolist(), counts.tolist(), strict=True)], bool)
             if len(fresh):
                 yield values[np.repeat(fresh, counts)], counts[fresh], nodes[fresh]
+    give_back()
 
 
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -107,7 +108,13 @@ def frequent(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT)
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(held) >> np.uint64(24), return_counts=True)
+            codes = np.concatenate(held)
+            held.clear()
+            codes >>= np.uint64(24)  # in place, as is the sort: one copy at a time
+            codes.sort()
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            counts = np.diff(np.append(first, len(codes)))
+            codes = codes[first]
             bucket = (codes >> np.uint64(40 - bits)).astype(np.int32)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(cuts[1:], len(codes))
@@ -119,7 +126,7 @@ def frequent(texts: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT)
             size += len(values)
             if size >= 1 << 21:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if size:
             yield flush()
 

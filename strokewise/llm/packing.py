@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._tables import written
+from ._text import give_back
 
 LENGTH = 2_048
 END = 0
 #: Pieces that one task packs.
 GROUP = 1 << 13
-#: Words whose ids a worker remembers.
-CACHE = 1_000_000
+#: Words whose ids a task remembers.
+CACHE = 200_000
 
 #: Letters in lower case and numbers below U+0250, where the tokenizer's words are found here.
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
@@ -117,6 +118,8 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                     rows += [(i, p, p * length, min(4 * length, len(raw) - at) // 4, zlib.crc32(raw[at : at + 4 * length])) for p, at in enumerate(range(0, len(raw), 4 * length))]
                 row, piece, start, size, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        _tokenizer(tokenizer)[1].clear()
+        give_back()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *PIECE]))
 
