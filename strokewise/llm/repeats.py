@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import written
+from ._tables import forget, written
 from ._text import Texts, free_name, ranges, span
 
 WINDOW = 200
@@ -243,11 +243,11 @@ def repeated(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(name), pa.array(inner.astype(np.int8))], names=["shard", "name", "inner"])
 
     found = texts.mapInArrow(count, "shard long, name long, inner byte").groupBy("shard", "name").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
+    found = written(found, "found")  # the frames below read it, so that no shard's names are gathered in one row
+    whole = found.where(F.col("n") > 1).select("name")
     # lone segments of lone shards need no further look; this keeps what is left small
-    shards = found.groupBy("shard").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.max("inner").alias("inner"), F.collect_list(F.when(F.col("n") > 1, F.col("name"))).alias("whole"))
-    shards = written(shards.where((F.col("all") > 1) | (F.col("inner") > 0)), "shards")
-    whole = shards.select(F.explode("whole").alias("name"))
-    mixed = shards.where((F.col("kinds") > 1) | (F.col("inner") > 0)).select("shard", "kinds")
+    shards = found.groupBy("shard").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner"))
+    mixed = written(shards.where((F.col("kinds") > 1) | (F.col("inner") > 0)).select("shard", "kinds"), "shards")
     bits = docs.sparkSession.sparkContext.broadcast(_bits(mixed.select(F.col("shard").alias("v"))))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,9 @@ def repeated(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["name", "mask"])
 
     parted = sorted_.union(marks.mapInArrow(masks, "name long, mask binary"))
-    return written(whole.select("name", F.lit(None).cast("binary").alias("mask")).union(parted.join(whole, "name", "left_anti")), "repeated")
+    out = written(whole.select("name", F.lit(None).cast("binary").alias("mask")).union(parted.join(whole, "name", "left_anti")), "repeated")
+    forget(found, mixed, sent)
+    return out
 
 
 SPANS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
