@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, jaccard, packing, pages, pii, quality, repeats, scoring, secret_scan
+from . import conversations, decontaminate, jaccard, line_dedup, packing, pages, pii, quality, repeats, scoring, secret_scan
 from ._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +54,12 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_weak_supervision, op2_flat_blocks, op3_context_mixing, op4_jaccard_components, op5_secret_scan, op6_sum_of_squares, op7_induced_sorting, op8_quality_rules, op9_winnowing, op10_quotation_links)}
+    return {f.__name__: f for f in (op1_weak_supervision, op2_flat_blocks, op3_context_mixing, op4_jaccard_components, op5_secret_scan, op6_sum_of_squares, op7_induced_sorting, op8_quality_rules, op9_winnowing, op10_quotation_links, op13_line_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')"
@@ -84,7 +88,12 @@ e AS (SELECT a.r x, b.r y, count(*) c FROM s a JOIN s b ON a.g=b.g AND a.r<b.r G
 t AS (SELECT x, y FROM l UNION SELECT y, x FROM l), c AS (SELECT r x, r y FROM d UNION SELECT c.x, t.y FROM c JOIN t ON t.x=c.y)
 SELECT f.doc_id, coalesce(max(n.n),0) n_shingles, min(o.doc_id) component_id FROM c JOIN d f ON f.r=c.x JOIN d o ON o.r=c.y LEFT JOIN n ON n.r=c.x GROUP BY c.x, f.doc_id"""
 
+OP13 = r"""WITH d AS (SELECT row_number() OVER () r, doc_id, string_split(coalesce(text,''),chr(10)) ls FROM documents), l AS (SELECT r, doc_id, unnest(ls) line, generate_subscripts(ls,1) i FROM d),
+k AS (SELECT *, translate(trim(line,chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') key FROM l), g AS (SELECT key, max(doc_id) top FROM k WHERE length(key)>=40 GROUP BY 1 HAVING count(DISTINCT r)>=5),
+x AS (SELECT k.*, g.key IS NOT NULL AND doc_id IS DISTINCT FROM top gone FROM k LEFT JOIN g USING (key))
+SELECT doc_id, count(*) n_lines, count(*) FILTER (gone) n_dropped, sha256(coalesce(string_agg(line,chr(10) ORDER BY i) FILTER (NOT gone),'')) kept_sha256 FROM x GROUP BY r, doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result.  The others' own spans, scores, packings and cuts are tested against brute force."""
-    return {"op4_jaccard_components": OP4, "op8_quality_rules": OP8, "op9_winnowing": OP9}
+    return {"op4_jaccard_components": OP4, "op8_quality_rules": OP8, "op9_winnowing": OP9, "op13_line_dedup": OP13}
