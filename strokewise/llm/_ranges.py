@@ -33,7 +33,7 @@ def placed(table: DataFrame, groups: list[str], order: list[Column], what: str,
     """
     keys = [F.col(g).asc_nulls_first() for g in groups]
     at = F.monotonically_increasing_id()
-    out = written(ranges(table, *keys, *order, rows=rows).select("*", F.spark_partition_id().alias("range"), at.bitwiseAND(F.lit(_MASK)).alias("at")), what)
+    out = written(ranges(table, *keys, *order, rows=rows).select("*", F.spark_partition_id().cast("long").alias("range"), at.bitwiseAND(F.lit(_MASK)).alias("at")), what)
     counts = out.groupBy("range", *groups).agg(F.min("at").alias("least"), F.count("*").alias("n"))
     w = Window.partitionBy(*groups)
     before = F.coalesce(F.sum("n").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
