@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, jaccard, line_dedup, merkle, packing, pages, pii, quality, repeats, scoring, secret_scan
+from . import conversations, decontaminate, jaccard, line_dedup, merkle, packing, pages, pii, quality, repeats, scoring, secret_scan, trie
 from ._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_weak_supervision, op2_flat_blocks, op3_context_mixing, op4_jaccard_components, op5_secret_scan, op6_sum_of_squares, op7_induced_sorting, op8_quality_rules, op9_winnowing, op10_quotation_links, op12_merkle_manifest, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_weak_supervision, op2_flat_blocks, op3_context_mixing, op4_jaccard_components, op5_secret_scan, op6_sum_of_squares, op7_induced_sorting, op8_quality_rules, op9_winnowing, op10_quotation_links, op11_prefix_trie, op12_merkle_manifest, op13_line_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')"
@@ -103,6 +107,13 @@ def _leaf(*values: str) -> str:
     return "sha256(" + "||".join(f"coalesce(strlen(CAST({v} AS VARCHAR))||':'||CAST({v} AS VARCHAR),'-')" for v in values) + ")"
 
 
+OP11 = rf"""WITH s AS (SELECT DISTINCT conv_id c, {_crc32("conv_id")}%4 h FROM conversations WHERE conv_id IS NOT NULL), o AS (SELECT conv_id c, coalesce(role,'') a, coalesce(text,'') t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role,''), coalesce(text,''))-1 p FROM conversations),
+u AS (SELECT s.c, p i, a, t FROM s JOIN o ON o.c=s.c-s.c%20 AND p<h UNION ALL SELECT s.c, 10+p, a, t FROM s JOIN o ON o.c=s.c AND p>=h), v AS (SELECT c, row_number() OVER w d, t, sha256(string_agg(strlen(a)||':'||a||strlen(t)||':'||t,'') OVER w) k FROM u WINDOW w AS (PARTITION BY c ORDER BY i)),
+r AS (SELECT * FROM v UNION ALL SELECT c, 0, '', '' FROM s), n AS (SELECT d, k, min(c) m, count(*) n, any_value(len(regexp_extract_all(t,'[^ 	-]+'))) w FROM r GROUP BY 1,2),
+p AS (SELECT n.*, q.k above FROM n LEFT JOIN r q ON q.c=n.m AND q.d=n.d-1), g AS (SELECT d-1 d, above k, count(*) n FROM p GROUP BY 1,2), b AS (SELECT p.*, coalesce(g.n,0) kids FROM p LEFT JOIN g ON g.d=p.d AND g.k=p.k),
+a AS (SELECT r.d, r.k, sum((b.n-1)*b.w) saved, count(*) FILTER (kids=0) leaves FROM b JOIN r ON r.c=b.m AND r.d<=b.d GROUP BY 1,2), l AS (SELECT c, max(d) d FROM r GROUP BY 1), e AS (SELECT d, k, sha256(string_agg(c,',' ORDER BY c)) x FROM r JOIN l USING (c,d) GROUP BY 1,2)
+SELECT b.m conv_id, b.d depth, up.m parent_conv_id, b.n n_convs, b.kids n_children, a.leaves n_leaves, CAST(a.saved AS BIGINT) saved_tokens, coalesce(e.x,sha256('')) ends_sha256 FROM b JOIN a USING (d,k) LEFT JOIN e USING (d,k) LEFT JOIN n up ON up.d=b.d-1 AND up.k=b.above"""
+
 OP12 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () r, *, CASE WHEN {_crc32("doc_id")}%2=0 THEN replace(text,chr(10),'') ELSE text END less FROM documents),
 f AS (SELECT r, doc_id, source, {_leaf("doc_id", "source", "lang", "n_chars", "text")} leaf, {_leaf("doc_id", "source", "lang", "n_chars", "less")} changed FROM d),
 o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r)-1 i, count(*) OVER (PARTITION BY source) n FROM f),
@@ -124,4 +135,4 @@ SELECT doc_id, count(*) n_lines, count(*) FILTER (gone) n_dropped, sha256(coales
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result.  The others' own spans, scores, packings and cuts are tested against brute force."""
-    return {"op4_jaccard_components": OP4, "op8_quality_rules": OP8, "op9_winnowing": OP9, "op12_merkle_manifest": OP12, "op13_line_dedup": OP13}
+    return {"op4_jaccard_components": OP4, "op8_quality_rules": OP8, "op9_winnowing": OP9, "op11_prefix_trie": OP11, "op12_merkle_manifest": OP12, "op13_line_dedup": OP13}
