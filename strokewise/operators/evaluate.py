@@ -29,14 +29,17 @@ def confusion(rows: DataFrame, human: str = "human", predicted: str = "predicted
 
 def score_counts(rows: DataFrame, human: str, score: str) -> DataFrame:
     """(score, humans, bots) for each distinct score: what the curves need, however many rows there are."""
-    return rows.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(human)).alias("humans"), F.count_if(~F.col(human)).alias("bots"))
+    return rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(human)).alias("humans"), F.count_if(~F.col(human)).alias("bots"))
 
 
 def rank_auc(rows: DataFrame, human: str, score: str) -> DataFrame:
-    """(auc, folded_auc): ties count half.  Ranks come from counts per score, by a running sum over distinct scores."""
+    """(auc, folded_auc): ties count half; null without humans or bots.  Ranks come from counts per score, by a running sum over distinct scores.
+
+    Rows without a score have no say.
+    """
     c = running(score_counts(rows, human, score), "score", {"below": "bots"})
     wins = c.select((F.col("humans") * (F.col("below") + F.col("bots") / 2.0)).alias("w"), "humans", "bots").agg(F.sum("w").alias("w"), F.sum("humans").alias("h"), F.sum("bots").alias("b"))
-    auc = F.col("w") / (F.col("h") * F.col("b"))
+    auc = F.try_divide(F.col("w"), F.col("h") * F.col("b"))
     return wins.select(auc.alias("auc"), F.greatest(auc, 1 - auc).alias("folded_auc"))
 
 
@@ -47,18 +50,6 @@ def average_precision(rows: DataFrame, human: str, score: str) -> DataFrame:
     return c.agg(F.sum(F.col("humans") * h / (h + b)).alias("s"), F.sum("humans").alias("n")).select(share(F.col("s"), F.col("n")).alias("average_precision"))
 
 
-def best_threshold(rows: DataFrame, human: str, score: str, most_rejected: float) -> DataFrame:
-    """The threshold of greatest bot recall among those that reject few enough humans; of equal ones the largest, without any the smallest."""
-    c = score_counts(rows, human, score)
-    half = c.agg(F.lit(0.5).alias("score"), F.lit(0).cast("long").alias("humans"), F.lit(0).cast("long").alias("bots")).select("score", "humans", "bots")
-    c = c.union(half).groupBy("score").agg(F.sum("humans").alias("humans"), F.sum("bots").alias("bots"))
-    every = c.agg(F.sum("humans").alias("all_humans"), F.sum("bots").alias("all_bots"))
-    c = running(c, "score", {"h": "humans", "b": "bots"}).crossJoin(F.broadcast(every))  # one row
-    c = c.select("score", (F.col("h") / F.col("all_humans")).alias("rejected"), (F.col("b") / F.col("all_bots")).alias("caught"))
-    ok = F.col("rejected") <= most_rejected
-    return c.orderBy(F.desc(ok), F.when(ok, -F.col("caught")).otherwise(F.col("score")), F.desc("score")).limit(1).select(F.col("score").alias("threshold"), "rejected", "caught")
-
-
 def separation(rows: DataFrame, human: str, features: list[str]) -> DataFrame:
     """(feature, difference): standardised difference of means of humans and bots."""
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))

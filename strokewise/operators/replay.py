@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Fixed value: decimals that a path's fingerprint keeps.
+DECIMALS = 6
+
+
 def fingerprints(trace: DataFrame) -> DataFrame:
-    """(user_id, ano, attempt_id, fingerprint, duration, end_x, end_y, at_us): a hash of each path moved to the origin, in fixed decimals."""
+    """(user_id, ano, attempt_id, fingerprint, duration, end_x, end_y, at_us): a hash of each path moved to the origin, in fixed decimals.
+
+    Points that aren't finite are left out; the number of points is part of the
+    hash, and a path of fewer than two has none (null).
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    solid = finite("x") & finite("y")
     w = Window.partitionBy("attempt_id")
-    rows = trace.withColumn("px", F.col("x") - F.min_by("x", "seq").over(w)).withColumn("py", F.col("y") - F.min_by("y", "seq").over(w))
-    point = F.concat_ws(",", *[F.round(F.col(c) * 100).cast("long").cast("string") for c in ("px", "py")])
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))), lambda s: s["p"]), ";")  # an attempt has few events
-    return rows.groupBy("user_id", "ano", "attempt_id").agg(F.sha2(path, 256).alias("fingerprint"), (F.max("t") - F.min("t")).alias("duration"), F.max_by("x", "seq").alias("end_x"), F.max_by("y", "seq").alias("end_y"), F.max("at_us").alias("at_us"))
+    start = lambda c: F.min_by(F.when(solid, F.col(c)), F.when(solid, F.col("seq"))).over(w)
+    rows = trace.withColumns({"px": F.col("x") - start("x"), "py": F.col("y") - start("y")})
+    scaled = lambda c: F.rint(F.col(c) * 10**DECIMALS)
+    number = lambda c: F.coalesce(scaled(c).try_cast("long").cast("string"), F.col(c).cast("string"))
+    point = F.when(solid, F.struct("seq", F.concat_ws(",", number("px"), number("py")).alias("p")))
+    points = F.array_sort(F.collect_list(point))  # an attempt has few events
+    path = F.concat(F.size(points).cast("string"), F.lit(";"), F.array_join(F.transform(points, lambda s: s["p"]), ";"))
+    out = rows.groupBy("user_id", "ano", "attempt_id").agg(F.when(F.size(points) >= 2, F.sha2(path, 256)).alias("fingerprint"), (F.max("t") - F.min("t")).alias("duration"), F.max_by("x", "seq").alias("end_x"), F.max_by("y", "seq").alias("end_y"), F.max("at_us").alias("at_us"))
+    return out
 
 
 def seen_before(prints: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
@@ -31,7 +48,7 @@ def history(prints: DataFrame, window_us: int, newest: int, duration_tolerance:
     count = lambda test: F.size(F.filter("past", test)).cast("long")
     out = rows.select(
         "attempt_id",
-        F.exists("past", lambda h: h["fingerprint"] == F.col("fingerprint")).alias("exact_replay_detected"),
+        F.exists("past", lambda h: F.coalesce(h["fingerprint"] == F.col("fingerprint"), F.lit(False))).alias("exact_replay_detected"),
         count(lambda h: F.abs(h["duration"] - F.col("duration")) <= duration_tolerance).alias("repeated_duration_count"),
         count(lambda h: (F.abs(h["end_x"] - F.col("end_x")) <= end_tolerance) & (F.abs(h["end_y"] - F.col("end_y")) <= end_tolerance)).alias("repeated_endpoint_count"),
         count(lambda h: F.col("at_us") - h["at_us"] <= recent_us).alias("recent_attempt_count"),
@@ -70,13 +87,93 @@ def unit(xs: Column, ys: Column) -> Column:
     return let(let(means, moved), scaled)
 
 
-def similarity(paths: DataFrame, previous: int) -> DataFrame:
+#: Paths in a block of pairs.
+BLOCK = 128
+
+
+def _cells(rows: DataFrame, group: str, size: int, reach: int | None) -> DataFrame:
+    """The rows (with rn, from 0 in their group) once for each pair of blocks that they take part in: (cur, old) are the blocks, ``as_old`` the part."""
+    own = F.floor(F.col("rn") / size).cast("int")
+    last = F.floor((F.count("*").over(Window.partitionBy(group)) - 1) / size).cast("int")
+    rows = rows.withColumns({"own": own, "last": last})
+    low = F.greatest(F.lit(0), F.col("own") - reach) if reach is not None else F.lit(0)
+    high = F.least(F.col("last"), F.col("own") + reach) if reach is not None else F.col("last")
+    as_new = rows.withColumn("old", F.explode(F.sequence(low, F.col("own")))).withColumn("cur", F.col("own")).withColumn("as_old", F.lit(False))
+    as_old = rows.withColumn("cur", F.explode(F.sequence(F.col("own"), high))).withColumn("old", F.col("own")).withColumn("as_old", F.lit(True))
+    return as_new.unionByName(as_old).drop("own", "last")
+
+
+def best_before(units: DataFrame, group: str, order: list[str], ident: str, newest: int | None = None, window: tuple[str, int] | None = None, sharpness: float = 4.0) -> DataFrame:
+    """(ident, best, compared): each path's greatest similarity to those before it in its group, and how many these are.
+
+    units has ``u``, a struct of xs and ys around their mean and of unit norm,
+    or null, which is like nothing.  newest bounds how many before it, window
+    (a column and a width) how long.  A task compares two blocks of paths by
+    matrix products: no group is ever held whole, and without newest all pairs
+    of a group are compared.
+    """
+    width = window[1] if window else None
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids, _, like, past = _likeness(cell, newest, width, sharpness)
+        return pa.Table.from_arrays([ids, pa.array(like.max(axis=1, initial=0.0)), pa.array(past.sum(axis=1).astype(np.int64))], names=["i", "best", "compared"])
+
+    kind = units.schema[ident].dataType.simpleString()
+    cells = _compared(units, group, order, ident, newest, window).applyInArrow(compare, f"i {kind}, best double, compared long")
+    return cells.groupBy(F.col("i").alias(ident)).agg(F.max("best").alias("best"), F.sum("compared").alias("compared"))
+
+
+def similar_pairs(units: DataFrame, group: str, order: list[str], ident: str, least: float, newest: int | None = None, sharpness: float = 4.0) -> DataFrame:
+    """(ident, source, similarity) of all pairs of a group, the source first in order, that are at least so similar."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids, sources, like, past = _likeness(cell, newest, None, sharpness)
+        row, col = np.nonzero(past & (like >= least))
+        return pa.Table.from_arrays([ids.take(pa.array(row)), sources.take(pa.array(col)), pa.array(like[row, col])], names=["i", "source", "similarity"])
+
+    kind = units.schema[ident].dataType.simpleString()
+    return _compared(units, group, order, ident, newest, None).applyInArrow(compare, f"i {kind}, source {kind}, similarity double").withColumnRenamed("i", ident)
+
+
+def _compared(units: DataFrame, group: str, order: list[str], ident: str, newest: int | None, window: tuple[str, int] | None):
+    """Pairs of blocks of a group's paths, grouped."""
+    size = min(BLOCK, newest) if newest else BLOCK
+    at = F.col(window[0]).cast("double") if window else F.lit(0.0)
+    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+    rows = units.select(F.col(group).alias("g"), F.col(ident).alias("i"), rn.alias("rn"), at.alias("at"), F.col("u.xs").alias("xs"), F.col("u.ys").alias("ys"))
+    return _cells(rows, "g", size, -(-newest // size) if newest else None).groupBy("g", "cur", "old")
+
+
+def _likeness(cell: pa.Table, newest: int | None, width: float | None, sharpness: float) -> tuple[pa.ChunkedArray, pa.ChunkedArray, np.ndarray, np.ndarray]:
+    """The ids of a cell's two blocks, their similarities, and which pairs are asked for."""
+    old = cell.column("as_old").to_numpy(zero_copy_only=False)
+    sides = []
+    for part in (cell.filter(pa.array(~old)), cell.filter(pa.array(old))):
+        known = part.column("xs").is_valid().to_numpy(zero_copy_only=False)
+        arrays = []
+        for c in ("xs", "ys"):
+            flat = np.stack([np.asarray(v, float) for v in part.column(c).to_pylist() if v is not None]) if known.any() else np.zeros((0, 1))
+            full = np.zeros((len(known), flat.shape[1]))
+            full[known] = flat
+            arrays.append(full)
+        sides.append((arrays, known, part.column("rn").to_numpy(), part.column("at").to_numpy(), part.column("i")))
+    (a, ka, na, ta, ids), (b, kb, nb, tb, sources) = sides
+    gap = na[:, None] - nb[None, :]
+    past = (gap > 0) & (gap <= newest) if newest else gap > 0
+    if width is not None:
+        past &= (ta[:, None] - tb[None, :]) <= width
+    like = np.zeros(past.shape)
+    if ka.any() and kb.any():
+        xx, xy, yx, yy = (p @ q.T for p in a for q in b)
+        both = np.sqrt(np.maximum(xx**2 + xy**2 + yx**2 + yy**2 + 2 * np.abs(xx * yy - xy * yx), 0))  # the singular values' sum
+        like = 1 / (1 + sharpness * np.sqrt(np.maximum(2 - 2 * both, 0)))
+    return ids, sources, np.where(past & ka[:, None] & kb[None, :], like, 0.0), past
+
+
+def similarity(paths: DataFrame, previous: int, window: tuple[str, int] | None = None) -> DataFrame:
     """(attempt_id, max_similarity, compared): Procrustes similarity to the session's previous paths; 0 without any."""
     ready = paths.withColumn("u", unit(F.col("xs"), F.col("ys")))
-    frame = Window.partitionBy("user_id").orderBy("ano").rowsBetween(-previous, -1)
-    past = ready.withColumn("past", F.collect_list("u").over(frame))
-    best = F.array_max(F.transform("past", lambda h: procrustes(F.col("u.xs"), F.col("u.ys"), h["xs"], h["ys"])))
-    return past.select("attempt_id", F.coalesce(F.when(F.col("u").isNotNull(), best), F.lit(0.0)).alias("max_similarity"), F.size("past").cast("long").alias("compared"))
+    return best_before(ready, "user_id", ["ano"], "attempt_id", previous, window).withColumnRenamed("best", "max_similarity")
 
 
 def warp_resistant(n: Column, least: int = 31) -> Column:
@@ -96,17 +193,7 @@ def centred(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return out.withColumns({"xs": F.expr("transform(xs, v -> v / norm)"), "ys": F.expr("transform(ys, v -> v / norm)")}).drop("norm", "xs_mean", "ys_mean")
 
 
-def procrustes(ax: Column, ay: Column, bx: Column, by: Column, sharpness: float = 4.0) -> Column:
-    """Similarity of two prepared paths after the best rotation: the two singular values' sum in closed form."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    a, b, c, d = dot(ax, bx), dot(ax, by), dot(ay, bx), dot(ay, by)
-    both = F.sqrt(F.greatest(a * a + b * b + c * c + d * d + 2 * F.abs(a * d - b * c), F.lit(0.0)))
-    return F.coalesce(1 / (1 + sharpness * F.sqrt(F.greatest(2 - 2 * both, F.lit(0.0)))), F.lit(0.0))
-
-
-def procrustes_best(paths: DataFrame, key: str, ident: str, previous: int = 50) -> DataFrame:
-    """(ident, best, n): the greatest similarity to the previous paths of the same key, and how many these are."""
-    ready = centred(paths).select(key, ident, F.struct("xs", "ys").alias("u"))
-    past = ready.withColumn("past", F.collect_list("u").over(Window.partitionBy(key).orderBy(ident).rowsBetween(-previous, -1)))
-    best = F.array_max(F.transform("past", lambda h: procrustes(F.col("u.xs"), F.col("u.ys"), h["xs"], h["ys"])))
-    return past.select(ident, F.coalesce(best, F.lit(0.0)).alias("best"), F.size("past").cast("long").alias("n"))
+def procrustes_best(paths: DataFrame, key: str, ident: str, previous: int | None = None) -> DataFrame:
+    """(ident, best, n): the greatest similarity to the paths before it of the same key, to so many or all, and how many these are."""
+    ready = centred(paths).select(key, ident, F.when(F.get("xs", F.lit(0)).isNotNull(), F.struct("xs", "ys")).alias("u"))
+    return best_before(ready, key, [ident], ident, previous).withColumnRenamed("compared", "n")

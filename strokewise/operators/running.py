@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PARTS = 64
 
 
-def running(rows: DataFrame, order: str, values: dict[str, str], descending: bool = False) -> DataFrame:
-    """The rows with, for each new name, the sum of its column over all rows of lower order (higher, if descending).
+def running(rows: DataFrame, order: str, values: dict[str, str], descending: bool = False, by: tuple[str, ...] = (), part: Column | None = None) -> DataFrame:
+    """The rows with, for each new name, the sum of its column over all rows of lower order (higher, if descending), of the same ``by``.
 
-    Equal orders must not occur twice.  Rows are cut into ranges at approximate
-    quantiles; sums run within ranges, and a table of one row per range gives
-    what lies before each.
+    Equal orders must not occur twice within a ``by``.  Rows are cut into
+    ranges at approximate quantiles, or by ``part``, a number that rises with
+    the order; sums run within ranges, and a table of one row per range (and
+    ``by``) gives what lies before each.  Nothing runs while the query is built.
     """
-    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), 2_000)).first()[0]  # 63 numbers at most
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or [0.0]))])
-    rows = rows.withColumn("_part", F.size(F.filter(bounds, lambda b: b <= F.col(order))))
-    by = F.desc if descending else F.asc
-    before = Window.partitionBy("_part").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in values.items()])
-    ranges = Window.orderBy(by("_part")).rowsBetween(Window.unboundedPreceding, -1)  # over PARTS rows
-    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(ranges), F.lit(0)).alias(f"_{n}") for n in values])
+    if part is None:
+        cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), 2_000).alias("_cuts"))
+        rows = rows.crossJoin(F.broadcast(cuts))  # one row
+        part = F.size(F.filter(F.array_distinct("_cuts"), lambda b: b <= F.col(order)))
+    rows = rows.withColumn("_part", part).drop("_cuts")
+    to = F.desc if descending else F.asc
+    before = Window.partitionBy(*by, "_part").orderBy(to(order)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in values.items()])
+    ranges = Window.partitionBy(*by).orderBy(to("_part")).rowsBetween(Window.unboundedPreceding, -1)  # over at most as many rows as ranges
+    totals = totals.select(*by, F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_{n}").over(ranges), F.lit(0)).alias(f"_{n}") for n in values]).withColumnsRenamed({c: f"_by_{c}" for c in by})
     inside = rows.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in values.items()})
-    out = inside.join(F.broadcast(totals), "_part")  # PARTS rows
-    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in values}).drop("_part", *[f"_{n}" for n in values])
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = inside.join(totals if by else F.broadcast(totals), same)  # without by: as many rows as ranges
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in values}).drop("_part", "_of", *[f"_by_{c}" for c in by], *[f"_{n}" for n in values])

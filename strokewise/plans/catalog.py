@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strokewise.operators import evaluate, features, learning, quality, replay, risk, segments
+from strokewise.operators import calibrate, evaluate, features, learning, quality, replay, risk, segments
 from strokewise.sources.adapters import HEIGHT, WIDTH, attempts, learning as answers, rounded, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,22 +90,51 @@ def features_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("attempt_id", *[rounded(F.col(c)).alias(c) if c != "dwell_burst_count" else F.col(c) for c in out.columns[1:]])
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.max("seq").over(Window.partitionBy("attempt_id"))
-    kind = F.when(F.col("seq") == 0, "pointerdown").when(F.col("seq") == last, "pointerup").otherwise("pointermove")
-    return quality.gate(trace(spark, sf_dir).withColumn("pointer_type", kind), WIDTH, HEIGHT)
-
-
-GATE = f"""{EV}, p AS (SELECT *, CASE WHEN seq=0 THEN 'pointerdown' WHEN seq=max(seq) OVER (PARTITION BY attempt_id) THEN 'pointerup' ELSE 'pointermove' END pt, coalesce(t<lag(t) OVER (PARTITION BY attempt_id ORDER BY seq),false) back FROM ev),
-g AS (SELECT attempt_id, count(*) n, min(seq) lo, max(seq) hi, count(DISTINCT seq) sq, bool_or(back) back, bool_or(pt='pointerdown') dn, bool_or(pt IN ('pointerup','pointercancel')) up, count(*) FILTER (x < -250 OR x > 750 OR y < -100 OR y > 300) outs, sum((x<0 OR x>500)::INT+(y<0 OR y>200)::INT) loose, max(t)-min(t) span, count(DISTINCT t) ts, count(DISTINCT (pt,t,x,y)) ks, count(DISTINCT (x,y)) ps FROM p GROUP BY 1),
-r AS (SELECT attempt_id, CASE WHEN n<2 THEN 'too_few_events' ELSE concat_ws(';', CASE WHEN lo<>0 OR hi<>n-1 OR sq<>n THEN 'bad_sequence' END, CASE WHEN back THEN 'time_decreases' END, CASE WHEN NOT dn THEN 'no_pointerdown' END, CASE WHEN NOT up THEN 'no_pointerup' END, CASE WHEN outs>0 THEN 'out_of_bounds' END, CASE WHEN span<=0 THEN 'no_duration' END, CASE WHEN ps<2 THEN 'no_movement' END) END h,
- CASE WHEN n<2 THEN '' ELSE concat_ws(';', CASE WHEN loose>0 THEN 'normalized_range' END, CASE WHEN ts<n THEN 'duplicate_time' END, CASE WHEN ks<n THEN 'duplicate_event' END) END s FROM g),
-q AS (SELECT attempt_id, CASE WHEN h<>'' THEN 'rejected' WHEN s<>'' THEN 'pending' ELSE 'valid' END status, concat_ws(';', nullif(h,''), nullif(s,'')) reasons FROM r)"""
-
-
-@query(f"WITH {GATE} SELECT * FROM q")
+#: Defects put into traces, so that each of the gate's rules has attempts that break it: the kind of defect follows from the attempt.
+DEFECTS = 20
+
+
+def _gated(spark: SparkSession, sf_dir: str, defects: bool = True) -> DataFrame:
+    w = Window.partitionBy("attempt_id")
+    kind = F.when(F.col("seq") == 0, "pointerdown").when(F.col("seq") == F.max("seq").over(w), "pointerup").otherwise("pointermove")
+    c = (F.col("user_id") * 7 + F.col("ano")) % DEFECTS if defects else F.lit(0)
+    rows = trace(spark, sf_dir).withColumns({"pointer_type": kind, "c": c, "end": F.max("t").over(w)})
+    rows = rows.where("c <> 1 or seq = 0")
+    at = lambda code, *others: F.col("c").isin(code, *others)
+    one = F.col("seq") == 1
+    early = F.col("seq").isin(1, 2)
+    rows = rows.select(
+        "attempt_id",
+        F.when(at(2) & (F.col("seq") >= 1), F.col("seq") + 1).otherwise(F.col("seq")).alias("seq"),
+        F.when(at(3), -F.col("t")).when(at(8), 0).when(at(11) & early, 0).otherwise(F.col("t")).alias("t"),
+        F.when(at(6) & one, float("nan")).when(at(7) & one, F.col("x") + 2_000).when(at(9), 1.0).when(at(11) & early, 5.0).when(at(16) & one, None).otherwise(F.col("x")).alias("x"),
+        F.when(at(9), 1.0).when(at(11) & early, 5.0).otherwise(F.col("y")).alias("y"),
+        F.when(at(10) & one, -0.5).otherwise(F.col("x") / WIDTH).alias("x_normalized"),
+        (F.col("y") / HEIGHT).alias("y_normalized"),
+        F.when(at(15), None).when(at(4) & (F.col("seq") == 0), "pointermove").when(at(5) & (F.col("pointer_type") == "pointerup"), "pointermove").otherwise(F.col("pointer_type")).alias("pointer_type"),
+        F.when(~at(14), F.when(at(13), F.col("end") + 6_000).otherwise(-100)).cast("long").alias("presented"),
+        F.when(at(12), -1_100).when(at(13), F.col("end") + 6_100).otherwise(F.col("end") + 100).cast("long").alias("submitted"),
+    )
+    return quality.gate(rows, WIDTH, HEIGHT, "presented", "submitted", enforced=True)
+
+
+GATE = f"""{EV}, p0 AS (SELECT *, CASE WHEN seq=0 THEN 'pointerdown' WHEN seq=max(seq) OVER w THEN 'pointerup' ELSE 'pointermove' END k0, (user_id*7+ano)%{DEFECTS} c, max(t) OVER w te FROM ev WINDOW w AS (PARTITION BY attempt_id)),
+p1 AS (SELECT attempt_id, CASE WHEN c=2 AND seq>=1 THEN seq+1 ELSE seq END seq, CASE WHEN c=3 THEN -t WHEN c=8 OR (c=11 AND seq IN (1,2)) THEN 0 ELSE t END t, CASE WHEN c=6 AND seq=1 THEN 'NaN'::DOUBLE WHEN c=7 AND seq=1 THEN x+2000 WHEN c=9 THEN 1.0 WHEN c=11 AND seq IN (1,2) THEN 5.0 WHEN c=16 AND seq=1 THEN NULL ELSE x END x,
+ CASE WHEN c=9 THEN 1.0 WHEN c=11 AND seq IN (1,2) THEN 5.0 ELSE y END y, CASE WHEN c=10 AND seq=1 THEN -0.5 ELSE x/500 END xn, y/200 yn, CASE WHEN c=15 THEN NULL WHEN c=4 AND seq=0 THEN 'pointermove' WHEN c=5 AND k0='pointerup' THEN 'pointermove' ELSE k0 END pt,
+ CASE WHEN c=14 THEN NULL WHEN c=13 THEN te+6000 ELSE -100 END pr, CASE WHEN c=12 THEN -1100 WHEN c=13 THEN te+6100 ELSE te+100 END su FROM p0 WHERE c<>1 OR seq=0),
+p AS (SELECT *, row_number() OVER w>1 AND NOT coalesce(t>=lag(t) OVER w,false) back FROM p1 WINDOW w AS (PARTITION BY attempt_id ORDER BY seq)),
+g AS (SELECT attempt_id, count(*) n, min(seq)=0 AND max(seq)=count(*)-1 AND count(DISTINCT seq)=count(*) sq, bool_or(back) back, coalesce(bool_or(pt='pointerdown'),false) dn, coalesce(bool_or(pt IN ('pointerup','pointercancel')),false) up, bool_or(coalesce(isnan(x) OR isinf(x) OR isnan(y) OR isinf(y) OR isnan(xn) OR isnan(yn),false)) odd, count(*) FILTER ((x < -250 OR x > 750 OR y < -100 OR y > 300) AND NOT isnan(x)) outs,
+ sum(coalesce((xn<0 OR xn>1) AND NOT isnan(xn),false)::INT+coalesce(yn<0 OR yn>1,false)::INT) loose, max_by(t,seq)-min_by(t,seq) span, count(*)-count(DISTINCT (t,)) ts, count(*)-count(DISTINCT {{'a':pt,'b':t,'c':x,'d':y}}) ks, count(DISTINCT {{'a':x,'b':y}}) ps, min(t) f, max(t) l, max(pr) pr, max(su) su FROM p GROUP BY 1),
+v AS (SELECT *, CASE WHEN pr IS NULL OR su IS NULL THEN 'missing_server_timing' WHEN su<pr THEN 'submitted_before_presented' WHEN NOT (f>=pr-5000 AND l<=su+5000 AND l-f<=su-pr+5000) THEN 'event_timestamps_outside_server_window' END tm FROM g),
+r AS (SELECT *, CASE WHEN n<2 THEN 'event_count_lt_2' ELSE concat_ws(';', CASE WHEN NOT sq THEN 'seq_not_sequential' END, CASE WHEN back THEN 't_ms_decreasing' END, CASE WHEN NOT dn THEN 'missing_pointerdown' END, CASE WHEN NOT up THEN 'missing_pointerup_or_cancel' END, CASE WHEN odd THEN 'non_finite_value' END, CASE WHEN outs>0 THEN 'coordinates_out_of_bounds' END, CASE WHEN span<=0 THEN 'duration_not_positive' END, CASE WHEN ps<2 THEN 'too_few_distinct_coordinates' END, tm) END h,
+ CASE WHEN n<2 THEN '' ELSE concat_ws(';', CASE WHEN loose>0 THEN 'normalized_out_of_range' END, CASE WHEN ts>0 THEN 'duplicate_timestamps' END, CASE WHEN ks>0 THEN 'duplicate_events' END) END s FROM v),
+q AS (SELECT attempt_id, CASE WHEN h<>'' THEN 'rejected' WHEN s<>'' THEN 'pending' ELSE 'valid' END status, CASE WHEN h<>'' THEN h ELSE s END reasons, n, ts, ps, outs, CASE WHEN su>=pr THEN su-pr END sd FROM r)"""
+
+
+@query(f"WITH {GATE} SELECT attempt_id, status, reasons, n event_count, CASE WHEN n>=2 THEN ts END duplicate_timestamp_count, CASE WHEN n>=2 THEN ps END distinct_coordinates, CASE WHEN n>=2 THEN outs END out_of_bounds_count, CASE WHEN n>=2 THEN sd END server_duration_ms FROM q")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gated(spark, sf_dir)
+    measured = ("event_count", "duplicate_timestamp_count", "distinct_coordinates", "out_of_bounds_count", "server_duration_ms")
+    return _gated(spark, sf_dir).select("attempt_id", "status", "reasons", *[F.col("checks")[m].cast("long").alias(m) for m in measured])
 
 
 @query(f"WITH {GATE}, e AS (SELECT unnest(string_split(reasons,';')) reason FROM q) SELECT reason, count(*) n FROM e WHERE reason<>'' GROUP BY 1")
@@ -113,9 +142,9 @@ def quality_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.reason_counts(_gated(spark, sf_dir))
 
 
-@query(f"""WITH {EV}, d AS (SELECT *, sum((kind='pointerdown')::INT) OVER (PARTITION BY user_id ORDER BY ano, seq) drag, kind IN ('pointerup','pointercancel') up FROM ev),
+@query(f"""WITH {EV}, d AS (SELECT *, sum((kind='pointerdown')::INT) OVER (PARTITION BY user_id ORDER BY ano, seq) drag, kind='pointerup' up FROM ev),
 r AS (SELECT *, coalesce(sum(up::INT) OVER (PARTITION BY user_id, drag ORDER BY ano, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) rel FROM d WHERE drag>0)
-SELECT user_id, CAST(drag AS BIGINT) drag, count(*) n_events, count(*) FILTER (NOT up AND kind<>'pointerdown') n_moves, bool_or(up) closed FROM r WHERE rel=0 GROUP BY 1,2 HAVING bool_or(up) OR count(*)>1""")
+SELECT user_id, CAST(drag AS BIGINT) drag, count(*) n_events, count(*) FILTER (kind='pointermove') n_moves, bool_or(up) closed FROM r WHERE rel=0 GROUP BY 1,2 HAVING bool_or(up) OR count(*)>1""")
 def split_drags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.drags(trace(spark, sf_dir))
 
@@ -133,7 +162,7 @@ def trim_aim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRINTS = f"""{EV}, o AS (SELECT *, x-first_value(x) OVER w px, y-first_value(y) OVER w py FROM ev WINDOW w AS (PARTITION BY attempt_id ORDER BY seq)),
-fp AS (SELECT user_id, ano, attempt_id, sha256(string_agg(CAST(round(px*100) AS BIGINT)||','||CAST(round(py*100) AS BIGINT), ';' ORDER BY seq)) fingerprint, max(t)-min(t) duration, max_by(x,seq) end_x, max_by(y,seq) end_y, max(at_us) at_us FROM o GROUP BY 1,2,3)"""
+fp AS (SELECT user_id, ano, attempt_id, CASE WHEN count(*)>=2 THEN sha256(count(*)||';'||string_agg(CAST(round_even(px*1000000,0) AS BIGINT)||','||CAST(round_even(py*1000000,0) AS BIGINT), ';' ORDER BY seq)) END fingerprint, max(t)-min(t) duration, max_by(x,seq) end_x, max_by(y,seq) end_y, max(at_us) at_us FROM o GROUP BY 1,2,3)"""
 
 
 @query(f"WITH {PRINTS} SELECT attempt_id, fingerprint FROM fp")
@@ -157,7 +186,7 @@ def global_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT vec_id, label, [e::DOUBLE FOR e, i IN embedding IF i%2=1] xs, [e::DOUBLE FOR e, i IN embedding IF i%2=0] ys FROM embeddings), c AS (SELECT vec_id, label, [v-list_sum(xs)/len(xs) FOR v IN xs] xs, [v-list_sum(ys)/len(ys) FOR v IN ys] ys FROM f),
 n AS (SELECT *, sqrt(list_sum([v*v FOR v IN xs])+list_sum([v*v FOR v IN ys])) nm FROM c), p AS (SELECT vec_id, label, [v/nm FOR v IN xs] xs, [v/nm FOR v IN ys] ys FROM n),
-q AS (SELECT b.vec_id, list_dot_product(b.xs,a.xs) a1, list_dot_product(b.xs,a.ys) b1, list_dot_product(b.ys,a.xs) c1, list_dot_product(b.ys,a.ys) d1 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) rn FROM p) b JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) rn FROM p) a ON a.label=b.label AND a.rn<b.rn AND a.rn>=b.rn-50),
+q AS (SELECT b.vec_id, list_dot_product(b.xs,a.xs) a1, list_dot_product(b.xs,a.ys) b1, list_dot_product(b.ys,a.xs) c1, list_dot_product(b.ys,a.ys) d1 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) rn FROM p) b JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) rn FROM p) a ON a.label=b.label AND a.rn<b.rn),
 g AS (SELECT vec_id, max(1/(1+4*sqrt(greatest(2-2*sqrt(greatest(a1*a1+b1*b1+c1*c1+d1*d1+2*abs(a1*d1-b1*c1),0)),0)))) best, count(*) n FROM q GROUP BY 1)
 SELECT vec_id, round(coalesce(best,0),6) best, coalesce(n,0) n FROM embeddings LEFT JOIN g USING (vec_id)""")
 def procrustes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +196,7 @@ def procrustes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SCORED}, q AS (SELECT attempt_id, score human_score, user_id%7=0 ex, other similarity, ano*1.0 apm, user_id%11=0 rej FROM a),
 r0 AS (SELECT *, (1-human_score)*50 r FROM q), r1 AS (SELECT * REPLACE (CASE WHEN human_score<0.5 THEN greatest(r,40) ELSE r END AS r) FROM r0), r2 AS (SELECT * REPLACE (CASE WHEN ex THEN greatest(r,80) ELSE r END AS r) FROM r1),
 r3 AS (SELECT * REPLACE (CASE WHEN similarity>=0.9 THEN greatest(r+35,40) ELSE r END AS r) FROM r2), r4 AS (SELECT * REPLACE (CASE WHEN apm>=3 THEN greatest(r+30,40) ELSE r END AS r) FROM r3), r5 AS (SELECT *, least(100,greatest(0,CASE WHEN rej THEN greatest(r,40) ELSE r END)) s FROM r4), r6 AS (SELECT *, round(s,2) v FROM r5)
-SELECT attempt_id, CAST(v AS DOUBLE) risk_score, CASE WHEN v>=70 THEN 'high' WHEN v>=40 THEN 'medium' ELSE 'low' END risk_level, CASE WHEN v<40 THEN 'allow' ELSE 'step_up' END action, concat_ws(';', CASE WHEN human_score<0.5 THEN 'ml_bot_score' END, CASE WHEN ex THEN 'exact_trace_fingerprint' END, CASE WHEN similarity>=0.9 THEN 'dtw_similar_trace' END, CASE WHEN apm>=3 THEN 'session_rate_exceeded' END, CASE WHEN rej THEN 'invalid_event_telemetry' END) reasons FROM r6""")
+SELECT attempt_id, CAST(v AS DOUBLE) risk_score, CASE WHEN v>=70 THEN 'high' WHEN v>=40 THEN 'medium' ELSE 'low' END risk_level, CASE WHEN v>=70 THEN 'step_up_and_rate_limit' WHEN v>=40 THEN 'step_up' ELSE 'allow' END action, concat_ws(';', CASE WHEN human_score<0.5 THEN 'ml_bot_score' END, CASE WHEN ex THEN 'exact_trace_fingerprint' END, CASE WHEN similarity>=0.9 THEN 'dtw_similar_trace' END, CASE WHEN apm>=3 THEN 'session_rate_exceeded' END, CASE WHEN rej THEN 'invalid_event_telemetry' END) reasons FROM r6""")
 def risk_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).select("attempt_id", F.col("score").alias("human_score"), (F.col("user_id") % 7 == 0).alias("exact_replay_detected"), F.col("other").alias("similarity"), F.col("ano").cast("double").alias("attempts_per_minute"), (F.col("user_id") % 11 == 0).alias("quality_rejected"))
     return risk.fuse(rows, risk.Policy(similarity_threshold=0.9, most_per_minute=3.0)).select("attempt_id", "risk_score", "risk_level", "action", "reasons")
@@ -194,9 +223,10 @@ def rank_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SCORED}, t AS (SELECT DISTINCT score FROM a UNION SELECT 0.5), m AS (SELECT t.score threshold, count(*) FILTER (a.human AND a.score<t.score)/count(*) FILTER (a.human) rejected, count(*) FILTER (NOT a.human AND a.score<t.score)/count(*) FILTER (NOT a.human) caught FROM t, a GROUP BY 1)
-SELECT round(threshold,6) threshold, round(rejected,6) rejected, round(caught,6) caught FROM m WHERE rejected<=0.05 ORDER BY m.caught DESC, m.threshold DESC LIMIT 1""")
+SELECT round(threshold,6) threshold, round(rejected,6) human_rejected, round(caught,6) bot_recall FROM m WHERE rejected<=0.05 ORDER BY m.caught DESC, m.threshold DESC LIMIT 1""")
 def threshold_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluate.best_threshold(scored(spark, sf_dir), "human", "score", 0.05)
+    held = calibrate.counts(scored(spark, sf_dir), "human", "score")
+    out = calibrate.threshold(held, 0.05)
     return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
 
 
@@ -306,7 +336,7 @@ def weak_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From events to explained decisions: gate, features, history, fusion; one row per attempt."""
     rows = trace(spark, sf_dir)
-    gated = _gated(spark, sf_dir).select("attempt_id", (F.col("status") == "rejected").alias("quality_rejected"))
+    gated = _gated(spark, sf_dir, defects=False).select("attempt_id", (F.col("status") == "rejected").alias("quality_rejected"))
     past = replay.history(replay.fingerprints(rows), 864_000_000_000, 50).join(replay.similarity(replay.resampled(rows), 5), "attempt_id", "left")
     joined = features.basic(rows).select("attempt_id", "linearity").join(gated, "attempt_id").join(past, "attempt_id")
     joined = joined.withColumn("human_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("linearity")))).withColumn("similarity", F.coalesce("max_similarity", F.lit(0.0)))

@@ -1,10 +1,12 @@
 """What SQL can't say shortly: compared with plain Python and numpy."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
+import pytest
 
-from strokewise.operators import learning, quality, replay
+from strokewise.operators import learning, quality, replay, risk, segments
 from strokewise.plans import records
 
 
@@ -61,27 +63,137 @@ def test_resampled_paths_and_their_similarity(spark):
 
 
 def test_every_quality_rule_fires(spark):
-    good = [(s, s * 10, 10.0 * s, 20.0 + s, "pointerdown" if s == 0 else "pointerup" if s == 4 else "pointermove") for s in range(5)]
-    swap = lambda i, **kw: [tuple({**dict(zip(("seq", "t", "x", "y", "pointer_type"), e)), **(kw if j == i else {})}.values()) for j, e in enumerate(good)]
+    good = [(s, s * 10, 10.0 * s, 20.0 + s, "pointerdown" if s == 0 else "pointerup" if s == 4 else "pointermove", 0.1, 0, 100) for s in range(5)]
+    fields = ("seq", "t", "x", "y", "pointer_type", "x_normalized", "presented", "submitted")
+    swap = lambda i, **kw: [tuple({**dict(zip(fields, e)), **(kw if i in (j, None) else {})}.values()) for j, e in enumerate(good)]
     cases = {
         "": good,
-        "too_few_events": good[:1],
-        "bad_sequence": swap(2, seq=9),
-        "time_decreases": swap(2, t=1),
-        "no_pointerdown": swap(0, pointer_type="pointermove"),
-        "no_pointerup": swap(4, pointer_type="pointermove"),
-        "non_finite": swap(2, x=float("nan")),
-        "out_of_bounds": swap(2, x=5_000.0),
-        "normalized_range": swap(2, x=-1.0),
-        "no_duration": [(s, 0, x, y, k) for s, _, x, y, k in good],
-        "duplicate_time": swap(2, t=10),
-        "duplicate_event": [*good[:2], (2, 10, 10.0, 21.0, "pointermove"), *good[3:]],
-        "no_movement": [(s, t, 1.0, 1.0, k) for s, t, _, _, k in good],
+        "event_count_lt_2": good[:1],
+        "seq_not_sequential": swap(2, seq=9),
+        "t_ms_decreasing": swap(2, t=1),
+        "missing_pointerdown": swap(0, pointer_type="pointermove"),
+        "missing_pointerup_or_cancel": swap(4, pointer_type="pointermove"),
+        "non_finite_value": swap(2, x=float("nan")),
+        "coordinates_out_of_bounds": swap(2, x=5_000.0),
+        "normalized_out_of_range": swap(2, x_normalized=-1.0),
+        "duration_not_positive": swap(None, t=0),
+        "duplicate_timestamps": swap(2, t=10),
+        "duplicate_events": [*good[:2], (2, 10, 10.0, 21.0, "pointermove", 0.1, 0, 100), *good[3:]],
+        "too_few_distinct_coordinates": swap(None, x=1.0, y=1.0),
+        "missing_server_timing": swap(None, presented=None),
+        "submitted_before_presented": swap(None, submitted=-1),
+        "event_timestamps_outside_server_window": swap(None, presented=9_000, submitted=9_500),
+        "non_finite_value;": swap(3, x_normalized=float("inf")),
     }
     rows = [(f"c{i}", *e) for i, c in enumerate(cases.values()) for e in c]
-    made = {r.attempt_id: r for r in quality.gate(spark.createDataFrame(rows, "attempt_id string, seq long, t long, x double, y double, pointer_type string"), 500, 200).collect()}
+    table = spark.createDataFrame(rows, "attempt_id string, seq long, t long, x double, y double, pointer_type string, x_normalized double, presented long, submitted long")
+    made = {r.attempt_id: r for r in quality.gate(table, 500, 200, "presented", "submitted", True).collect()}
     for i, name in enumerate(cases):
-        assert (name in made[f"c{i}"].reasons.split(";")) if name else made["c0"].status == "valid", (name, made[f"c{i}"].reasons)
+        got = made[f"c{i}"]
+        assert (name.strip(";") in got.reasons.split(";")) if name else got.status == "valid", (name, got.reasons)
+        assert got.status == ("valid" if not name else "pending" if name in quality.SOFT else "rejected")
+    assert made["c0"].checks == {"event_count": "5", "seq_ok": "true", "t_ms_non_decreasing": "true", "out_of_bounds_count": "0", "normalized_out_of_range_count": "0", "duration_ms": "40", "duplicate_timestamp_count": "0", "duplicate_event_count": "0", "distinct_coordinates": "5", "server_duration_ms": "100", "event_first_t_ms": "0", "event_last_t_ms": "40", "event_timestamps_within_server_window": "true"}
+    assert made["c1"].checks == {"event_count": "1"}
+
+
+def test_nulls_do_not_pass_the_gate(spark):
+    rows = [("k", 0, 0, 1.0, 1.0, None), ("k", 1, 5, 2.0, 2.0, None), ("t", 0, 0, 1.0, 1.0, "pointerdown"), ("t", 1, None, 2.0, 2.0, "pointerup")]
+    made = {r.attempt_id: r.reasons for r in quality.gate(spark.createDataFrame(rows, "attempt_id string, seq long, t long, x double, y double, pointer_type string")).collect()}
+    assert made == {"k": "missing_pointerdown;missing_pointerup_or_cancel", "t": "t_ms_decreasing;duration_not_positive"}
+
+
+def test_risk_decisions(spark):
+    policy = risk.Policy(human_threshold=0.4, step_up_threshold=0.6, similarity_threshold=0.9, most_per_minute=20.0)
+    cases = [
+        ((0.9, False, 0.0, 1.0, False), (5.0, "low", "allow", "")),
+        ((0.5, False, 0.0, 1.0, False), (40.0, "medium", "step_up", "ml_step_up_band")),
+        ((0.3, False, 0.0, 1.0, False), (40.0, "medium", "step_up", "ml_bot_score")),
+        ((0.9, True, 0.0, 1.0, False), (80.0, "high", "step_up_and_rate_limit", "exact_trace_fingerprint")),
+        ((0.9, False, 0.95, 1.0, False), (40.0, "medium", "step_up", "dtw_similar_trace")),
+        ((0.9, False, 0.95, 25.0, False), (70.0, "high", "step_up_and_rate_limit", "dtw_similar_trace;session_rate_exceeded")),
+        ((0.9, False, None, None, True), (40.0, "medium", "step_up", "invalid_event_telemetry")),
+        ((0.1, True, 0.95, 25.0, True), (100.0, "high", "step_up_and_rate_limit", "ml_bot_score;exact_trace_fingerprint;dtw_similar_trace;session_rate_exceeded;invalid_event_telemetry")),
+    ]
+    rows = [(i, *given) for i, (given, _) in enumerate(cases)]
+    table = spark.createDataFrame(rows, "i int, human_score double, exact_replay_detected boolean, similarity double, attempts_per_minute double, quality_rejected boolean")
+    made = {r.i: (r.risk_score, r.risk_level, r.action, r.reasons) for r in risk.fuse(table, policy).collect()}
+    assert [made[i] for i in range(len(cases))] == [want for _, want in cases]
+    off = risk.fuse(table, replace(policy, exact_replay_enabled=False)).where("i = 3").first()
+    assert off.reasons == "" and off.action == "allow"
+    for bad in (1.5, -0.1, float("nan"), None):
+        with pytest.raises(Exception, match="between 0 and 1"):
+            risk.fuse(spark.createDataFrame([(bad, False, 0.0, 0.0, False)], table.schema.simpleString()[7:-1].replace("i:int,", "")), policy).collect()
+    with pytest.raises(ValueError):
+        risk.Policy(human_threshold=0.5, step_up_threshold=0.4)
+
+
+KINDS = {
+    "synonyms": ("pointer_down drag_start pointer_move pointer_move pointer_move pointer_move drop", [4]),
+    "three": ("pointerdown pointermove pointermove pointermove pointerup pointermove pointerdown pointermove pointermove pointermove pointermove pointerup pointerdown pointermove pointermove pointerup", [3, 4, 2]),
+    "hover": ("pointermove pointermove", []),
+    "lost release": ("pointerdown pointermove pointermove pointerdown pointermove pointerup", [2, 1]),
+    "cancel is no release": ("pointerdown pointermove pointercancel pointermove aimmove pointerup pointermove", [2]),
+    "never released": ("pointerdown pointermove", [1]),
+    "press alone": ("pointerdown", []),
+}
+
+
+def test_drags(spark):
+    rows = [(name, 0, i, k) for name, (kinds, _) in KINDS.items() for i, k in enumerate(kinds.split())]
+    made = {}
+    for r in segments.drags(spark.createDataFrame(rows, "user_id string, ano int, seq int, kind string")).orderBy("user_id", "drag").collect():
+        made.setdefault(r.user_id, []).append(r.n_moves)
+    assert {n: made.get(n, []) for n in KINDS} == {n: want for n, (_, want) in KINDS.items()}
+
+
+def test_session_scores_of_drags(spark):
+    rows = [("a", 1, 0.1), ("a", 5, 0.9), ("a", 4, 0.7), ("b", 1, 0.99), ("b", 0, 0.99), ("c", 2, 0.2)]
+    made = {r.s: (r.drag_count, r.starved_drags, r.human_score, r.prediction, r.reason) for r in segments.session_scores(spark.createDataFrame(rows, "s string, n_moves int, score double"), "s").collect()}
+    assert made == {"a": (3, 1, 0.8, "human", None), "b": (2, 2, 0.0, "bot", "every_drag_below_move_floor"), "c": (1, 0, 0.2, "bot", None)}
+
+
+def test_aims_joined_to_drags(spark):
+    aim = [("aim_move", float(i), 0.0) for i in range(20)]
+    drag = [("pointer_down", 19.0, 0.0), *[("pointer_move", 19.0 + i, float(i)) for i in range(16)]]  # its first point is the aim's last
+    events = [("pointer_move", 0.0, 0.0), *aim, *drag, ("drop", None, None), *aim[:3], ("pointer_down", 0.0, 0.0), ("pointer_down", 0.0, 0.0), ("pointer_move", 5.0, 5.0), ("aim_move", 1.0, 1.0)]
+    table = spark.createDataFrame([(1, 0, i, *e) for i, e in enumerate(events)], "user_id int, ano int, seq int, kind string, x double, y double")
+    made = [(r.n_aim, r.n_drag, r.n_points, r.judgeable) for r in segments.joined_paths(segments.runs(table)).orderBy("run").collect()]
+    assert made == [(20, 15, 35, True), (0, 1, 1, False)]
+
+
+def test_fingerprints(spark):
+    base = [(0.0, 0.0), (1.5, 2.0), (3.25, 1.0)]
+    paths = {"a": base, "moved": [(x + 7, y - 3) for x, y in base], "close": [(x + 1e-9, y) for x, y in base], "apart": [(x * 1.00001, y) for x, y in base], "more": [*base, base[-1]], "one": base[:1], "odd": [base[0], (float("nan"), 1.0), *base[1:]], "none": [(float("inf"), 0.0)]}
+    rows = [(1, i, n, s, s * 10, s, x, y) for i, (n, p) in enumerate(paths.items()) for s, (x, y) in enumerate(p)]
+    made = {r.attempt_id: r.fingerprint for r in replay.fingerprints(spark.createDataFrame(rows, "user_id int, ano int, attempt_id string, seq int, t long, at_us long, x double, y double")).collect()}
+    assert made["a"] == made["moved"] == made["close"] == made["odd"]
+    assert len({made["a"], made["apart"], made["more"]}) == 3 and made["one"] is None and made["none"] is None
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(replay, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(30, 10))
+    v[7] = v[2] * 3 + 1
+    v[11] = 1.0  # no extent
+    table = spark.createDataFrame([(int(i % 2), int(i), [float(x) for x in v[i]]) for i in range(30)], "label int, vec_id int, embedding array<double>")
+
+    def one(a, b):
+        p, q = ((w.reshape(-1, 2) - w.reshape(-1, 2).mean(0)) for w in (a, b))
+        if np.linalg.norm(p) < 1e-12 or np.linalg.norm(q) < 1e-12:
+            return 0.0
+        s = np.linalg.svd(p.T @ q / np.linalg.norm(p) / np.linalg.norm(q))[1].sum()
+        return 1 / (1 + 4 * math.sqrt(max(0, 2 - 2 * s)))
+
+    for newest in (None, 3, 9):
+        got = {r.vec_id: (r.best, r.n) for r in replay.procrustes_best(table, "label", "vec_id", newest).collect()}
+        for i in range(30):
+            past = [j for j in range(i % 2, i, 2)][-newest if newest else None :]
+            assert got[i][1] == len(past) and abs(got[i][0] - max((one(v[i], v[j]) for j in past), default=0.0)) < 1e-6
+    units = replay.centred(table).select("label", "vec_id", replay.F.struct("xs", "ys").alias("u"))
+    pairs = {(r.vec_id, r.source): r.similarity for r in replay.similar_pairs(units.where("vec_id <> 11"), "label", ["vec_id"], "vec_id", 0.5).collect()}
+    want = {(i, j): one(v[i], v[j]) for i in range(30) for j in range(i % 2, i, 2) if 11 not in (i, j) and one(v[i], v[j]) >= 0.5}
+    assert set(pairs) == set(want) and all(abs(pairs[k] - want[k]) < 1e-6 for k in want)
 
 
 def test_queries_without_sql(spark, sf_dir):
