@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strokewise.llm import decontaminate, jaccard, packing, pii, quality
-from strokewise.llm._tables import table, written
+from strokewise.llm._tables import forget, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,9 +56,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each on what its predecessor wrote.  An empty table stays one; columns of documents beyond the usual ones are carried along up to packing."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, name)
+            made = written(made, name)
+            forget(docs)  # nothing reads it any more
+        docs = made
     return docs
 
 
