@@ -315,6 +315,11 @@ def _are_similar(x: pa.Scalar, y: pa.Scalar, n: int, m: int) -> bool:
     return 100 * common >= 75 * (n + m - common)
 
 
+def by_shuffle(table: DataFrame) -> DataFrame:
+    """A table that grows with the input: its joins are planned alike at every size, never by a broadcast that a larger input rules out."""
+    return table.hint("merge")
+
+
 def _compared(sets: DataFrame, pairs: DataFrame, column: str, decide: Callable[[pa.Scalar, pa.Scalar, int, int], bool]) -> DataFrame:
     """The pairs (a, b) with near: what decide says of the column of both."""
     asked = sets.sparkSession.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
@@ -329,7 +334,7 @@ def _compared(sets: DataFrame, pairs: DataFrame, column: str, decide: Callable[[
     own = sets.select("node", "n", F.col(column).alias("x"))
     own = own.mapInArrow(pick, own.schema).dropDuplicates(["node"])
     side = lambda at, n, x: own.select(F.col("node").alias(at), F.col("n").alias(n), F.col("x").alias(x))
-    both = pairs.select("a", "b").join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    both = pairs.select("a", "b").join(by_shuffle(side("a", "n", "x")), "a").join(by_shuffle(side("b", "m", "y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -399,7 +404,7 @@ def links(texts: DataFrame) -> DataFrame:
             split = shared.withColumn("lead", lead).where(F.col("lead.label") != F.col("label"))
             pairs = _pairs(split.select(*MEMBER, *_other("lead")))
         else:  # each pair of two components that shares a signature; after these nothing is left
-            one = shared.distinct().join(sets.select("node", "sketch").dropDuplicates(["node"]), "node")
+            one = shared.distinct().join(by_shuffle(sets.select("node", "sketch").dropDuplicates(["node"])), "node")
             two = one.where("first").select("sig", *[F.col(x).alias(y) for x, y in zip(MEMBER, OTHER, strict=True)], F.col("label").alias("other"), F.col("sketch").alias("other_sketch"))
             pairs = _pairs(one.join(two, "sig").where(_fits() & (F.col("label") != F.col("other")) & _sketches_allow()))
         pairs = written(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
@@ -458,7 +463,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     named = rows.where("node is not null").select("node", "row", ident).join(labels.select("node", "label"), "node")
     best = written(named.groupBy("label").agg(F.min(F.struct(ident.isNull(), ident, "node", "row")).alias("best")).select(F.col("best.row").alias("row")), "kept")
     free_shuffles()
-    kept = rows.join(best, "row", "left_semi").unionByName(rows.where("node is null"))
+    kept = rows.join(by_shuffle(best), "row", "left_semi").unionByName(rows.where("node is null"))
     return kept.select(*[F.col(names[c]).alias(c) for c in cols])
 
 
