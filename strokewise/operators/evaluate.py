@@ -50,6 +50,29 @@ def average_precision(rows: DataFrame, human: str, score: str) -> DataFrame:
     return c.agg(F.sum(F.col("humans") * h / (h + b)).alias("s"), F.sum("humans").alias("n")).select(share(F.col("s"), F.col("n")).alias("average_precision"))
 
 
+def quantiles(rows: DataFrame, value: str, at: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles, linear between ranks, of each group's values; nulls have no rank.
+
+    From counts per value and their running sums over ranges, so that no task
+    holds a group's values.
+    """
+    held = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    totals = held.groupBy(*by).agg(F.sum("_c").alias("_n")).withColumnsRenamed({b: f"_of_{b}" for b in by})
+    ranked = running(held, "_v", {"_below": "_c"}, by=by)
+    if by:
+        same = F.lit(True)
+        for b in by:
+            same = same & F.col(b).eqNullSafe(F.col(f"_of_{b}"))
+        ranked = ranked.join(totals, same)
+    else:
+        ranked = ranked.crossJoin(F.broadcast(totals))  # one row
+    place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    on = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col("_v")))
+    out = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *[f(place(q)).alias(f"_{k}{i}") for i, q in enumerate(at) for k, f in (("l", lambda p: on(F.floor(p))), ("h", lambda p: on(F.ceil(p))))])
+    share_ = lambda q: place(q) - F.floor(place(q))
+    return out.select(*by, *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * share_(q)).alias(f"q{i}") for i, q in enumerate(at)])
+
+
 def separation(rows: DataFrame, human: str, features: list[str]) -> DataFrame:
     """(feature, difference): standardised difference of means of humans and bots."""
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
@@ -59,9 +82,9 @@ def separation(rows: DataFrame, human: str, features: list[str]) -> DataFrame:
 
 
 def summary(rows: DataFrame, key: str, score: str, passes: float) -> DataFrame:
-    p = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(key).agg(F.min(score).alias("low"), p.alias("p"), F.max(score).alias("high"), F.avg((F.col(score) >= passes).cast("double")).alias("pass_rate"), F.count("*").alias("n"))
-    return out.select(key, "n", "low", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((25, 50, 75))], "high", "pass_rate")
+    p = quantiles(rows, score, [0.25, 0.5, 0.75], (key,)).withColumnsRenamed({key: "_k", "q0": "p25", "q1": "p50", "q2": "p75"})
+    out = rows.groupBy(key).agg(F.min(score).alias("low"), F.max(score).alias("high"), F.avg((F.col(score) >= passes).cast("double")).alias("pass_rate"), F.count("*").alias("n"))
+    return out.join(p, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, "n", "low", "p25", "p50", "p75", "high", "pass_rate")
 
 
 def wilson(rows: DataFrame, hits: str, n: str, z: float = 1.959963984540054) -> DataFrame:
@@ -135,9 +158,10 @@ def distribution(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
     """(key, feature, mean, p05, p10, p50, p90, p95)."""
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
     at = (5, 10, 50, 90, 95)
-    p = F.percentile("v", F.array(*[F.lit(x / 100) for x in at]))
-    out = rows.select(key, named.alias("f")).select(key, "f.*").groupBy(key, "feature").agg(F.avg("v").alias("mean"), p.alias("p"))
-    return out.select(key, "feature", "mean", *[F.col("p")[i].alias(f"p{x:02d}") for i, x in enumerate(at)])
+    flat = rows.select(key, named.alias("f")).select(key, "f.*")
+    p = quantiles(flat, "v", [x / 100 for x in at], (key, "feature")).withColumnsRenamed({key: "_k", "feature": "_f", **{f"q{i}": f"p{x:02d}" for i, x in enumerate(at)}})
+    out = flat.groupBy(key, "feature").agg(F.avg("v").alias("mean"))
+    return out.join(p, F.col(key).eqNullSafe(F.col("_k")) & (F.col("feature") == F.col("_f")), "left").select(key, "feature", "mean", *[f"p{x:02d}" for x in at])
 
 
 def policy_summary(rows: DataFrame, score: str, hard: float, step_up: float) -> DataFrame:
@@ -178,7 +202,7 @@ def session_scores(rows: DataFrame, key: str, score: str) -> DataFrame:
 
 def band(rows: DataFrame, value: str, low: float = 0.015, high: float = 0.985) -> DataFrame:
     """(low, high, outside): a two-sided band of the values and the share beyond it."""
-    edges = rows.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    edges = quantiles(rows, value, [low, high]).withColumnsRenamed({"q0": "low", "q1": "high"})
     return rows.crossJoin(F.broadcast(edges)).groupBy("low", "high").agg(F.avg(((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).cast("double")).alias("outside"))  # one row of edges
 
 
@@ -189,3 +213,23 @@ def common_point(rows: DataFrame, score: str, rejected: float) -> DataFrame:
     at = F.floor(F.col("n") * F.lit(rejected))
     placed = running(counts, "score", {"below": "c"}).crossJoin(F.broadcast(total))  # one row
     return placed.where((F.col("below") <= at) & (at < F.col("below") + F.col("c"))).select(F.col("score").alias("threshold"), "n")
+
+
+def density_cut(distances: DataFrame, person: str, distance: str, pooled: float = 0.03, each: float = 0.05, fallback: float = 0.97) -> DataFrame:
+    """(cut, quantile): the strictest of 120 quantiles of the distances, from 0.8 to 0.999, beyond which lie few enough of all and of each person; else the fallback quantile and null."""
+    steps = [0.80 + i * (0.999 - 0.80) / 119 for i in range(120)]
+    cuts = quantiles(distances, distance, [*steps, fallback])
+    named = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"q{i}").alias("cut")) for i in range(len(steps))]))
+    grid = cuts.select(named.alias("g"), F.col(f"q{len(steps)}").alias("rest")).select("g.*", "rest")
+    held = distances.where(F.col(distance).isNotNull()).groupBy(person).agg(F.count("*").alias("n"))
+    # which cuts a distance lies beyond is a prefix of them: one row for each person and number of cuts
+    inner = F.array(*[F.col(f"q{i}") for i in range(len(steps))])
+    beyond = distances.where(F.col(distance).isNotNull()).crossJoin(F.broadcast(cuts)).select(person, F.size(F.filter(inner, lambda c: F.col(distance) > c)).alias("k")).groupBy(person, "k").agg(F.count("*").alias("c"))  # one row of cuts
+    over = beyond.join(held.withColumnRenamed(person, "_p"), F.col(person).eqNullSafe(F.col("_p"))).join(F.broadcast(grid), F.col("i") < F.col("k"), "right")  # 120 rows
+    per = over.groupBy("i", "cut", "rest", "_p", "n").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
+    found = per.groupBy("i", "cut", "rest").agg(F.sum("c").alias("c"), F.coalesce(F.max(F.col("c") / F.col("n")), F.lit(0.0)).alias("worst"))
+    total = held.agg(F.sum("n").alias("all"))
+    ok = found.crossJoin(F.broadcast(total)).where((F.col("c") <= pooled * F.col("all")) & (F.col("worst") <= each))  # one row
+    best = ok.agg(F.min_by("cut", "i").alias("cut"), F.min("i").alias("i"))
+    steps_ = F.array(*[F.lit(x) for x in steps])
+    return best.crossJoin(F.broadcast(cuts)).select(F.coalesce("cut", f"q{len(steps)}").alias("cut"), F.get(steps_, F.col("i")).alias("quantile"))  # one row each

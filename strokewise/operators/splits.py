@@ -80,7 +80,7 @@ def allocated(rows: DataFrame, group: str, stratum: str, always: Column | None =
     for name, size in reversed(shares[1:]):
         own = F.greatest(F.lit(1), F.bround(F.col("_all") * size).cast("int"))
         taken = taken + own
-        choice = choice.when(F.col("_before") >= F.greatest(F.col("_all") - taken, F.lit(len(shares) - 1)), name)
+        choice = choice.when(F.col("_before") >= F.col("_all") - taken, name)
     chosen = placed.select("_s", "_g", choice.otherwise(shares[0][0]).alias("_part"))
     out = rows.join(chosen, ~F.col("_kept") & F.col(stratum).eqNullSafe(F.col("_s")) & F.col(group).eqNullSafe(F.col("_g")), "left")
     return out.withColumn("part", F.when(F.col("_kept"), shares[0][0]).otherwise(F.col("_part"))).drop("_s", "_g", "_part", "_kept")

@@ -1,6 +1,6 @@
 """Decisions that depend on what came before under the same key: in batch form.
 
-``strokewise.streaming.flows`` has the same rules for streams.
+``strokewise.streaming.ordered`` has the same rules for streams.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 
 
 def seen_recently(prints: DataFrame, value: str, at: str, order: list[str], ttl: float) -> DataFrame:
-    """The rows with whether their value came at most ttl before, anywhere; each sight counts anew.  Null values were never seen."""
+    """The rows with whether their value came at most ttl before, anywhere; each sight counts anew.  Null values were never seen, and take no part in the window."""
     before = F.lag(at).over(Window.partitionBy(value).orderBy(at, *order))
-    return prints.withColumn("seen", F.coalesce(F.col(value).isNotNull() & (F.col(at) - before <= ttl), F.lit(False)))
+    known = prints.where(F.col(value).isNotNull()).withColumn("seen", F.coalesce(F.col(at) - before <= ttl, F.lit(False)))
+    return known.unionByName(prints.where(F.col(value).isNull()).withColumn("seen", F.lit(False)))
 
 
 def consumed(tries: DataFrame, challenges: DataFrame, order: list[str]) -> DataFrame:
@@ -40,20 +41,40 @@ def delivery(batches: DataFrame, key: str, least_ratio: float = 0.35, least_corr
     return found.select(key, reason.isNull().alias("ok"), reason.alias("reason"), "n_batches")
 
 
+#: Marks of a key that are folded in one piece.
+BLOCK = 4_096
+
+
 def suspicion(marks: DataFrame, key: str, order: list[str], top: int = 30, threshold: int = 10) -> DataFrame:
     """(key, score, peak, flagged): a counter that rises and falls by `step` and never leaves 0..top; a null step sets it back to 0.
 
-    A session's marks are few; they are folded in order.
+    What a block of marks does to the counter is again a shift between two
+    bounds, so blocks are folded apart, where each begins follows from the
+    blocks before it, and no task folds all of a key's marks.
     """
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, "step"))), lambda x: x["step"])
-    start = F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("peak"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    rows = marks.select(key, number.alias("_n"), F.col("step").cast("long").alias("step")).withColumn("_block", F.floor(F.col("_n") / BLOCK))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("_n", "step"))), lambda x: x["step"])  # a block of marks
+    blocks = rows.groupBy(key, "_block").agg(steps.alias("s"))
+    long = lambda v: F.lit(v).cast("long")
+    clamp = lambda v, low, high: F.least(high, F.greatest(low, v))
+
+    def then(f: Column, shift: Column, low: Column, high: Column) -> Column:
+        return F.struct((f["shift"] + shift).alias("shift"), clamp(f["low"] + shift, low, high).alias("low"), clamp(f["high"] + shift, low, high).alias("high"))
+
+    nothing = F.struct(long(0).alias("shift"), long(0).alias("low"), long(top).alias("high"))
+    effect = F.aggregate("s", nothing, lambda f, x: F.when(x.isNull(), F.struct(long(0).alias("shift"), long(0).alias("low"), long(0).alias("high"))).otherwise(then(f, x, long(0), long(top))))
+    past = F.collect_list("f").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # one for each block
+    begin = F.aggregate("past", long(0), lambda now, f: clamp(now + f["shift"], f["low"], f["high"]))
+    blocks = blocks.withColumn("f", effect).withColumn("past", past).withColumn("begin", begin)
 
     def step(acc: Column, x: Column) -> Column:
-        now = F.when(x.isNull(), 0).otherwise(F.least(F.lit(top), F.greatest(F.lit(0), acc["now"] + x))).cast("long")
+        now = F.when(x.isNull(), long(0)).otherwise(clamp(acc["now"] + x, long(0), long(top)))
         return F.struct(now.alias("now"), F.greatest(acc["peak"], now).alias("peak"))
 
-    out = marks.groupBy(key).agg(F.aggregate(steps, start, step).alias("s"))
-    return out.select(key, F.col("s.now").alias("score"), F.col("s.peak").alias("peak"), (F.col("s.peak") >= threshold).alias("flagged"))
+    done = blocks.withColumn("s", F.aggregate("s", F.struct(F.col("begin").alias("now"), long(0).alias("peak")), step))
+    out = done.groupBy(key).agg(F.max_by("s.now", "_block").alias("score"), F.max("s.peak").alias("peak"))
+    return out.select(key, "score", "peak", (F.col("peak") >= threshold).alias("flagged"))
 
 
 def chained(receipts: DataFrame, key: str = "session") -> DataFrame:

@@ -1,11 +1,12 @@
-"""Registered queries of pairs of paths, and of aims joined to drags."""
+"""Registered queries of pairs of paths, of aims joined to drags, and of aims' and clocks' features."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strokewise.operators import pair_signals, segments
+from strokewise.operators import aim, evaluate, pair_signals, segments
 from strokewise.plans.catalog import EV, query, trace
 from strokewise.plans.records import six
 
@@ -61,3 +62,54 @@ def aim_drag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, CAST(run AS BIGINT) run, count(*) FILTER (part='aim') n_aim, count(*) FILTER (part='drag') n_drag, count(*) n_points, count(*)>=4 judgeable FROM s WHERE NOT seam GROUP BY 1,2""")
 def aim_drag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.joined_paths(_runs(spark, sf_dir), least=4)
+
+
+_PI = "pi()"
+AIM = f"""{EV}, c0 AS (SELECT *, coalesce((t-lag(t) OVER (PARTITION BY attempt_id ORDER BY seq)>100)::INT,0) cut FROM ev), b0 AS (SELECT attempt_id, seq, x, y, CAST(t AS DOUBLE) t, sum(cut) OVER (PARTITION BY attempt_id ORDER BY seq) burst FROM c0),
+b1 AS (SELECT *, row_number() OVER w-1 i, count(*) OVER q n, x-lag(x) OVER w dx, y-lag(y) OVER w dy, t-lag(t) OVER w gap, sqrt((x-last_value(x) OVER q)**2+(y-last_value(y) OVER q)**2) lft FROM b0 WINDOW w AS (PARTITION BY attempt_id, burst ORDER BY seq), q AS (PARTITION BY attempt_id, burst ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+b2 AS (SELECT *, n-1 m, i-1 j, sqrt(dx*dx+dy*dy) step, atan2(dy,dx) a, sqrt(dx*dx+dy*dy)/(greatest(gap,1e-6)/1000) speed FROM b1 WHERE n>=3),
+b3 AS (SELECT *, a-lag(a) OVER w raw, CASE WHEN i>=2 THEN (speed-lag(speed) OVER w)/greatest(gap/1000,1e-6) END accel, max(speed) OVER q top, first_value(lft) OVER q st FROM b2 WINDOW w AS (PARTITION BY attempt_id, burst ORDER BY seq), q AS (PARTITION BY attempt_id, burst ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+b4 AS (SELECT *, raw-2*{_PI}*floor((raw+{_PI})/(2*{_PI})) turn, CASE WHEN i>=3 THEN sign(accel)<>lag(sign(accel)) OVER w END flip, i>=2 AND speed>=lag(speed) OVER w AND speed>lead(speed) OVER w AND speed>0.25*top AND speed-min(speed) OVER (PARTITION BY attempt_id, burst ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)>0.15*top crest, lft/(st+1e-9) rest, CASE WHEN top<>0 THEN top ELSE 1e-9 END high FROM b3 WINDOW w AS (PARTITION BY attempt_id, burst ORDER BY seq)),
+b5 AS (SELECT *, min(CASE WHEN rest<=0.15 THEN i END) OVER (PARTITION BY attempt_id, burst) came FROM b4),
+af AS (SELECT attempt_id, CAST(burst AS BIGINT) burst, max_by(t,i)-min_by(t,i) duration_ms, CAST(max(n) AS DOUBLE) point_count, sum(step) path_length, max(st) straight_distance, max(high) peak_speed, avg(speed) mean_speed, min(CASE WHEN speed=top THEN j END)/max(greatest(m-1,1)) peak_at, avg((speed<0.2*high)::INT) slow_fraction, avg((speed>0.6*high)::INT) fast_fraction,
+ min(CASE WHEN rest<=0.5 THEN i END)/max(m) half_distance_at, max(CASE WHEN j=m-1 THEN speed END)/max(high) final_speed_ratio, max(CASE WHEN j=0 THEN speed END)/max(high) first_speed_ratio, avg(speed) FILTER (i>=1 AND j>=3*m//4)/(avg(speed) FILTER (i>=1 AND j<greatest(m//4,1))+1e-9) decel_ratio, CASE WHEN sum(step)>1e-9 THEN max(st)/sum(step) ELSE 0 END straightness,
+ stddev_pop(speed)/(avg(speed)+1e-9) speed_cv, stddev_pop(step)/(avg(step)+1e-9) step_len_cv, CAST(count(*) FILTER (crest) AS DOUBLE) submovement_count, avg(abs(turn)) turn_abs_mean, avg(turn) turn_signed_mean, stddev_pop(abs(turn))/(avg(abs(turn))+1e-9) turn_cv, stddev_pop(accel) accel_std, coalesce(avg(flip::INT),0) accel_sign_flips,
+ greatest(0,max(CASE WHEN i>=came THEN lft END))/(max(st)+1e-9) overshoot, quantile_cont(gap,0.5) interval_median_ms, stddev_pop(gap)/(avg(gap)+1e-9) interval_cv, avg((gap<=45)::INT) interval_at_floor FROM b5 GROUP BY 1,2)"""
+#: Features that a step of no time makes explode, shown as logarithms.
+_WILD = ("peak_speed", "mean_speed", "accel_std", "decel_ratio")
+_SHOWN = ", ".join(f"round({f'log10(1+{f})' if f in _WILD else f},6) {f}" for f in aim.FEATURES if f not in ("turn_signed_mean", "turn_cv"))
+
+
+@query(f"WITH {AIM} SELECT attempt_id, burst, {_SHOWN} FROM af")
+def aim_burst_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of aiming bursts; those of signed turns, which half turns make uncertain, are compared with numpy in the tests."""
+    out = aim.burst_features(_bursts(spark, sf_dir), ["attempt_id", "burst"])
+    shown = [F.log10(1 + F.col(f)).alias(f) if f in _WILD else F.col(f) for f in aim.FEATURES if f not in ("turn_signed_mean", "turn_cv")]
+    return six(out.select("attempt_id", "burst", *shown), "attempt_id", "burst")
+
+
+def _bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("attempt_id").orderBy("seq")
+    cut = F.coalesce((F.col("t") - F.lag("t").over(w) > 100).cast("int"), F.lit(0))
+    return trace(spark, sf_dir).withColumn("cut", cut).withColumn("burst", F.sum("cut").over(w))
+
+
+_MEDIANS = ("duration_ms", "point_count", "path_length", "straightness", "submovement_count", "peak_at", "slow_fraction", "interval_median_ms")
+
+
+@query(f"WITH {AIM}, u AS (SELECT unnest([{', '.join(chr(39) + f + chr(39) for f in _MEDIANS)}]) feature, unnest([{', '.join(_MEDIANS)}]) v FROM af) SELECT feature, round(quantile_cont(v,0.5),6) median FROM u GROUP BY 1")
+def aim_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of the bursts' features: what a plausible aim looks like."""
+    out = aim.burst_features(_bursts(spark, sf_dir), ["attempt_id", "burst"])
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in _MEDIANS]))
+    return six(evaluate.quantiles(out.select(named.alias("f")).select("f.*"), "v", [0.5], ("feature",)).withColumnRenamed("q0", "median"), "feature")
+
+
+@query(f"""WITH {EV}, g AS (SELECT attempt_id, seq, CAST(t-lag(t) OVER (PARTITION BY attempt_id ORDER BY t) AS DOUBLE) gap, x-lag(x) OVER w dx, y-lag(y) OVER w dy, t-lag(t) OVER w dt FROM ev WINDOW w AS (PARTITION BY attempt_id ORDER BY seq)),
+h AS (SELECT *, CASE WHEN dt>0 THEN sqrt(dx*dx+dy*dy)/dt WHEN dt IS NOT NULL THEN 0.0 END v FROM g), k AS (SELECT *, lag(v) OVER (PARTITION BY attempt_id ORDER BY seq) was FROM h),
+c AS (SELECT attempt_id, gap, count(*) n FROM g WHERE gap IS NOT NULL GROUP BY 1,2), ce AS (SELECT attempt_id, count(*) dv, max(n) mx, sum(n) n, CASE WHEN sum(n)>=2 AND count(*)>1 THEN (ln(sum(n))-sum(n*ln(n))/sum(n))/ln(count(*)) ELSE 0 END e FROM c GROUP BY 1),
+a AS (SELECT attempt_id, count(gap) n, avg(gap) mean, stddev_pop(gap) sd, count(v) nv, stddev_pop(v) sv, covar_pop(CASE WHEN was IS NOT NULL THEN v END, was) cv, stddev_pop(CASE WHEN was IS NOT NULL THEN v END)*stddev_pop(was) sp, count(DISTINCT CASE WHEN dx IS NOT NULL THEN {{'a':round_even(dx,3),'b':round_even(dy,3)}} END) st FROM k GROUP BY 1)
+SELECT a.attempt_id, round(CASE WHEN a.n>0 THEN dv/a.n ELSE 0 END,6) dt_distinct_ratio, round(coalesce(e,0),6) dt_entropy, round(CASE WHEN a.n>=2 AND mean<>0 THEN sd/mean ELSE 0 END,6) dt_cv, round(CASE WHEN a.n>0 THEN mx/a.n ELSE 0 END,6) dt_mode_share, round(CASE WHEN nv>=3 AND sv>0 AND sp>1e-300 THEN greatest(-1,least(1,cv/sp)) ELSE 0 END,6) speed_autocorr, round(CASE WHEN a.n>0 THEN 1-st/a.n ELSE 0 END,6) step_quantisation FROM a LEFT JOIN ce USING (attempt_id)""")
+def clock_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct, repeated and uneven gaps, speeds that follow each other, steps that come again."""
+    return six(aim.clock_features(trace(spark, sf_dir)), "attempt_id")

@@ -1,20 +1,13 @@
-"""The state rules of ``strokewise.operators.state`` on streams.
+"""Streams that need no rule of their own: idempotent ingest, counts per window, outcomes of known attempts.
 
-Every flow keeps its state per key, with a time limit, so state is spread over
-the executors and lets go of what is old.  Event times are in ``at`` (timestamp).
+Event times are in ``at`` (timestamp).  Rules that depend on what came before
+are in ``strokewise.streaming.ordered``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-Rows = Iterator[pd.DataFrame]
 
 
 def fresh(stream: DataFrame, ident: str, late: str = "1 hour") -> DataFrame:
@@ -27,80 +20,6 @@ def counted(stream: DataFrame, key: str, width: str = "1 minute", late: str = "1
     return stream.withWatermark("at", late).groupBy(key, F.window("at", width)).agg(F.count("*").alias("n"))
 
 
-def _in_order(rows: Rows) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values("at", kind="stable")
-
-
-def _stateful(stream: DataFrame, key: list[str], schema: T.StructType, state: str, each: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], ttl_ms: int, late: str) -> DataFrame:
-    """Rows of a key in order of time, together with its state; a key without rows for the time to live is forgotten."""
-
-    def run(name: tuple, rows: Rows, held: GroupState) -> Rows:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        out, now = each(_in_order(rows), held.get if held.exists else None)
-        held.update(now)
-        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), int(out["at"].max().timestamp() * 1000)) + ttl_ms)
-        yield out
-
-    return stream.withWatermark("at", late).groupBy(*key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _plus(stream: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*stream.schema.fields, *[T.StructField(n, t) for n, t in more]])
-
-
-def seen_recently(prints: DataFrame, value: str, ttl_s: float = 900.0, late: str = "1 hour") -> DataFrame:
-    """The rows with whether their value came at most ttl before, in any session; each sight counts anew."""
-
-    def each(rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        at = rows["at"].map(pd.Timestamp.timestamp)
-        before = at.shift(1)
-        if held:
-            before.iloc[0] = held[0]
-        return rows.assign(seen=(at - before <= ttl_s).fillna(False).astype(bool)), (float(at.iloc[-1]),)
-
-    known = prints.where(F.col(value).isNotNull())
-    return _stateful(known, [value], _plus(prints, ("seen", T.BooleanType())), "last double", each, int(ttl_s * 1000), late)
-
-
-def consumed(tries: DataFrame, challenges: DataFrame, late: str = "1 hour", ttl_s: float = 86_400.0) -> DataFrame:
-    """The tries with reason and accepted: the first valid one consumes its challenge.  tries: challenge, binding, at; challenges (static): challenge, bound, expires."""
-    joined = tries.join(challenges, "challenge", "left")
-
-    def each(rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        done, reasons = bool(held and held[0]), []
-        for r in rows.itertuples():
-            if pd.isna(r.expires):
-                reasons.append("challenge_not_found")
-            elif done:
-                reasons.append("challenge_already_consumed")
-            elif r.expires <= r.at:
-                reasons.append("challenge_expired")
-            elif r.binding != r.bound:
-                reasons.append("challenge_binding_invalid")
-            else:
-                done = True
-                reasons.append("consumed")
-        return rows.assign(reason=reasons, accepted=[x == "consumed" for x in reasons]), (done,)
-
-    return _stateful(joined, ["challenge"], _plus(joined, ("reason", T.StringType()), ("accepted", T.BooleanType())), "done boolean", each, int(ttl_s * 1000), late)
-
-
-def trailing(attempts: DataFrame, key: str = "session", window_s: float = 60.0, most: int = 50, late: str = "1 hour") -> DataFrame:
-    """The attempts with how many of their session came in the window before them (its newest ``most`` at most)."""
-
-    def each(rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        past, counts = list(held[0]) if held else [], []
-        for at in rows["at"].map(pd.Timestamp.timestamp):
-            past = [p for p in past if at - p <= window_s][-most:]
-            counts.append(len(past))
-            past.append(at)
-        return rows.assign(recent=counts), (past,)
-
-    return _stateful(attempts, [key], _plus(attempts, ("recent", T.LongType())), "past array<double>", each, int(window_s * 1000), late)
-
-
 def with_prediction(outcomes: DataFrame, predictions: DataFrame, ident: str = "attempt_id") -> DataFrame:
     """Outcomes whose attempt has a stored prediction; others are dropped."""
     return outcomes.join(predictions.select(ident).distinct(), ident, "left_semi")

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from strokewise.plans import catalog, records, shapes, similarity  # noqa: F401  these register their queries
+from strokewise.plans import calibration, catalog, records, shapes, similarity  # noqa: F401  these register their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

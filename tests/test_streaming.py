@@ -35,24 +35,6 @@ def test_each_id_passes_once(run):
     assert sorted(r.id for r in made) == ["a", "b", "c"]
 
 
-def test_fingerprints_are_remembered_across_batches(run):
-    made = run([[("f", "s1", at(0)), ("g", "s1", at(5))], [("f", "s2", at(800)), ("g", "s2", at(1000))], [("f", "s3", at(1600))]], "print string, session string, at timestamp", lambda s: flows.seen_recently(s, "print", 900))
-    assert {(r.print, r.session): r.seen for r in made} == {("f", "s1"): False, ("g", "s1"): False, ("f", "s2"): True, ("g", "s2"): False, ("f", "s3"): True}
-
-
-def test_a_challenge_is_consumed_once(spark, run):
-    known = spark.createDataFrame([("c1", "x", at(100)), ("c2", "y", at(10))], "challenge string, bound string, expires timestamp")
-    rows = [[("c1", "z", at(0)), ("c1", "x", at(1)), ("c2", "y", at(20))], [("c1", "x", at(2)), ("c3", "x", at(3))]]
-    made = run(rows, "challenge string, binding string, at timestamp", lambda s: flows.consumed(s, known))
-    assert sorted((r.challenge, r.at.second, r.reason) for r in made) == [("c1", 0, "challenge_binding_invalid"), ("c1", 1, "consumed"), ("c1", 2, "challenge_already_consumed"), ("c2", 20, "challenge_expired"), ("c3", 3, "challenge_not_found")]
-    assert sum(r.accepted for r in made) == 1
-
-
-def test_trailing_counts(run):
-    made = run([[("s", at(0)), ("s", at(10)), ("t", at(11))], [("s", at(60)), ("s", at(130))]], "session string, at timestamp", lambda s: flows.trailing(s))
-    assert sorted((r.session, r.at, r.recent) for r in made) == [("s", at(0), 0), ("s", at(10), 1), ("s", at(60), 2), ("s", at(130), 0), ("t", at(11), 0)]
-
-
 def test_outcomes_need_a_prediction(spark, run):
     known = spark.createDataFrame([("a",)], "attempt_id string")
     made = run([[("a", at(0)), ("b", at(1))]], "attempt_id string, at timestamp", lambda s: flows.with_prediction(s, known))
