@@ -50,11 +50,11 @@ def average_precision(rows: DataFrame, human: str, score: str) -> DataFrame:
     return c.agg(F.sum(F.col("humans") * h / (h + b)).alias("s"), F.sum("humans").alias("n")).select(share(F.col("s"), F.col("n")).alias("average_precision"))
 
 
-def quantiles(rows: DataFrame, value: str, at: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, q0, q1, ...): exact quantiles, linear between ranks, of each group's values; nulls have no rank.
+def quantile_rows(rows: DataFrame, value: str, at: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, i, quantile): exact quantiles, linear between ranks, of each group's values; i numbers ``at``, and nulls have no rank.
 
     From counts per value and their running sums over ranges, so that no task
-    holds a group's values.
+    holds a group's values; a value passes on only the ranks that it takes.
     """
     held = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
     totals = held.groupBy(*by).agg(F.sum("_c").alias("_n")).withColumnsRenamed({b: f"_of_{b}" for b in by})
@@ -66,11 +66,20 @@ def quantiles(rows: DataFrame, value: str, at: list[float], by: tuple[str, ...]
         ranked = ranked.join(totals, same)
     else:
         ranked = ranked.crossJoin(F.broadcast(totals))  # one row
-    place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
-    on = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col("_v")))
-    out = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *[f(place(q)).alias(f"_{k}{i}") for i, q in enumerate(at) for k, f in (("l", lambda p: on(F.floor(p))), ("h", lambda p: on(F.ceil(p))))])
-    share_ = lambda q: place(q) - F.floor(place(q))
-    return out.select(*by, *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * share_(q)).alias(f"q{i}") for i, q in enumerate(at)])
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(at)])
+    mine = lambda k: (F.col("_below") <= k) & (k < F.col("_below") + F.col("_c"))
+    place = lambda p: (F.col("_n") - 1) * p["q"]
+    taken = F.filter(asked, lambda p: mine(F.floor(place(p))) | mine(F.ceil(place(p))))
+    each = ranked.select(*by, "_v", "_n", "_below", "_c", F.explode(taken).alias("p"))
+    on = lambda f: F.max(F.when(mine(f(place(F.col("p")))), F.col("_v")))
+    out = each.groupBy(*by, F.col("p.i").alias("i")).agg(on(F.floor).alias("_l"), on(F.ceil).alias("_h"), F.max(place(F.col("p"))).alias("_p"))
+    return out.select(*by, "i", (F.col("_l") + (F.col("_h") - F.col("_l")) * (F.col("_p") - F.floor("_p"))).alias("quantile"))
+
+
+def quantiles(rows: DataFrame, value: str, at: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, q0, q1, ...): the same, with a column for each of ``at``; one row even for no values without ``by``."""
+    each = quantile_rows(rows, value, at, by).groupBy(*by)
+    return each.agg(*[F.max(F.when(F.col("i") == i, F.col("quantile"))).alias(f"q{i}") for i in range(len(at))])
 
 
 def separation(rows: DataFrame, human: str, features: list[str]) -> DataFrame:
@@ -218,18 +227,17 @@ def common_point(rows: DataFrame, score: str, rejected: float) -> DataFrame:
 def density_cut(distances: DataFrame, person: str, distance: str, pooled: float = 0.03, each: float = 0.05, fallback: float = 0.97) -> DataFrame:
     """(cut, quantile): the strictest of 120 quantiles of the distances, from 0.8 to 0.999, beyond which lie few enough of all and of each person; else the fallback quantile and null."""
     steps = [0.80 + i * (0.999 - 0.80) / 119 for i in range(120)]
-    cuts = quantiles(distances, distance, [*steps, fallback])
-    named = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"q{i}").alias("cut")) for i in range(len(steps))]))
-    grid = cuts.select(named.alias("g"), F.col(f"q{len(steps)}").alias("rest")).select("g.*", "rest")
-    held = distances.where(F.col(distance).isNotNull()).groupBy(person).agg(F.count("*").alias("n"))
-    # which cuts a distance lies beyond is a prefix of them: one row for each person and number of cuts
-    inner = F.array(*[F.col(f"q{i}") for i in range(len(steps))])
-    beyond = distances.where(F.col(distance).isNotNull()).crossJoin(F.broadcast(cuts)).select(person, F.size(F.filter(inner, lambda c: F.col(distance) > c)).alias("k")).groupBy(person, "k").agg(F.count("*").alias("c"))  # one row of cuts
-    over = beyond.join(held.withColumnRenamed(person, "_p"), F.col(person).eqNullSafe(F.col("_p"))).join(F.broadcast(grid), F.col("i") < F.col("k"), "right")  # 120 rows
-    per = over.groupBy("i", "cut", "rest", "_p", "n").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
-    found = per.groupBy("i", "cut", "rest").agg(F.sum("c").alias("c"), F.coalesce(F.max(F.col("c") / F.col("n")), F.lit(0.0)).alias("worst"))
+    known = distances.where(F.col(distance).isNotNull())
+    cuts = quantile_rows(known, distance, [*steps, fallback])  # 121 rows
+    held = known.groupBy(F.col(person).alias("_p")).agg(F.count("*").alias("n"))
+    # the cuts that a distance lies beyond are the first ones: a row for each person and number of cuts
+    one = cuts.where(F.col("i") < len(steps)).agg(F.array_sort(F.collect_list("quantile")).alias("_cuts"))
+    beyond = known.crossJoin(F.broadcast(one)).select(F.col(person).alias("_q"), F.size(F.filter("_cuts", lambda c: F.col(distance) > c)).alias("k"))  # one row of cuts
+    beyond = beyond.groupBy("_q", "k").agg(F.count("*").alias("c"))
+    over = beyond.where("k > 0").select("_q", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).groupBy("_q", "i").agg(F.sum("c").alias("c"))
+    found = over.join(held, F.col("_q").eqNullSafe(F.col("_p"))).groupBy("i").agg(F.sum("c").alias("c"), F.max(F.col("c") / F.col("n")).alias("worst"))
     total = held.agg(F.sum("n").alias("all"))
-    ok = found.crossJoin(F.broadcast(total)).where((F.col("c") <= pooled * F.col("all")) & (F.col("worst") <= each))  # one row
-    best = ok.agg(F.min_by("cut", "i").alias("cut"), F.min("i").alias("i"))
-    steps_ = F.array(*[F.lit(x) for x in steps])
-    return best.crossJoin(F.broadcast(cuts)).select(F.coalesce("cut", f"q{len(steps)}").alias("cut"), F.get(steps_, F.col("i")).alias("quantile"))  # one row each
+    grid = cuts.join(F.broadcast(found), "i", "left").crossJoin(F.broadcast(total))  # 120 rows, and one
+    ok = (F.col("i") < len(steps)) & (F.coalesce("c", F.lit(0)) <= pooled * F.col("all")) & (F.coalesce("worst", F.lit(0.0)) <= each)
+    best = grid.agg(F.min(F.when(ok, F.col("i"))).alias("i"), F.min_by("quantile", F.when(ok, F.col("i"))).alias("cut"), F.max(F.when(F.col("i") == len(steps), F.col("quantile"))).alias("rest"))
+    return best.select(F.when(F.col("i").isNotNull(), F.col("cut")).otherwise(F.col("rest")).alias("cut"), F.get(F.array(*[F.lit(x) for x in steps]), F.col("i")).alias("quantile"))

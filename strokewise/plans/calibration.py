@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,12 +123,16 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.basic(rows).join(features.intervals(rows), "attempt_id", "left").join(people, "attempt_id")
 
 
-def bundle(spark: SparkSession, sf_dir: str, folds: int = 3, kind: str = "random_forest") -> tuple[scorers.Bundle, DataFrame]:
-    """A fitted bundle whose threshold comes from out-of-fold scores, and these scores."""
-    rows = calibrate.folds(_features(spark, sf_dir), "user_id", "human", folds)
+def bundle(spark: SparkSession, sf_dir: str, folds: int = 3, kind: str = "random_forest", trees: int = 20, depth: int = 5) -> tuple[scorers.Bundle, DataFrame]:
+    """A fitted bundle whose threshold comes from out-of-fold scores, and the rows it was fitted on.
+
+    Features are kept while the fits read them again and again.
+    """
+    rows = calibrate.folds(_features(spark, sf_dir), "user_id", "human", folds).persist(StorageLevel.MEMORY_AND_DISK)
+    size = {"trees": trees, "depth": depth}
 
     def fit(train: DataFrame, fold: int):
-        made = {v: scorers.fit(train, f, kind, seed=42 + fold) for v, f in VIEWS.items()}
+        made = {v: scorers.fit(train, f, kind, seed=42 + fold, **size) for v, f in VIEWS.items()}
 
         def score(held: DataFrame) -> DataFrame:
             for v, f in VIEWS.items():
@@ -138,16 +143,16 @@ def bundle(spark: SparkSession, sf_dir: str, folds: int = 3, kind: str = "random
 
     scores = calibrate.out_of_fold(rows, folds, fit).select("attempt_id", "user_id", "human", "fold", "score")
     chosen = calibrate.threshold(calibrate.counts(scores, "human", "score", "fold"), 0.05, per=(("fold",),)).first()["threshold"]
-    models = {v: scorers.fit(rows, f, kind) for v, f in VIEWS.items()}
+    models = {v: scorers.fit(rows, f, kind, **size) for v, f in VIEWS.items()}
     veto = density.fit(rows.where("human"), tuple(n for f in VIEWS.values() for n in f), sample=5_000, trees=100)
     floor = evaluate.quantiles(veto.scored(rows.where("human").select("attempt_id", *veto.names), "d"), "d", [0.02]).first()["q0"]
-    return scorers.Bundle(models, VIEWS, float(chosen), kind, "v1", veto=veto, veto_below=float(floor)), scores
+    return scorers.Bundle(models, VIEWS, float(chosen), kind, "v1", veto=veto, veto_below=float(floor)), rows
 
 
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts scored by a trained bundle: the least of two views, vetoed where no humans are; checked in the tests."""
-    made, _ = bundle(spark, sf_dir)
-    return scorers.scored(_features(spark, sf_dir), made).select("attempt_id", "human_score", "bot_risk_score", "prediction", "bot_decision")
+    made, rows = bundle(spark, sf_dir)
+    return scorers.scored(rows, made).select("attempt_id", "human_score", "bot_risk_score", "prediction", "bot_decision")
 
 
 def density_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,12 +170,31 @@ def path_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.fingerprints(trace(spark, sf_dir)).select("attempt_id", "fingerprint")
 
 
-@query(f"""WITH {PRINTS}, pr AS (SELECT f.attempt_id, h.fingerprint=f.fingerprint ex, abs(h.duration-f.duration)<=2 rd, abs(h.end_x-f.end_x)<=50 AND abs(h.end_y-f.end_y)<=50 re, f.at_us-h.at_us<=86400000000 rc, row_number() OVER (PARTITION BY f.attempt_id ORDER BY h.at_us DESC, h.ano DESC) rk FROM fp f JOIN fp h ON f.user_id=h.user_id AND h.ano<f.ano AND f.at_us-h.at_us BETWEEN 0 AND 864000000000)
-, g AS (SELECT attempt_id, bool_or(ex) ex, count(*) FILTER (rd) rd, count(*) FILTER (re) re, count(*) FILTER (rc) rc FROM pr WHERE rk<=50 GROUP BY 1)
-SELECT fp.attempt_id, coalesce(ex,false) exact_replay_detected, coalesce(rd,0) repeated_duration_count, coalesce(re,0) repeated_endpoint_count, coalesce(rc,0) recent_attempt_count, round(coalesce(rc,0)*60000000.0/86400000000,6) attempts_per_minute FROM fp LEFT JOIN g USING (attempt_id)""")
+#: Paths at 32 even steps of arc length, around their mean and of unit norm.
+SHAPES = """z0 AS (SELECT user_id, ano, attempt_id, seq, x, y, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2) s FROM ev WHERE isfinite(x) AND isfinite(y) WINDOW w AS (PARTITION BY attempt_id ORDER BY seq)), z1 AS (SELECT *, sum(coalesce(s,0)) OVER (PARTITION BY attempt_id ORDER BY seq) arc FROM z0 WHERE s IS NULL OR s>1e-12),
+z2 AS (SELECT *, lead(arc) OVER w na, lead(x) OVER w nx, lead(y) OVER w ny, max(arc) OVER (PARTITION BY attempt_id) tot FROM z1 WINDOW w AS (PARTITION BY attempt_id ORDER BY seq)),
+z3 AS (SELECT attempt_id, i, max_by({'a':arc,'n':na,'x':x,'y':y,'u':nx,'v':ny},arc) g, any_value(tot) tot FROM z2, range(32) r(i) WHERE na IS NOT NULL AND tot>0 AND arc<=i*tot/31 GROUP BY 1,2),
+z4 AS (SELECT attempt_id, i, g.x+least(1,greatest(0,(i*tot/31-g.a)/(g.n-g.a)))*(g.u-g.x) px, g.y+least(1,greatest(0,(i*tot/31-g.a)/(g.n-g.a)))*(g.v-g.y) py FROM z3), z5 AS (SELECT attempt_id, i, px-avg(px) OVER w px, py-avg(py) OVER w py FROM z4 WINDOW w AS (PARTITION BY attempt_id)),
+un AS (SELECT attempt_id, i, px/sqrt(sum(px*px+py*py) OVER w) px, py/sqrt(sum(px*px+py*py) OVER w) py FROM z5 WINDOW w AS (PARTITION BY attempt_id))"""
+#: The greatest similarity of pairs (attempt_id, source).
+LIKE = """l0 AS (SELECT p.attempt_id, p.source, sum(a.px*b.px) xx, sum(a.px*b.py) xy, sum(a.py*b.px) yx, sum(a.py*b.py) yy FROM pairs p JOIN un a ON a.attempt_id=p.attempt_id JOIN un b ON b.attempt_id=p.source AND b.i=a.i GROUP BY 1,2),
+lk AS (SELECT attempt_id, max(1/(1+4*sqrt(greatest(2-2*sqrt(greatest(xx*xx+xy*xy+yx*yx+yy*yy+2*abs(xx*yy-xy*yx),0)),0)))) best FROM l0 GROUP BY 1)"""
+
+
+@query(f"""WITH {PRINTS}, {SHAPES}, pr AS (SELECT f.attempt_id, h.attempt_id source, h.fingerprint=f.fingerprint ex, abs(h.duration-f.duration)<=2 rd, abs(h.end_x-f.end_x)<=50 AND abs(h.end_y-f.end_y)<=50 re, f.at_us-h.at_us<=86400000000 rc, row_number() OVER (PARTITION BY f.attempt_id ORDER BY h.at_us DESC, h.ano DESC) rk FROM fp f JOIN fp h ON f.user_id=h.user_id AND h.ano<f.ano AND f.at_us-h.at_us BETWEEN 0 AND 864000000000)
+, g AS (SELECT attempt_id, bool_or(ex) ex, count(*) FILTER (rd) rd, count(*) FILTER (re) re, count(*) FILTER (rc) rc FROM pr WHERE rk<=50 GROUP BY 1), pairs AS (SELECT attempt_id, source FROM pr WHERE rk<=50), {LIKE}
+SELECT fp.attempt_id, coalesce(ex,false) exact_replay_detected, coalesce(rd,0) repeated_duration_count, coalesce(re,0) repeated_endpoint_count, coalesce(rc,0) recent_attempt_count, round(coalesce(rc,0)*60000000.0/86400000000,6) attempts_per_minute, round(coalesce(best,0),6) max_similarity FROM fp LEFT JOIN g USING (attempt_id) LEFT JOIN lk USING (attempt_id)""")
 def session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replay.history(replay.fingerprints(trace(spark, sf_dir)), 864_000_000_000, 50, end_tolerance=50.0, recent_us=86_400_000_000)
-    return out.withColumn("attempts_per_minute", rounded(F.col("attempts_per_minute")))
+    out = _history(trace(spark, sf_dir), end_tolerance=50.0, recent_us=86_400_000_000)
+    return out.select(*[c for c in out.columns if c not in ("attempts_per_minute", "max_similarity")], *[rounded(F.col(c)).alias(c) for c in ("attempts_per_minute", "max_similarity")])
+
+
+def _history(rows: DataFrame, window_us: int = 864_000_000_000, newest: int = 50, **how: float) -> DataFrame:
+    """The replay features of each attempt, the greatest similarity to its session's past among them."""
+    prints = replay.fingerprints(rows)
+    shapes = prints.select("user_id", "ano", "attempt_id", "at_us").join(replay.resampled(rows).select("attempt_id", "xs", "ys"), "attempt_id", "left")
+    like = replay.best_before(shapes.withColumn("u", replay.unit(F.col("xs"), F.col("ys"))), "user_id", ["at_us", "ano"], "attempt_id", newest, ("at_us", window_us))
+    return replay.history(prints, window_us, newest, **how).join(like.select("attempt_id", F.col("best").alias("max_similarity")), "attempt_id", "left").withColumn("max_similarity", F.coalesce("max_similarity", F.lit(0.0)))
 
 
 @query("""WITH d AS (SELECT doc_id, source, sha256(text) h FROM documents WHERE text IS NOT NULL) SELECT doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id)>1 seen_before FROM d""")
@@ -337,7 +356,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From events to explained decisions: gate, features, history, fusion; one row per attempt."""
     rows = trace(spark, sf_dir)
     gated = _gated(spark, sf_dir, defects=False).select("attempt_id", (F.col("status") == "rejected").alias("quality_rejected"))
-    past = replay.history(replay.fingerprints(rows), 864_000_000_000, 50).join(replay.similarity(replay.resampled(rows), 5), "attempt_id", "left")
+    past = _history(rows)
     joined = features.basic(rows).select("attempt_id", "linearity").join(gated, "attempt_id").join(past, "attempt_id")
-    joined = joined.withColumn("human_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("linearity")))).withColumn("similarity", F.coalesce("max_similarity", F.lit(0.0)))
+    joined = joined.withColumn("human_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("linearity")))).withColumnRenamed("max_similarity", "similarity")
     return risk.fuse(joined).select("attempt_id", "risk_score", "risk_level", "action", "reasons")

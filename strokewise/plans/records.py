@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strokewise.operators import evaluate, filters, learning, replay, state
-from strokewise.plans.catalog import _ORDER, EV, LEARN, PRINTS, SCORED, _answers, query, scored, trace
+from strokewise.plans.catalog import _ORDER, EV, LEARN, LIKE, PRINTS, SCORED, SHAPES, _answers, query, scored, trace
 from strokewise.sources.adapters import HEIGHT, WIDTH, rounded, table
 
 KINDS = ("pointerdown", "pointermove", "pointerup", "pointercancel", "aimmove")
@@ -306,10 +306,12 @@ def diagnosis_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.diagnosis_text(learning.weak_concepts(_answers(spark, sf_dir), F.lit("1998-12-01").cast("date"), _ORDER))
 
 
+@query(f"""WITH {EV}, {SHAPES}, o AS (SELECT user_id, attempt_id, row_number() OVER (PARTITION BY user_id ORDER BY ano) rn FROM (SELECT DISTINCT user_id, ano, attempt_id FROM ev) JOIN (SELECT DISTINCT attempt_id FROM un) USING (attempt_id)), pairs AS (SELECT a.attempt_id, b.attempt_id source FROM o a JOIN o b ON a.user_id=b.user_id AND b.rn BETWEEN a.rn-5 AND a.rn-1), {LIKE}
+SELECT o.attempt_id, round(coalesce(best,0),6) max_similarity, least(rn-1,5) compared FROM o LEFT JOIN lk USING (attempt_id)""")
 def path_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greatest similarity of each path to its person's previous five; checked against numpy in the tests."""
+    """Greatest similarity of each path to its person's previous five."""
     return six(replay.similarity(replay.resampled(trace(spark, sf_dir)), 5), "attempt_id", "compared")
 
 
-for _f in (recommendations, diagnosis_text, path_similarity):
+for _f in (recommendations, diagnosis_text):
     query()(_f)
