@@ -241,3 +241,42 @@ def density_cut(distances: DataFrame, person: str, distance: str, pooled: float
     ok = (F.col("i") < len(steps)) & (F.coalesce("c", F.lit(0)) <= pooled * F.col("all")) & (F.coalesce("worst", F.lit(0.0)) <= each)
     best = grid.agg(F.min(F.when(ok, F.col("i"))).alias("i"), F.min_by("quantile", F.when(ok, F.col("i"))).alias("cut"), F.max(F.when(F.col("i") == len(steps), F.col("quantile"))).alias("rest"))
     return best.select(F.when(F.col("i").isNotNull(), F.col("cut")).otherwise(F.col("rest")).alias("cut"), F.get(F.array(*[F.lit(x) for x in steps]), F.col("i")).alias("quantile"))
+
+
+def shadow_totals(outcomes: DataFrame, action: str, passed: Column) -> DataFrame:
+    """One row: outcomes, those that would not have been allowed, and their share; the parts by action as an array in order."""
+    each = outcomes.groupBy(F.col(action).alias("action")).agg(F.count("*").alias("n"), F.count_if(passed).alias("passed"))
+    one = F.struct("action", "n", "passed", (F.col("n") - F.col("passed")).alias("failed"), F.round(F.col("passed") / F.col("n"), 6).alias("pass_rate"))
+    out = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.coalesce(F.col("action") != "allow", F.lit(True)), F.col("n"))), F.lit(0)).alias("would_step_up"), F.array_sort(F.collect_list(one)).alias("actions"))  # a few actions
+    return out.withColumn("would_step_up_rate", F.round(share(F.col("would_step_up"), F.col("total")), 6))
+
+
+#: Rows and groups that training needs.
+NEEDED = {"human_samples": 500, "bot_samples": 500, "human_participants": 10, "bot_families": 3}
+
+
+def readiness(rows: DataFrame, features: tuple[str, ...], version: str, needed: dict[str, int] | None = None) -> DataFrame:
+    """One row: whether labelled rows are enough to train on, what there is, and what is missing.
+
+    rows: label, participant, family, label_source, feature_schema_version and
+    features.  A feature cell is bad if it is null, no number or not finite.
+    """
+    needed = needed or NEEDED
+    human, bot = F.col("label") == "human", F.col("label") == "bot"
+    said = lambda c: F.when(F.col(c) != "", F.col(c))
+    bad = lambda c: (F.col(c).cast("double").isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).cast("long")
+    cells = sum((bad(f) for f in features if f in rows.columns), F.lit(0).cast("long"))
+    found = rows.agg(
+        F.count_if(human).alias("human_samples"),
+        F.count_if(bot).alias("bot_samples"),
+        F.count_distinct(F.when(human, said("participant"))).alias("human_participants"),
+        F.count_distinct(F.when(bot, said("family"))).alias("bot_families"),
+        F.count_if(said("label_source").isNull()).alias("label_source_missing"),
+        F.count_if(F.coalesce(F.col("feature_schema_version") != version, F.lit(False))).alias("schema_mismatch"),
+        F.coalesce(F.sum(cells), F.lit(0)).alias("bad_cells"),
+    )
+    h, b = F.col("human_samples"), F.col("bot_samples")
+    lacking = [F.when(F.col(k) < n, F.concat(F.lit(f"{k}:"), (F.lit(n) - F.col(k)).cast("string"))) for k, n in needed.items()]
+    lacking += [F.when(F.col(k) > 0, F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in ("schema_mismatch", "bad_cells")]
+    out = found.withColumn("imbalance", F.when((h > 0) & (b > 0), F.round(F.greatest(h, b) / F.least(h, b), 4))).withColumn("missing", F.array_compact(F.array(*lacking)))
+    return out.withColumns({"ready": F.size("missing") == 0, "participant_split_possible": F.col("human_participants") >= 2, "generator_split_possible": F.col("bot_families") >= 2})

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokewise.operators import calibrate, density, evaluate, features, scorers, splits
+from strokewise.operators import calibrate, clusters, density, evaluate, features, scorers, splits
 from strokewise.plans.catalog import EV, SCORED, query, scored, trace
 from strokewise.plans.records import six
 from strokewise.sources.adapters import table
@@ -162,5 +162,35 @@ def density_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(made.scored(rows.select("vec_id", *made.names), "density").select("vec_id", "density"), "vec_id")
 
 
-for _f in (model_scores, density_scores):
+@query("""WITH a AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'allow' WHEN 'O' THEN 'step_up' ELSE 'step_up_and_rate_limit' END act, o_totalprice>200000 ok FROM orders), g AS (SELECT act, count(*) n, count(*) FILTER (ok) p FROM a GROUP BY 1)
+SELECT sum(n)::BIGINT total, sum(n) FILTER (act<>'allow')::BIGINT would_step_up, round(sum(n) FILTER (act<>'allow')/sum(n),6) would_step_up_rate, string_agg(act||':'||n||':'||p||':'||(n-p), ';' ORDER BY act) actions FROM g""")
+def shadow_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a policy would have done with all outcomes, and how they ended."""
+    rows = table(spark, sf_dir, "orders").withColumn("act", F.when(F.col("o_orderstatus") == "F", "allow").when(F.col("o_orderstatus") == "O", "step_up").otherwise("step_up_and_rate_limit"))
+    out = evaluate.shadow_totals(rows, "act", F.col("o_totalprice") > 200000)
+    text = F.array_join(F.transform("actions", lambda a: F.concat_ws(":", a["action"], a["n"].cast("string"), a["passed"].cast("string"), a["failed"].cast("string"))), ";")
+    return out.select("total", "would_step_up", "would_step_up_rate", text.alias("actions"))
+
+
+@query(f"""WITH {LABELLED}, r AS (SELECT lb.*, CASE WHEN doc_id%13=0 THEN NULL ELSE 'owner' END ls, CASE WHEN doc_id%50=0 THEN '0.9' WHEN doc_id%7=0 THEN NULL ELSE '1.0' END v, CASE WHEN doc_id%100=1 THEN NULL ELSE n_chars END f1, CASE WHEN doc_id%90=2 THEN 'NaN'::DOUBLE ELSE n_chars/7.0 END f2 FROM lb JOIN documents USING (doc_id)),
+c AS (SELECT count(*) FILTER (label='human') hs, count(*) FILTER (label='bot') bs, count(DISTINCT CASE WHEN label='human' AND participant<>'' THEN participant END) hp, count(DISTINCT CASE WHEN label='bot' AND family<>'' THEN family END) bf, count(*) FILTER (ls IS NULL) lm, count(*) FILTER (v<>'1.0') sm, count(*) FILTER (f1 IS NULL)+count(*) FILTER (f2 IS NULL OR isnan(f2)) bc FROM r)
+SELECT hs human_samples, bs bot_samples, hp human_participants, bf bot_families, lm label_source_missing, sm schema_mismatch, bc bad_cells, round(greatest(hs,bs)/nullif(least(hs,bs),0),4) imbalance, concat_ws(';', CASE WHEN hs<500 THEN 'human_samples:'||(500-hs) END, CASE WHEN bs<500 THEN 'bot_samples:'||(500-bs) END, CASE WHEN hp<10 THEN 'human_participants:'||(10-hp) END, CASE WHEN bf<3 THEN 'bot_families:'||(3-bf) END, CASE WHEN sm>0 THEN 'schema_mismatch:'||sm END, CASE WHEN bc>0 THEN 'bad_cells:'||bc END) missing FROM c""")
+def training_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether labelled documents would be enough to train on, and what they lack."""
+    d = F.col("doc_id")
+    rows = labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select(
+        "label", "participant", "family", F.when(d % 13 != 0, "owner").alias("label_source"), F.when(d % 50 == 0, "0.9").when(d % 7 != 0, "1.0").alias("feature_schema_version"), F.when(d % 100 != 1, F.col("n_chars")).alias("f1"), F.when(d % 90 == 2, float("nan")).otherwise(F.col("n_chars") / 7.0).alias("f2")
+    )
+    out = evaluate.readiness(rows, ("f1", "f2"), "1.0")
+    return out.select("human_samples", "bot_samples", "human_participants", "bot_families", "label_source_missing", "schema_mismatch", "bad_cells", "imbalance", F.concat_ws(";", "missing").alias("missing"))
+
+
+def weak_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of vectors among the weak half; checked for the same labels under any partitioning in the tests."""
+    rows = table(spark, sf_dir, "embeddings").where("label >= 5").select("vec_id", (F.col("label") / 10.0).alias("score"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(6)])
+    made = clusters.clusters(rows, tuple(f"e{i}" for i in range(6)), 4, "vec_id")
+    return six(clusters.summary(made, "score", 0.7, ("e0", "e1")), "cluster", "count", "passed")
+
+
+for _f in (model_scores, density_scores, weak_clusters):
     query()(_f)

@@ -220,3 +220,22 @@ def test_out_of_fold_calibration(spark):
 def test_best_model(spark):
     rows = spark.createDataFrame([("a", 0.02, 0.8, 0.9, 3.0), ("b", 0.02, 0.8, 0.95, 3.0), ("c", 0.5, 1.0, 1.0, 1.0), ("d", 0.02, 0.8, 0.95, 1.0)], "model string, human_rejected double, bot_recall double, f1 double, inference_ms double")
     assert scorers.best_model(rows).first().model == "d" and scorers.best_model(rows.where("model = 'c'")).isEmpty()
+
+
+def test_clusters_are_the_same_under_any_partitioning(spark):
+    from strokewise.operators import clusters
+
+    rng = np.random.default_rng(12)
+    middle = np.array([[0, 0], [10, 0], [0, 10]])
+    rows = [(i, *map(float, middle[g] + rng.normal(size=2) * 0.5), g) for i, g in enumerate([0] * 30 + [1] * 20 + [2] * 10)]
+    table = spark.createDataFrame(rows, "id int, x double, y double, g int")
+    got = {r.id: r for r in clusters.clusters(table, ("x", "y"), 3, "id").collect()}
+    assert {(r.g, r.cluster) for r in got.values()} == {(0, 1), (1, 2), (2, 3)}
+    loose = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((200, 2)))], "id int, x double, y double")
+    once, again = ({r.id: r.cluster for r in clusters.clusters(t, ("x", "y", "missing"), 4, "id").collect()} for t in (loose, loose.repartition(7)))
+    assert once == again and set(once.values()) == {1, 2, 3, 4}
+    one = clusters.summary(clusters.clusters(table, ("x", "y"), 3, "id"), "x", 5.0, ("y",)).where("cluster = 2").first()
+    assert one["count"] == 20 and one.passed == 20 and one.score_median == pytest.approx(np.median([r[1] for r in rows if r[3] == 1]))
+    for k in (1, 61):
+        with pytest.raises(ValueError):
+            clusters.clusters(table, ("x",), k, "id")
