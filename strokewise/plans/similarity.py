@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strokewise.operators import aim, evaluate, pair_signals, segments
+from strokewise.operators import aim, evaluate, pair_signals, segments, vectors
 from strokewise.plans.catalog import EV, query, trace
 from strokewise.plans.records import six
+from strokewise.sources.adapters import HEIGHT, WIDTH
 
 #: Each path from its origin and of unit length, without repeated points.
 UNIT = f"""{EV}, q0 AS (SELECT user_id, ano, attempt_id, seq, x, y, lag(x) OVER w px, lag(y) OVER w py FROM ev WHERE x IS NOT NULL AND y IS NOT NULL WINDOW w AS (PARTITION BY attempt_id ORDER BY seq)),
@@ -113,3 +114,43 @@ SELECT a.attempt_id, round(CASE WHEN a.n>0 THEN dv/a.n ELSE 0 END,6) dt_distinct
 def clock_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct, repeated and uneven gaps, speeds that follow each other, steps that come again."""
     return six(aim.clock_features(trace(spark, sf_dir)), "attempt_id")
+
+
+POINTS = f"""{EV}, p0 AS (SELECT attempt_id, user_id, ano, list(x ORDER BY seq) xs, list(y ORDER BY seq) ys, list(CAST(t AS DOUBLE) ORDER BY seq) ts, count(*) n FROM ev WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1,2,3)"""
+_EVEN = lambda a, count: f"[{a}[CAST(floor(i*(n-1)/{count - 1}.0) AS INT)+1]+(i*(n-1)/{count - 1}.0-floor(i*(n-1)/{count - 1}.0))*({a}[CAST(least(floor(i*(n-1)/{count - 1}.0)+1,n-1) AS INT)+1]-{a}[CAST(floor(i*(n-1)/{count - 1}.0) AS INT)+1]) FOR i IN range({count})]"
+
+
+@query(f"""WITH {POINTS}, p1 AS (SELECT *, xs[n]-xs[1] vx, ys[n]-ys[1] vy, ts[n]-ts[1] sp FROM p0 WHERE n>=2), p2 AS (SELECT *, vx*vx+vy*vy q FROM p1),
+p3 AS (SELECT attempt_id, n, [CASE WHEN sqrt(q)<1e-9 THEN xs[k]-xs[1] ELSE ((xs[k]-xs[1])*vx+(ys[k]-ys[1])*vy)/q END FOR k IN range(1,n+1)] a, [CASE WHEN sqrt(q)<1e-9 THEN ys[k]-ys[1] ELSE ((ys[k]-ys[1])*vx-(xs[k]-xs[1])*vy)/q END FOR k IN range(1,n+1)] b, [CASE WHEN sp>1e-9 THEN (ts[k]-ts[1])/sp ELSE (k-1)/(n-1) END FOR k IN range(1,n+1)] c FROM p2),
+p4 AS (SELECT attempt_id, {_EVEN('a', 64)} a, {_EVEN('b', 64)} b, {_EVEN('c', 64)} c FROM p3) SELECT attempt_id, unnest(range(64)) i, round(unnest(a),6) x, round(unnest(b),6) y, round(unnest(c),6) t FROM p4""")
+def canonical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths from (0, 0) to (1, 0), in time from 0 to 1, a row for each of 64 points."""
+    held = pair_signals.paths(trace(spark, sf_dir), ["attempt_id"]).where(F.size("path.xs") >= 2)
+    made = held.select("attempt_id", vectors.canonical(F.col("path")).alias("p"))
+    rows = made.select("attempt_id", F.posexplode(F.arrays_zip("p.xs", "p.ys", "p.ts")).alias("i", "v"))
+    return six(rows.select("attempt_id", F.col("i").cast("long").alias("i"), F.col("v.xs").alias("x"), F.col("v.ys").alias("y"), F.col("v.ts").alias("t")), "attempt_id", "i")
+
+
+@query(f"""WITH {EV}, w0 AS (SELECT attempt_id, seq, least(1,greatest(0,x/500)) px, least(1,greatest(0,y/200)) py, CAST(max(t) OVER (PARTITION BY attempt_id ORDER BY seq)-first_value(t) OVER (PARTITION BY attempt_id ORDER BY seq) AS DOUBLE) pt FROM ev), w1 AS (SELECT attempt_id, count(*) n, list(px ORDER BY seq) a, list(py ORDER BY seq) b, list(pt ORDER BY seq) c FROM w0 GROUP BY 1 HAVING count(*)>=4),
+w2 AS (SELECT attempt_id, {_EVEN('a', 24)} a, {_EVEN('b', 24)} b, {_EVEN('c', 24)} c FROM w1) SELECT attempt_id, unnest(range(24)) i, round(unnest(a),6) x, round(unnest(b),6) y, round(unnest([ln(1+greatest(0,c[k]-c[greatest(k-1,1)])) FOR k IN range(1,25)]),6) gap FROM w2""")
+def attempt_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the box and logarithms of gaps, a row for each of 24 points."""
+    made = vectors.vectors(trace(spark, sf_dir), "attempt_id", WIDTH, HEIGHT, 24)
+    rows = made.select("attempt_id", F.posexplode(F.arrays_zip("xs", "ys", "gaps")).alias("i", "v"))
+    return six(rows.select("attempt_id", F.col("i").cast("long").alias("i"), F.col("v.xs").alias("x"), F.col("v.ys").alias("y"), F.col("v.gaps").alias("gap")), "attempt_id", "i")
+
+
+@query(f"""WITH {POINTS}, e AS (SELECT attempt_id, user_id, ano, n, {_EVEN('xs', 32)} a, {_EVEN('ys', 32)} b FROM p0 WHERE n>=2), m AS (SELECT *, [CASE WHEN list_max(a)-list_min(a)>1e-9 THEN (v-list_min(a))/(list_max(a)-list_min(a)) ELSE 0 END FOR v IN a] u, [CASE WHEN list_max(b)-list_min(b)>1e-9 THEN (v-list_min(b))/(list_max(b)-list_min(b)) ELSE 0 END FOR v IN b] v FROM e)
+SELECT q.attempt_id, p.attempt_id source, round(CASE WHEN k.n>=2 AND l.n>=2 THEN 1/(1+list_avg([sqrt((k.u[i]-l.u[i])**2+(k.v[i]-l.v[i])**2) FOR i IN range(1,33)])) ELSE 0 END,6) similarity FROM p0 q JOIN p0 p ON p.user_id=q.user_id AND p.ano=q.ano-1 LEFT JOIN m k ON k.attempt_id=q.attempt_id LEFT JOIN m l ON l.attempt_id=p.attempt_id""")
+def box_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each path against the one before it, axis by axis in its box."""
+    pairs = _pairs(spark, sf_dir, 1)
+    return six(pairs.select("attempt_id", "source", vectors.box_similarity(F.col("current"), F.col("path")).alias("similarity")), "attempt_id", "source")
+
+
+@query(f"""WITH {EV}, i AS (SELECT attempt_id, count(*) event_count, sha256(string_agg(seq||':'||kind||':'||CAST(round_even(t*1000000.0,0) AS BIGINT)||':'||CAST(round_even(x*1000000,0) AS BIGINT)||':'||CAST(round_even(y*1000000,0) AS BIGINT), ';' ORDER BY seq)) input_digest FROM ev GROUP BY 1),
+f AS (SELECT attempt_id, sha256('duration='||CAST((max(t)-min(t))*1000000 AS BIGINT)||';events='||count(*)*1000000) feature_digest FROM ev GROUP BY 1) SELECT * FROM i JOIN f USING (attempt_id)""")
+def scoring_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each attempt's events and of two of its features."""
+    rows = trace(spark, sf_dir)
+    return vectors.audit(rows, rows.groupBy("attempt_id").agg((F.max("t") - F.min("t")).alias("duration"), F.count("*").alias("events")))
