@@ -19,7 +19,7 @@ def test_degenerate_paths(spark):
     assert all(v.shape == (64, 3) for v in got.values())
     assert np.allclose(got["line"], got["turned"]) and np.allclose(got["line"][[0, -1]], [[0, 0, 0], [1, 0, 1]])
     assert (got["one"] == 0).all() and np.allclose(got["round"][[0, -1]], [[0, 0, 0], [0, 0, 1]]) and np.allclose(got["still"][:, :2], 0)
-    pairs = held.alias("a").crossJoin(held.alias("b")).select(F.col("a.attempt_id").alias("a"), F.col("b.attempt_id").alias("b"), vectors.box_similarity(F.col("a.path"), F.col("b.path")).alias("s"))
+    pairs = held.alias("l").crossJoin(held.alias("r")).select(F.col("l.attempt_id").alias("a"), F.col("r.attempt_id").alias("b"), vectors.box_similarity(F.col("l.path"), F.col("r.path")).alias("s"))
     like = {(r.a, r.b): r.s for r in pairs.collect()}
     assert like["line", "line"] == 1 and like["line", "one"] == like["nan", "nan"] == 0 and 0 < like["line", "round"] < 1 and like["still", "still"] == 1
     few = vectors.vectors(table.withColumn("t", F.col("t").cast("long")), "attempt_id", 10.0, 10.0, 5).collect()
