@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokewise.operators import calibrate, clusters, density, evaluate, features, scorers, splits
+from strokewise.operators import calibrate, clusters, density, evaluate, features, scorers, splits, study
 from strokewise.plans.catalog import EV, SCORED, query, scored, trace
 from strokewise.plans.records import six
 from strokewise.sources.adapters import table
@@ -192,5 +192,44 @@ def weak_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(clusters.summary(made, "score", 0.7, ("e0", "e1")), "cluster", "count", "passed")
 
 
+@query(f"""WITH {SCORED}, n AS (SELECT *, user_id%3 fold FROM (SELECT *, user_id%7>3 rep FROM a)), c AS (SELECT DISTINCT score c FROM n UNION SELECT 0.5 UNION SELECT 1.0), v AS (SELECT c, count(*) FILTER (NOT rep AND score>=c)/count(*) FILTER (NOT rep) f, count(*) FILTER (rep AND score>=c)/count(*) FILTER (rep) r FROM c, n GROUP BY 1),
+w AS (SELECT c, max(f) worst FROM (SELECT c, fold, count(*) FILTER (NOT rep AND score>=c)/count(*) FILTER (NOT rep) f FROM c, n GROUP BY 1,2) GROUP BY 1), k AS (SELECT 'pooled' rule, c, f, r FROM v WHERE f<=0.1 UNION ALL SELECT 'every_fold', c, f, r FROM v JOIN w USING (c) WHERE f<=0.1 AND worst<=0.1)
+SELECT rule, round(c,6) threshold, round(r,6) replay_recall, round(f,6) human_flagged FROM k QUALIFY row_number() OVER (PARTITION BY rule ORDER BY k.r DESC, k.c DESC)=1""")
+def replay_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From which similarity on attempts are called replays, within a budget of humans, of all or of each fold."""
+    rows = scored(spark, sf_dir).withColumns({"rep": F.col("user_id") % 7 > 3, "fold": F.col("user_id") % 3})
+    rule = lambda name, fold: study.replay_threshold(rows, "rep", "score", 0.1, fold).withColumn("rule", F.lit(name))
+    return six(rule("pooled", None).union(rule("every_fold", "fold")), "rule")
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT limit_, (SELECT avg((ano>=limit_)::INT) FROM a) f FROM range(1,200) t(limit_)) SELECT min(limit_) "limit", round(min_by(f,limit_),6) human_flagged FROM c WHERE f<=0.05""")
+def attempt_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest number of earlier attempts that few enough humans reach."""
+    return six(study.rate_limit(scored(spark, sf_dir), "ano", 0.05), "limit")
+
+
+@query(f"""WITH {SCORED}, b AS (SELECT *, 'm'||(user_id%5) model, CASE WHEN user_id%2=0 THEN 'replay_warp' ELSE 'f'||(ano%3) END family FROM a), t AS (SELECT model, avg((score<0.001+user_id%5*0.004)::INT) FILTER (human) hr, avg((score<0.97)::INT) FILTER (NOT human) br, avg(other) f1, avg(ano) ms FROM b GROUP BY 1),
+f AS (SELECT model, family, avg((score<0.98)::INT) FILTER (NOT human) br, avg((score<0.001)::INT) FILTER (human) hr FROM b GROUP BY 1,2), e AS (SELECT model, ano%2=0 fresh, avg((score>=0.95)::INT) FILTER (NOT human) asr FROM b GROUP BY 1,2),
+g AS (SELECT t.model, greatest(t.hr,(SELECT max(hr) FROM f WHERE f.model=t.model)) whr, t.hr, 1-t.br ka, coalesce(greatest((SELECT max(1-br) FROM f WHERE f.model=t.model),(SELECT max(asr) FROM e WHERE e.model=t.model)),1) wu, coalesce((SELECT max(1-br) FROM f WHERE f.model=t.model AND family='replay_warp'),1) ra, coalesce((SELECT min(br) FROM f WHERE f.model=t.model),0) lr, coalesce((SELECT avg(br) FROM f WHERE f.model=t.model),0) mr, (SELECT max(asr) FROM e WHERE e.model=t.model AND fresh) fa, f1, ms FROM t),
+h AS (SELECT *, ka<=0.05 AND wu<=0.1 AND ra<=0.05 ex FROM g WHERE whr<=0.03)
+SELECT row_number() OVER (ORDER BY ex DESC, wu, ka, mr DESC, f1 DESC, ms NULLS LAST, model) place, model, ex experiment, ex AND hr<=0.03 AND coalesce(fa<=0.05,false) shadow, ex AND hr<=0.01 AND coalesce(fa<=0.05,false) deployment, round(whr,6) worst_human_rejected, round(ka,6) known_asr, round(wu,6) worst_unseen_asr, round(ra,6) replay_asr, round(lr,6) least_recall, round(mr,6) mean_recall FROM h""")
+def model_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five stand-in models by gates, worst unseen bots and recall."""
+    rows = scored(spark, sf_dir).withColumns({"model": F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")), "family": F.when(F.col("user_id") % 2 == 0, "replay_warp").otherwise(F.concat(F.lit("f"), (F.col("ano") % 3).cast("string")))})
+    of = lambda side, test: F.avg(F.when(F.col("human") == F.lit(side), test.cast("double")))
+    tests = rows.groupBy("model").agg(of(True, F.col("score") < 0.001 + F.col("user_id") % 5 * 0.004).alias("human_rejected"), of(False, F.col("score") < 0.97).alias("bot_recall"), F.avg("other").alias("f1"), F.avg("ano").alias("ms"))
+    families = rows.groupBy("model", "family").agg(of(True, F.col("score") < 0.001).alias("human_rejected"), of(False, F.col("score") < 0.98).alias("bot_recall"))
+    external = rows.groupBy("model", (F.col("ano") % 2 == 0).alias("fresh")).agg(of(False, F.col("score") >= 0.95).alias("asr"))
+    return six(study.ranked_models(tests, families, external).withColumn("place", F.col("place").cast("long")), "place", "model", "experiment", "shadow", "deployment")
+
+
+@query(f"""WITH {SCORED}, al AS (SELECT DISTINCT user_id code, user_id%10 person FROM a WHERE user_id%4=1) SELECT coalesce(person,user_id) person, count(*) n, count(DISTINCT user_id) codes FROM a LEFT JOIN al ON code=user_id GROUP BY 1""")
+def people_of_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts by the person behind their code."""
+    rows = scored(spark, sf_dir)
+    aliases = rows.where("user_id % 4 = 1").select(F.col("user_id").alias("code"), (F.col("user_id") % 10).alias("person"))
+    return study.people(rows, aliases, "user_id").groupBy("person").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("codes"))
+
+
 for _f in (model_scores, density_scores, weak_clusters):
     query()(_f)
