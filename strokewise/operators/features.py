@@ -100,3 +100,29 @@ def normalised(trace: DataFrame, width: float, height: float) -> DataFrame:
     pct = F.percentile("speed", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     found = rows.groupBy("attempt_id").agg(F.sum("dist").alias("normalized_path_length"), pct.alias("p"), F.avg("turn").alias("turn_angle_mean"), F.stddev_pop("turn").alias("turn_angle_std"), F.count_if("begins").alias("dwell_burst_count"))
     return found.select("attempt_id", "normalized_path_length", *[F.col("p")[i].alias(f"normalized_speed_p{q}") for i, q in enumerate((10, 50, 90))], F.coalesce("turn_angle_mean", F.lit(0.0)).alias("turn_angle_mean"), F.coalesce("turn_angle_std", F.lit(0.0)).alias("turn_angle_std"), "dwell_burst_count")
+
+
+#: Counters that come with an attempt, and the features that have a stored column of their own.
+COUNTERS = ("regrab_count", "retry_count", "pointercancel_count", "empty_click_count", "failed_drop_count")
+STORED = ("event_count", "duration_ms", "total_distance", "displacement", "avg_speed", "speed_std", "avg_acceleration", "jerk_mean", "direction_changes", "linearity")
+
+
+def _whole(name: str) -> Column:
+    c = F.col(name).cast("double")
+    return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), c).otherwise(0.0)
+
+
+def counters(interactions: DataFrame, key: str = "attempt_id") -> DataFrame:
+    """(key, five interaction counters) as finite numbers; those that are missing, null or not finite are 0."""
+    return interactions.select(key, *[(_whole(c) if c in interactions.columns else F.lit(0.0)).alias(c) for c in COUNTERS])
+
+
+def stored(rows: DataFrame, version: str, key: str = "attempt_id") -> DataFrame:
+    """(key, feature_schema_version, the features with a column of their own, extra_features): a row as it is stored.
+
+    extra_features holds all of them by name; linearity's column stays within 0..1.
+    """
+    names = [c for c in rows.columns if c != key]
+    own = [F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))).alias(c) if c == "linearity" else F.col(c).cast("double").alias(c) for c in STORED if c in names]
+    every = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))])
+    return rows.select(key, F.lit(version).alias("feature_schema_version"), *own, every.alias("extra_features"))

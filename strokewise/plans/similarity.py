@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strokewise.operators import aim, evaluate, pair_signals, segments, vectors
+from strokewise.operators import aim, evaluate, features, pair_signals, segments, vectors
 from strokewise.plans.catalog import EV, query, trace
 from strokewise.plans.records import six
-from strokewise.sources.adapters import HEIGHT, WIDTH
+from strokewise.sources.adapters import HEIGHT, WIDTH, table
 
 #: Each path from its origin and of unit length, without repeated points.
 UNIT = f"""{EV}, q0 AS (SELECT user_id, ano, attempt_id, seq, x, y, lag(x) OVER w px, lag(y) OVER w py FROM ev WHERE x IS NOT NULL AND y IS NOT NULL WINDOW w AS (PARTITION BY attempt_id ORDER BY seq)),
@@ -154,3 +154,22 @@ def scoring_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each attempt's events and of two of its features."""
     rows = trace(spark, sf_dir)
     return vectors.audit(rows, rows.groupBy("attempt_id").agg((F.max("t") - F.min("t")).alias("duration"), F.count("*").alias("events")))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber AS DOUBLE) a, CASE WHEN l_partkey%5=0 THEN NULL ELSE l_partkey%4 END b, CASE WHEN l_suppkey%6=0 THEN 0 ELSE l_suppkey%3 END d FROM lineitem)
+SELECT l_orderkey, count(*) n, sum(a) regrab_count, coalesce(sum(b),0)::DOUBLE retry_count, sum(d)::DOUBLE pointercancel_count, 0.0::DOUBLE empty_click_count, 0.0::DOUBLE failed_drop_count FROM c GROUP BY 1""")
+def interaction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of interaction, cleaned and added up; some are null, not finite or missing."""
+    n, p, s = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("regrab_count"), F.when(p % 5 != 0, p % 4).alias("retry_count"), F.when(s % 6 == 0, float("nan")).otherwise(s % 3).alias("pointercancel_count"))
+    made = features.counters(rows, "l_orderkey")
+    return made.groupBy("l_orderkey").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in features.COUNTERS])
+
+
+@query(f"""WITH {EV}, d AS (SELECT attempt_id, count(*) n, CAST(max(t)-min(t) AS DOUBLE) du, (user_id*7+ano)%5-1.5 li FROM ev GROUP BY attempt_id, user_id, ano) SELECT attempt_id, '1.0' feature_schema_version, CAST(n AS DOUBLE) event_count, du duration_ms, CAST(least(1,greatest(0,li)) AS DOUBLE) linearity, 4 extras, CAST(li AS DOUBLE) raw_linearity FROM d""")
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features as they are stored: some in columns, all in one map."""
+    rows = trace(spark, sf_dir).groupBy("attempt_id", "user_id", "ano").agg(F.count("*").alias("event_count"), (F.max("t") - F.min("t")).alias("duration_ms"))
+    rows = rows.select("attempt_id", "event_count", "duration_ms", ((F.col("user_id") * 7 + F.col("ano")) % 5 - 1.5).alias("linearity"), F.lit(2.0).alias("other"))
+    made = features.stored(rows, "1.0")
+    return made.select("attempt_id", "feature_schema_version", "event_count", "duration_ms", "linearity", F.size("extra_features").alias("extras"), F.col("extra_features")["linearity"].alias("raw_linearity"))
