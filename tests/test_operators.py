@@ -28,6 +28,27 @@ def test_recommendations(spark):
         assert [r.question for r in made if r.student == student] == out
 
 
+def test_recommendations_never_join_students_to_the_bank(spark):
+    """Runs of solved questions, repeated rows and exhausted bands; unsolved ones come from gaps between numbers."""
+    rng = np.random.default_rng(5)
+    bank = [(q, "ab"[q % 2], (q % 7 + 1) / 8) for q in range(400)]
+    weak = [(s, c, r + 1, ("easy", "medium", "hard")[(s + r) % 3]) for s in range(12) for r, c in enumerate("ab"[:: 1 if s % 2 else -1])]
+    solved = [(s, int(q)) for s in range(12) for q in rng.choice(400, 40 * s % 401)] + [(s, q) for s in (3, 4) for q in range(390)]
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = learning.recommended(of(weak, "student long, concept string, rank long, target_band string"), of(bank, "question long, concept string, difficulty double"), of(solved, "student long, question long"))
+    made = out.orderBy("student", "place").collect()
+    level = lambda d: "easy" if d < 0.4 else "medium" if d < 0.7 else "hard"
+    for s in range(12):
+        want, hard = [], False
+        for _, concept, _, target in sorted((x for x in weak if x[0] == s), key=lambda x: x[2]):
+            for q, _, d in sorted((x for x in bank if x[1] == concept and (s, x[0]) not in set(solved)), key=lambda x: (learning.PREFERENCE[target].index(level(x[2])), x[0])):
+                if len(want) < 4 and not (level(d) == "hard" and hard):
+                    want.append(q)
+                    hard = level(d) == "hard"
+        assert [r.question for r in made if r.student == s] == want
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()  # students times bank, less the solved
+
+
 def path_of(rows):
     p = [rows[0]]
     for x in rows[1:]:
