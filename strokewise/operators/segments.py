@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strokewise.functions.rounding import rounded
+
 
 #: Event types that press, release and move, with their synonyms; moves without which a drag is a jump.
 PRESS = ("pointerdown", "pointer_down", "drag_start")
@@ -46,7 +48,7 @@ def session_scores(scored_drags: DataFrame, key: str, score: str = "score", thre
         key,
         "drag_count",
         "starved_drags",
-        F.round(F.when(starved, 0.0).otherwise(F.col("median")), 6).alias("human_score"),
+        rounded(F.when(starved, 0.0).otherwise(F.col("median"))).alias("human_score"),
         F.when(~starved & (F.col("median") >= threshold), "human").otherwise("bot").alias("prediction"),
         F.when(starved, "every_drag_below_move_floor").alias("reason"),
     )

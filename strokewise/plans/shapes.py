@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strokewise.functions.rounding import rounded
 from strokewise.operators import shape
 from strokewise.plans.catalog import EV, query, trace
-from strokewise.sources.adapters import HEIGHT, WIDTH, rounded
+from strokewise.sources.adapters import HEIGHT, WIDTH
 
 _CORR = lambda a, b: f"coalesce(CASE WHEN stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END)*stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END)*count({a}+{b})>1e-12 THEN greatest(-1,least(1,covar_pop({b},{a})/(stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END)*stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END)))) END,0)"
 _ENTROPY = lambda name, source, value, bins: f"""{name}_r AS (SELECT attempt_id, {value} v, min({value}) OVER (PARTITION BY attempt_id) lo, max({value}) OVER (PARTITION BY attempt_id) hi FROM {source} WHERE {value} IS NOT NULL),

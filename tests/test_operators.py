@@ -3,9 +3,11 @@
 import math
 from dataclasses import replace
 
+import duckdb
 import numpy as np
 import pytest
 
+from strokewise.functions.rounding import rounded
 from strokewise.operators import learning, quality, replay, risk, segments
 from strokewise.plans import records
 
@@ -49,6 +51,15 @@ def test_recommendations_never_join_students_to_the_bank(spark):
     assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()  # students times bank, less the solved
 
 
+def test_ties_are_rounded_as_in_sql(spark):
+    """0.2590625 is stored a little lower and its text is a tie; integers that are far from ties, signs and null stay."""
+    values = [0.2590625, 0.34374999999999994, -0.2590625, 1e12 + 0.5, 0.1 + 0.2, 2.0, None, float("nan")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    made = [r.r for r in rows.select("i", rounded(replay.F.col("v")).alias("r")).orderBy("i").collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert made[:7] == want[:7] and made[0] == 0.259062 and math.isnan(made[7])
+
+
 def path_of(rows):
     p = [rows[0]]
     for x in rows[1:]:
