@@ -60,6 +60,18 @@ def test_ties_are_rounded_as_in_sql(spark):
     assert made[:7] == want[:7] and made[0] == 0.259062 and math.isnan(made[7])
 
 
+def test_mastery_is_the_same_in_any_order_of_rows(spark):
+    """Eleven answers whose chances add up to another last bit in another order; and a mastery just below a tie, rounded as in SQL."""
+    options = [4, 3, 3, 2, 4, 3, 3, 3, 3, 4, 3]
+    answers = lambda order, parts: spark.createDataFrame([(1, "a", options[i], i < 7) for i in order], "student long, concept string, options long, correct boolean").repartition(parts)
+    made = {learning.mastery(answers(order, parts)).first()["guess"] for parts in (1, 2, 5) for order in (range(11), range(10, -1, -1), sorted(range(11), key=options.__getitem__))}
+    assert made == {math.fsum(1 / o for o in options) / 11}
+    rows = [(1, "a", 0, i < 2, "2000-01-01", 0.1, i) for i in range(124)]  # 4 / 128 = 0.03125
+    near = spark.createDataFrame(rows, "student long, concept string, options long, correct boolean, answered_at string, difficulty double, i int").withColumn("answered_at", replay.F.to_date("answered_at"))
+    weak = learning.weak_concepts(near, replay.F.lit("2000-01-02").cast("date"), ["i"]).first()
+    assert weak["mastery"] == 0.0313
+
+
 def path_of(rows):
     p = [rows[0]]
     for x in rows[1:]:
