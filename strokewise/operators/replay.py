@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,14 +89,21 @@ def unit(xs: Column, ys: Column) -> Column:
     return let(let(means, moved), scaled)
 
 
-#: Paths in a block of pairs.
-BLOCK = 128
+#: Paths in a block of pairs, at least and at most, and blocks of a group where that allows: each path is sent once for every block, and a task holds two.
+BLOCK, MOST, BLOCKS = 128, 65_536, 8
+#: Paths of either block that are compared at once in a task.
+NEW, OLD = 256, 512
+
 
+def _cells(rows: DataFrame, group: str, size: int | None, reach: int | None) -> DataFrame:
+    """The rows (with rn, from 0 in their group) once for each pair of blocks that they take part in: (cur, old) are the blocks, ``as_old`` the part.
 
-def _cells(rows: DataFrame, group: str, size: int, reach: int | None) -> DataFrame:
-    """The rows (with rn, from 0 in their group) once for each pair of blocks that they take part in: (cur, old) are the blocks, ``as_old`` the part."""
+    Without a size, blocks grow with their group, so that what is sent does not grow faster than the rows.
+    """
+    n = F.count("*").over(Window.partitionBy(group))
+    size = F.lit(size) if size else F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.ceil(n / BLOCKS)))
     own = F.floor(F.col("rn") / size).cast("int")
-    last = F.floor((F.count("*").over(Window.partitionBy(group)) - 1) / size).cast("int")
+    last = F.floor((n - 1) / size).cast("int")
     rows = rows.withColumns({"own": own, "last": last})
     low = F.greatest(F.lit(0), F.col("own") - reach) if reach is not None else F.lit(0)
     high = F.least(F.col("last"), F.col("own") + reach) if reach is not None else F.col("last")
@@ -109,14 +118,19 @@ def best_before(units: DataFrame, group: str, order: list[str], ident: str, newe
     units has ``u``, a struct of xs and ys around their mean and of unit norm,
     or null, which is like nothing.  newest bounds how many before it, window
     (a column and a width) how long.  A task compares two blocks of paths by
-    matrix products: no group is ever held whole, and without newest all pairs
-    of a group are compared.
+    matrix products, some rows of each at a time: no group is ever held whole,
+    and without newest all pairs of a group are compared.
     """
     width = window[1] if window else None
 
     def compare(cell: pa.Table) -> pa.Table:
-        ids, _, like, past = _likeness(cell, newest, width, sharpness)
-        return pa.Table.from_arrays([ids, pa.array(like.max(axis=1, initial=0.0)), pa.array(past.sum(axis=1).astype(np.int64))], names=["i", "best", "compared"])
+        ids, _, parts = _likeness(cell, newest, width, sharpness)
+        best, compared = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for row, _, like, past in parts:
+            own = slice(row, row + len(like))
+            best[own] = np.maximum(best[own], like.max(axis=1, initial=0.0))
+            compared[own] += past.sum(axis=1)
+        return pa.Table.from_arrays([ids, pa.array(best), pa.array(compared)], names=["i", "best", "compared"])
 
     kind = units.schema[ident].dataType.simpleString()
     cells = _compared(units, group, order, ident, newest, window).applyInArrow(compare, f"i {kind}, best double, compared long")
@@ -127,9 +141,12 @@ def similar_pairs(units: DataFrame, group: str, order: list[str], ident: str, le
     """(ident, source, similarity) of all pairs of a group, the source first in order, that are at least so similar."""
 
     def compare(cell: pa.Table) -> pa.Table:
-        ids, sources, like, past = _likeness(cell, newest, None, sharpness)
-        row, col = np.nonzero(past & (like >= least))
-        return pa.Table.from_arrays([ids.take(pa.array(row)), sources.take(pa.array(col)), pa.array(like[row, col])], names=["i", "source", "similarity"])
+        ids, sources, parts = _likeness(cell, newest, None, sharpness)
+        rows, cols, likes = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        for at, old, like, past in parts:
+            row, col = np.nonzero(past & (like >= least))
+            rows, cols, likes = [*rows, row + at], [*cols, col + old], [*likes, like[row, col]]
+        return pa.Table.from_arrays([ids.take(pa.array(np.concatenate(rows))), sources.take(pa.array(np.concatenate(cols))), pa.array(np.concatenate(likes))], names=["i", "source", "similarity"])
 
     kind = units.schema[ident].dataType.simpleString()
     return _compared(units, group, order, ident, newest, None).applyInArrow(compare, f"i {kind}, source {kind}, similarity double").withColumnRenamed("i", ident)
@@ -137,37 +154,45 @@ def similar_pairs(units: DataFrame, group: str, order: list[str], ident: str, le
 
 def _compared(units: DataFrame, group: str, order: list[str], ident: str, newest: int | None, window: tuple[str, int] | None):
     """Pairs of blocks of a group's paths, grouped."""
-    size = min(BLOCK, newest) if newest else BLOCK
+    size = min(BLOCK, newest) if newest else None
     at = F.col(window[0]).cast("double") if window else F.lit(0.0)
     rn = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
     rows = units.select(F.col(group).alias("g"), F.col(ident).alias("i"), rn.alias("rn"), at.alias("at"), F.col("u.xs").alias("xs"), F.col("u.ys").alias("ys"))
     return _cells(rows, "g", size, -(-newest // size) if newest else None).groupBy("g", "cur", "old")
 
 
-def _likeness(cell: pa.Table, newest: int | None, width: float | None, sharpness: float) -> tuple[pa.ChunkedArray, pa.ChunkedArray, np.ndarray, np.ndarray]:
-    """The ids of a cell's two blocks, their similarities, and which pairs are asked for."""
+def _likeness(cell: pa.Table, newest: int | None, width: float | None, sharpness: float) -> tuple[pa.ChunkedArray, pa.ChunkedArray, Iterator[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """The ids of a cell's two blocks, and by parts of them: where they begin, their similarities, and which pairs are asked for."""
     old = cell.column("as_old").to_numpy(zero_copy_only=False)
     sides = []
     for part in (cell.filter(pa.array(~old)), cell.filter(pa.array(old))):
         known = part.column("xs").is_valid().to_numpy(zero_copy_only=False)
         arrays = []
         for c in ("xs", "ys"):
-            flat = np.stack([np.asarray(v, float) for v in part.column(c).to_pylist() if v is not None]) if known.any() else np.zeros((0, 1))
-            full = np.zeros((len(known), flat.shape[1]))
-            full[known] = flat
+            flat = part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            full = np.zeros((len(known), len(flat) // known.sum() if known.any() else 1))
+            full[known] = flat.reshape(-1, full.shape[1]) if known.any() else 0.0
             arrays.append(full)
         sides.append((arrays, known, part.column("rn").to_numpy(), part.column("at").to_numpy(), part.column("i")))
     (a, ka, na, ta, ids), (b, kb, nb, tb, sources) = sides
-    gap = na[:, None] - nb[None, :]
-    past = (gap > 0) & (gap <= newest) if newest else gap > 0
-    if width is not None:
-        past &= (ta[:, None] - tb[None, :]) <= width
-    like = np.zeros(past.shape)
-    if ka.any() and kb.any():
-        xx, xy, yx, yy = (p @ q.T for p in a for q in b)
-        both = np.sqrt(np.maximum(xx**2 + xy**2 + yx**2 + yy**2 + 2 * np.abs(xx * yy - xy * yx), 0))  # the singular values' sum
-        like = 1 / (1 + sharpness * np.sqrt(np.maximum(2 - 2 * both, 0)))
-    return ids, sources, np.where(past & ka[:, None] & kb[None, :], like, 0.0), past
+
+    def parts() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for i in range(0, len(na), NEW):
+            for j in range(0, len(nb), OLD):
+                own, other = slice(i, i + NEW), slice(j, j + OLD)
+                gap = na[own, None] - nb[None, other]
+                past = (gap > 0) & (gap <= newest) if newest else gap > 0
+                if width is not None:
+                    past &= (ta[own, None] - tb[None, other]) <= width
+                like = np.zeros(past.shape)
+                if past.any() and ka[own].any() and kb[other].any():
+                    xx, xy, yx, yy = (p[own] @ q[other].T for p in a for q in b)
+                    both = np.sqrt(np.maximum(xx**2 + xy**2 + yx**2 + yy**2 + 2 * np.abs(xx * yy - xy * yx), 0))  # the singular values' sum
+                    like = 1 / (1 + sharpness * np.sqrt(np.maximum(2 - 2 * both, 0)))
+                    like = np.where(past & ka[own, None] & kb[None, other], like, 0.0)
+                yield i, j, like, past
+
+    return ids, sources, parts()
 
 
 def similarity(paths: DataFrame, previous: int, window: tuple[str, int] | None = None) -> DataFrame:

@@ -240,6 +240,18 @@ def test_pairs_of_blocks(spark, monkeypatch):
     assert set(pairs) == set(want) and all(abs(pairs[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_blocks_of_pairs_grow_with_their_group(spark):
+    """A path is sent as often for 8,000 paths of a group as for 2,000; every pair meets once."""
+    sent = {}
+    for n in (300, 2_000, 8_000):
+        rows = spark.range(n).select(replay.F.lit(0).alias("g"), replay.F.col("id").alias("rn"))
+        cells = replay._cells(rows, "g", None, None)
+        sent[n] = cells.count() / n
+        sides = cells.groupBy("cur", "old").agg(replay.F.count_if(~replay.F.col("as_old")).alias("a"), replay.F.count_if("as_old").alias("b")).collect()
+        assert sum(r.a * r.b if r.cur > r.old else r.a * (r.a - 1) // 2 for r in sides) == n * (n - 1) // 2
+    assert sent[8_000] == sent[2_000] <= replay.BLOCKS + 1
+
+
 def test_queries_without_sql(spark, sf_dir):
     for f in (records.recommendations, records.diagnosis_text, records.path_similarity):
         assert f(spark, sf_dir).count() > 0
