@@ -41,11 +41,11 @@ def canonical(path: Column, count: int = CANONICAL) -> Column:
     xs, ys, ts = path["xs"], path["ys"], path["ts"]
     n = F.size(xs)
     end = lambda a: F.element_at(a, -1) - a[0]
-    about = F.struct(end(xs).alias("x"), end(ys).alias("y"), F.sqrt(end(xs) * end(xs) + end(ys) * end(ys)).alias("far"), end(ts).alias("span"))
+    about = F.struct(end(xs).alias("x"), end(ys).alias("y"), (end(xs) * end(xs) + end(ys) * end(ys)).alias("square"), end(ts).alias("span"))
 
     def made(v: Column) -> Column:
-        turned = lambda d, e: F.when(v["far"] < EPS, d).otherwise((d * v["x"] + e * v["y"]) / (v["far"] * v["far"]))
-        crossed = lambda d, e: F.when(v["far"] < EPS, e).otherwise((e * v["x"] - d * v["y"]) / (v["far"] * v["far"]))
+        turned = lambda d, e: F.when(F.sqrt(v["square"]) < EPS, d).otherwise((d * v["x"] + e * v["y"]) / v["square"])
+        crossed = lambda d, e: F.when(F.sqrt(v["square"]) < EPS, e).otherwise((e * v["x"] - d * v["y"]) / v["square"])
         x = F.zip_with(xs, ys, lambda p, q: turned(p - xs[0], q - ys[0]))
         y = F.zip_with(xs, ys, lambda p, q: crossed(p - xs[0], q - ys[0]))
         t = F.transform(ts, lambda p, i: F.when(v["span"] > EPS, (p - ts[0]) / v["span"]).otherwise(i / (n - 1)))
@@ -55,6 +55,29 @@ def canonical(path: Column, count: int = CANONICAL) -> Column:
     return F.when(n >= 2, let(about, made)).otherwise(F.struct(zeros.alias("xs"), zeros.alias("ys"), zeros.alias("ts")))
 
 
+def canonical_points(paths: DataFrame, key: str, count: int = CANONICAL) -> DataFrame:
+    """(key, i, x, y, t): the points of ``canonical`` as rows, of paths of two points or more.
+
+    Each row computes the two points that it lies between, so a path is never
+    worked through once for each of its points.
+    """
+    rows = paths.where(F.size("path.xs") >= 2).select(key, F.col("path.xs").alias("xs"), F.col("path.ys").alias("ys"), F.col("path.ts").alias("ts"))
+    ends = {f"{c}{i}": F.element_at(f"{c}s", at) for c in "xyt" for i, at in ((0, 1), (1, -1))}
+    rows = rows.withColumns({**ends, "last": F.size("xs") - 1})
+    v, w = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    rows = rows.withColumns({"v": v, "w": w, "square": v * v + w * w, "span": F.col("t1") - F.col("t0")})
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("p", F.col("i") * F.col("last") / float(count - 1))
+    rows = rows.withColumn("low", F.floor("p").cast("int")).withColumns({"high": F.least(F.col("low") + 1, F.col("last")), "part": F.col("p") - F.floor("p")})
+
+    def turned(at: str) -> tuple[Column, Column, Column]:
+        d, e, t = (F.get(f"{c}s", F.col(at)) - F.col(f"{c}0") for c in "xyt")
+        far, square = F.sqrt("square") >= EPS, F.col("square")
+        return F.when(far, (d * F.col("v") + e * F.col("w")) / square).otherwise(d), F.when(far, (e * F.col("v") - d * F.col("w")) / square).otherwise(e), F.when(F.col("span") > EPS, t / F.col("span")).otherwise(F.col(at) / F.col("last"))
+
+    between = [a + F.col("part") * (b - a) for a, b in zip(turned("low"), turned("high"), strict=True)]
+    return rows.select(key, F.col("i").cast("long").alias("i"), *[c.alias(n) for c, n in zip(between, "xyt", strict=True)])
+
+
 def vectors(trace: DataFrame, key: str, width: float, height: float, count: int) -> DataFrame:
     """(key, xs, ys, gaps) of attempts of four events or more: places within the box, and logarithms of the time between them, at even numbers."""
     w = Window.partitionBy(key).orderBy("seq")

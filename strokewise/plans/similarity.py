@@ -125,10 +125,7 @@ p3 AS (SELECT attempt_id, n, [CASE WHEN sqrt(q)<1e-9 THEN xs[k]-xs[1] ELSE ((xs[
 p4 AS (SELECT attempt_id, {_EVEN('a', 64)} a, {_EVEN('b', 64)} b, {_EVEN('c', 64)} c FROM p3) SELECT attempt_id, unnest(range(64)) i, round(unnest(a),6) x, round(unnest(b),6) y, round(unnest(c),6) t FROM p4""")
 def canonical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths from (0, 0) to (1, 0), in time from 0 to 1, a row for each of 64 points."""
-    held = pair_signals.paths(trace(spark, sf_dir), ["attempt_id"]).where(F.size("path.xs") >= 2)
-    made = held.select("attempt_id", vectors.canonical(F.col("path")).alias("p"))
-    rows = made.select("attempt_id", F.posexplode(F.arrays_zip("p.xs", "p.ys", "p.ts")).alias("i", "v"))
-    return six(rows.select("attempt_id", F.col("i").cast("long").alias("i"), F.col("v.xs").alias("x"), F.col("v.ys").alias("y"), F.col("v.ts").alias("t")), "attempt_id", "i")
+    return six(vectors.canonical_points(pair_signals.paths(trace(spark, sf_dir), ["attempt_id"]), "attempt_id"), "attempt_id", "i")
 
 
 @query(f"""WITH {EV}, w0 AS (SELECT attempt_id, seq, least(1,greatest(0,x/500)) px, least(1,greatest(0,y/200)) py, CAST(max(t) OVER (PARTITION BY attempt_id ORDER BY seq)-first_value(t) OVER (PARTITION BY attempt_id ORDER BY seq) AS DOUBLE) pt FROM ev), w1 AS (SELECT attempt_id, count(*) n, list(px ORDER BY seq) a, list(py ORDER BY seq) b, list(pt ORDER BY seq) c FROM w0 GROUP BY 1 HAVING count(*)>=4),

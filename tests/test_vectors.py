@@ -26,6 +26,19 @@ def test_degenerate_paths(spark):
     assert [r.attempt_id for r in few] == ["still"] and few[0].gaps == [0.0] * 5
 
 
+def test_points_as_rows_are_those_of_the_arrays(spark):
+    """Also for paths that end where they began, stand still or take no time; and thousands of paths are quickly done."""
+    paths = {"line": [(0, 0, 0), (1, 1, 10), (2, 4, 20)], "round": [(1, 1, 5), (2, 2, 5), (1, 1, 5)], "one": [(1, 1, 1)], "still": [(3, 3, 0)] * 4}
+    held = pair_signals.paths(spark.createDataFrame(rows(paths), "attempt_id string, seq int, x double, y double, t double"), ["attempt_id"])
+    want = {r.attempt_id: np.array([r.p.xs, r.p.ys, r.p.ts]).T for r in held.select("attempt_id", vectors.canonical(F.col("path")).alias("p")).where("attempt_id <> 'one'").collect()}
+    made = {}
+    for r in vectors.canonical_points(held, "attempt_id").orderBy("attempt_id", "i").collect():
+        made.setdefault(r.attempt_id, []).append((r.x, r.y, r.t))
+    assert set(made) == set(want) and all(np.allclose(made[k], want[k]) for k in want)
+    plan = vectors.canonical_points(held, "attempt_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan.split("Aggregate")[0] and "zip_with(" not in plan  # no path is made anew for each point
+
+
 def test_digests_tell_inputs_apart(spark):
     table = spark.createDataFrame([("a", 0, "k", 1, 0.5, 1.0), ("a", 1, "k", 2, 0.7, None), ("b", 0, "k", 1, 0.5 + 1e-9, 1.0), ("b", 1, "k", 2, 0.7, None), ("c", 0, "k", 1, 0.6, 1.0), ("c", 1, None, 2, 0.7, None)], "attempt_id string, seq int, kind string, t long, x double, y double")
     features = spark.createDataFrame([("a", 1.0, 2), ("b", 1.0, 3)], "attempt_id string, f double, g int")
