@@ -1,6 +1,7 @@
 """What SQL can't say shortly: compared with plain Python and numpy."""
 
 import math
+import tracemalloc
 from dataclasses import replace
 
 import duckdb
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from strokewise.functions.rounding import rounded
-from strokewise.operators import learning, quality, replay, risk, segments
+from strokewise.operators import evaluate, learning, quality, replay, risk, segments
 from strokewise.plans import records
 
 
@@ -252,6 +253,20 @@ def test_blocks_of_pairs_grow_with_their_group(spark):
     assert sent[8_000] == sent[2_000] <= replay.BLOCKS + 1
 
 
+def test_nearest_holds_few_distances_at_once():
+    """Many queries against many rows: the same distances as all at once, in a small part of their memory."""
+    rng = np.random.default_rng(11)
+    v, ids = rng.normal(size=(6_000, 8)), np.arange(6_000)
+    best = np.full((2_000, 5), np.inf)
+    tracemalloc.start()
+    evaluate.keep_nearest(best, ids[:2_000], v[:2_000], ids, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6 < 2_000 * 2_048 * 8
+    for i in (0, 700, 1_999):
+        assert np.allclose(np.sort(best[i]), np.sort(((v - v[i]) ** 2).sum(1))[1:6])
+
+
 def test_queries_without_sql(spark, sf_dir):
     for f in (records.recommendations, records.diagnosis_text, records.path_similarity):
         assert f(spark, sf_dir).count() > 0
